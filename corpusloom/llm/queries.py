@@ -31,9 +31,55 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer(), keep_ids=False)
 
 
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import exact_dedup
+
+    return exact_dedup.keepers(common.table(spark, sf_dir, "documents"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import decontaminate
+
+    return decontaminate.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op8_packing": op8_packing,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_benchmark_decontamination": r"""
+with w as (
+  select kind, id, row_no, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from (select 'd' as kind, doc_id as id, row_number() over () as row_no, coalesce(text, '') as t from documents
+        union all select 'b', item_id, row_number() over (), coalesce(text, '') from benchmark)
+), b as (
+  select id, ws, least(13, len(ws)) as m from w where kind = 'b' and len(ws) > 0
+), bw as (
+  select distinct id, m, array_to_string(ws[i : i + m - 1], ' ') as win
+  from (select id, ws, m, unnest(range(1, len(ws) - m + 2)) as i from b)
+), ms as (select distinct m from bw),
+dw as (
+  select row_no, m, i, array_to_string(ws[i : i + m - 1], ' ') as win
+  from (select row_no, ws, m, unnest(range(1, len(ws) - m + 2)) as i from w, ms where kind = 'd' and len(ws) >= m)
+), hits as (select dw.row_no, dw.i, dw.m, bw.id from dw join bw on dw.m = bw.m and dw.win = bw.win),
+hit as (select row_no, count(distinct p) as n_hit from (select row_no, unnest(range(i, i + m)) as p from (select distinct row_no, i, m from hits)) group by 1),
+met as (select row_no, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct row_no, id::varchar as id from hits) group by 1)
+select w.id as doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from w left join hit using (row_no) left join met using (row_no) where kind = 'd'
+""",
+    "op10_exact_dedup": r"""
+with d as (
+  select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256
+  from documents
+), r as (
+  select *, row_number() over w as place, first_value(doc_id) over w as keep_id, count(*) over (partition by text_sha256) as group_size
+  from d window w as (partition by text_sha256 order by n desc, doc_id)
+)
+select doc_id, keep_id, group_size::bigint as group_size, place = 1 as kept, text_sha256 from r
+""",
+}
