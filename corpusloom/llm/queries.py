@@ -43,8 +43,16 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import simhash
+
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_packing": op8_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
