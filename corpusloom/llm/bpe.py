@@ -18,11 +18,13 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Pieces kept per worker; beyond it only the current batch's pieces stay.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 #: Longer pieces are encoded each time.
 CACHE_CHARS = 48
 #: First characters that no definition of white space holds.
 _SAFE = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x250)]))
+#: ASCII marks that end a word; the pre-tokenizer always cuts between a letter and one.
+_MARKS = frozenset(",.;:!?")
 _NOT_SAFE = re.compile(" (?![!-~À-ɏ])")
 
 
@@ -42,22 +44,50 @@ class CachedBPE:
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
         self.cache: dict[str, bytes] = {}
+        self.marks = {"\0" + m: self.whole(m) for m in _MARKS}
+        self.lone_x = self.tokenizer.encode(" x", add_special_tokens=False).ids[0]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _parts(self, word: str) -> list[str]:
+        """Keys whose ids, joined, are the word's: the line break and what follows it, and a last mark after a letter, stand alone."""
+        i = word.find("\n", 1)
+        if 0 < i < len(word) - 1 and word[i - 1] in _SAFE and word[i + 1] in _SAFE:
+            return self._parts(word[:i]) + self._parts(word[i:])
+        if len(word) > 2 and word[-1] in _MARKS and word[-2].isalpha() and word[-2] in _SAFE:
+            return [word[:-1], "\0" + word[-1]]
+        return [word]
+
     def _new(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of ``" " + word`` for each word, encoded as one string."""
-        out = {}
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(part) and starts[0] == 0:
-                raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), ids.size * 4]
-                out.update(zip(part, map(raw.__getitem__, map(slice, (starts * 4).tolist(), ends))))
+        """Ids of ``" " + word`` for each word; keys that start with a line break have no space before it."""
+        cache, out = self.cache, dict(self.marks)
+        made, need = {}, []
+        for w in words:
+            if w[-1] in _MARKS or "\n" in w:
+                made[w] = ks = self._parts(w)
+                need += ks
             else:
-                out.update((w, self.whole(" " + w)) for w in part)
+                need.append(w)
+        need = set(need).difference(cache, out)
+        for lead, part in ((" ", [w for w in need if w[0] != "\n"]), (" x", [w for w in need if w[0] == "\n"])):
+            skip = len(lead) - 1
+            joined = [lead + lead.join(part[k : k + 256]) for k in range(0, len(part), 256)]
+            for k, enc in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                group = part[256 * k : 256 * (k + 1)]
+                ids = np.array(enc.ids, "<u4")
+                starts = np.flatnonzero(self.opens[ids])
+                if len(starts) == len(group) and starts[0] == 0 and (not skip or (ids[starts] == self.lone_x).all()):
+                    raw = ids.tobytes()
+                    out.update(zip(group, map(raw.__getitem__, map(slice, ((starts + skip) * 4).tolist(), [*(starts[1:] * 4).tolist(), ids.size * 4]))))
+                else:
+                    out.update((w, self.whole(w if skip else " " + w)) for w in group)
+        for w, ks in made.items():
+            if len(ks) == 2:
+                a, b = ks
+                out[w] = (out.get(a) or cache[a]) + (out.get(b) or cache[b])
+            elif len(ks) > 2:
+                out[w] = b"".join([out.get(k) or cache[k] for k in ks])
         return out
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
@@ -72,7 +102,7 @@ class CachedBPE:
         for p in split:
             seen.update(p[1:])
         cache = self.cache
-        missing = [w for w in seen if w not in cache]
+        missing = list(seen.difference(cache))
         if missing:
             if len(cache) + len(missing) > CACHE_PIECES:
                 cache = self.cache = {w: cache[w] for w in seen if w in cache}
@@ -83,10 +113,9 @@ class CachedBPE:
         head = {w: self.whole(w) for w in heads}
         for x, p, ok in zip(texts, split, plain):
             out.append(head[p[0]] + b"".join(map(get, p[1:])) if ok else self.whole(x) if x else b"")
-        if len(cache) > CACHE_PIECES or missing:
-            for w in missing:
-                if len(w) > CACHE_CHARS:
-                    del cache[w]
+        for w in missing:
+            if len(w) > CACHE_CHARS:
+                del cache[w]
         return out
 
 
