@@ -1,7 +1,9 @@
 """Exact dedup by content sort.
 
-The rows are range-partitioned by (normalised text, salt): the splitters come
-from a sample, and sorting each range puts equal texts next to each other.
+The rows are range-partitioned by (normalised text, salt), the text standing
+for itself by its first HEAD characters and a hash, so that the sampled
+splitters are small however long the texts are.  Sorting each range puts equal
+texts next to each other.
 Within a run of equal (text, salt) the neighbours are compared whole and the
 best row is kept.  The salt, from doc_id, spreads a text with very many
 copies over as many runs as there are partitions, so no copy group gathers in
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import common
 
+HEAD = 32
+
 
 def normalised(text: Column) -> Column:
     """The text without ASCII white space."""
@@ -41,8 +45,8 @@ def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"),
         normalised(F.col(text_col)).alias("norm"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(runs)).cast("int").alias("salt"),
-    ).repartitionByRange("norm", "salt")
-    run = Window.partitionBy("norm", "salt")
+    ).withColumns({"head": F.substring("norm", 1, HEAD), "hash": F.xxhash64("norm")}).repartitionByRange("head", "hash", "salt")
+    run = Window.partitionBy("head", "hash", "salt", "norm")
     order = [F.col("n").desc(), F.col("doc_id").asc_nulls_last()]
     sorted_rows = rows.withColumn("place", F.row_number().over(run.orderBy(*order)))
     whole = run.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
