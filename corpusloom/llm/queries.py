@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm import common
 
@@ -15,6 +16,14 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import quality
+
+    docs = common.table(spark, sf_dir, "documents").withColumn("held_out", common.crc_mod("doc_id", 5) == 0)
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"), usable=common.crc_mod("doc_id", 5) != 0)
+    return quality.score(docs, model, ["doc_id", "held_out"])
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import token_files
 
@@ -50,8 +59,18 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import langid
+
+    docs = common.table(spark, sf_dir, "documents").withColumn("held_out", common.crc_mod("doc_id", 4) == 2)
+    model = langid.fit(docs, ~F.col("held_out"))
+    return langid.predict(docs, model, ["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_token_files": op3_token_files,
+    "op5_language_id": op5_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_packing": op8_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
