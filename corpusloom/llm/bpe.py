@@ -17,8 +17,9 @@ from collections.abc import Sequence
 
 import numpy as np
 
-#: Pieces kept per worker; beyond it only the current batch's pieces stay.
-CACHE_PIECES = 800_000
+#: Pieces kept per worker, about 250 bytes each; beyond it only those of the
+#: current batch stay.
+CACHE_PIECES = 1_600_000
 #: Longer pieces are encoded each time.
 CACHE_CHARS = 48
 #: First characters that no definition of white space holds.
@@ -106,8 +107,7 @@ class CachedBPE:
         if missing:
             if len(cache) + len(missing) > CACHE_PIECES:
                 cache = self.cache = {w: cache[w] for w in seen if w in cache}
-            new = self._new(missing)
-            cache.update(new)
+            cache.update(self._new(missing))
         get, out = cache.__getitem__, []
         heads = {p[0] for p in split if p}
         head = {w: self.whole(w) for w in heads}
