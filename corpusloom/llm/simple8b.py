@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 
 MAGIC = b"S8B1"
-BLOCK = 512
+BLOCK = 128
 #: Fixed values of the format: selector -> (count, width); 0 is the escape.
 SELECTORS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
 _COUNT = np.zeros(16, np.int64)
@@ -29,41 +29,34 @@ _COUNT[0] = 1
 _WORDS = np.where(np.arange(16) == 0, 2, 1)
 
 
+_BITS = np.maximum(1, np.ceil(np.log2(np.arange(1 << 16) + 1))).astype(np.uint8)
+
+
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs, at least 1."""
-    out = np.ones(values.size, np.uint8)
     top = int(values.max(initial=0))
+    if top < 1 << 16:
+        return _BITS[values.astype(np.uint16)]
+    out = np.ones(values.size, np.uint8)
     for b in range(1, top.bit_length()):
         out += values >= np.uint64(1 << b)
     return out
 
 
 def _choose(values: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """The selector with most values that fits at each position; left: values from there to its block's end."""
+    """The selector with most values that fits at each position; left: values from there to its block's end, 255 at most."""
     w = _widths(values)
-    longest = int(min(60, left.max(initial=1)))
-    reach = {1: w}
-    for n in sorted({c for c, _ in SELECTORS.values()}):
-        if n > longest or n in reach:
-            continue
-        k = max(x for x in reach if x < n)
-        a = reach[k]
-        b = np.full_like(a, 255)
-        b[: a.size - (n - k)] = a[n - k :] if n - k <= k else 255
-        if n - k > k:  # two steps of k leave a gap: bridge it
-            b[: a.size - (n - k)] = a[n - k :]
-            step = k
-            while step < n - k:
-                c = np.full_like(a, 255)
-                c[: a.size - step] = a[step:]
-                b = np.maximum(b, c)
-                step += k
-        reach[n] = np.maximum(a, b)
+    reach, last = {1: w}, 1
+    for n in sorted({c for c, _ in SELECTORS.values()})[1:]:
+        # n is at most twice the count before it, so two of its spans cover n values
+        a, ahead = reach[last], np.full(w.size, 255, np.uint8)
+        if n <= w.size:
+            ahead[: w.size - (n - last)] = a[n - last :]
+        reach[n], last = np.maximum(a, ahead), n
     best = np.zeros(values.size, np.uint8)
     for s in sorted(SELECTORS, reverse=True):
         n, width = SELECTORS[s]
-        if n in reach:
-            best[(reach[n] <= width) & (left >= n)] = s
+        best[(reach[n] <= width) & (left >= n)] = s
     return best
 
 
@@ -75,7 +68,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, "<u8"), np.zeros(0, "<u4")
     blocks = -(-n // BLOCK)
     at = np.arange(n, dtype=np.int64)
-    left = np.minimum((at // BLOCK + 1) * BLOCK, n) - at
+    left = np.minimum(np.minimum((at // BLOCK + 1) * BLOCK, n) - at, 255).astype(np.uint8)
     best = _choose(values, left)
     pos, end = np.arange(blocks, dtype=np.int64) * BLOCK, np.minimum(np.arange(1, blocks + 1, dtype=np.int64) * BLOCK, n)
     block, starts, which = np.arange(blocks), [], []
