@@ -58,6 +58,12 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import secrets_scan
+
+    return secrets_scan.digests(common.table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import simhash
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
+    "op6_secret_scan": op6_secret_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_packing": op8_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
