@@ -24,6 +24,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, ["doc_id", "held_out"])
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import license_scan
+
+    return license_scan.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import token_files
 
@@ -81,6 +87,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_license_scan": op2_license_scan,
     "op3_token_files": op3_token_files,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
