@@ -31,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common
@@ -197,13 +197,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIU
     """
     common.prepare(docs.sparkSession)
     keep = keep or [id_col]
-    rows = common.written(fingerprints(docs, keep, shingle, seed), "simhash")
+    return _grouped(common.written(fingerprints(docs, keep, shingle, seed), "simhash"), id_col, radius)
+
+
+def _grouped(rows: DataFrame, id_col: str, radius: int) -> DataFrame:
+    """The rows, which have a fingerprint fp, and component_id."""
     distinct = common.written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
     roots = components(link(distinct.select("fp"), radius))
     groups = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     named = groups.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(*keep, "fp", "component_id")
+    return rows.join(named, "fp").select(*rows.columns, "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group of linked documents, that of the smallest id, with its columns."""
+    common.prepare(docs.sparkSession)
+    rows = common.written(fingerprints(docs, docs.columns, shingle), "simhash-rows")
+    found = _grouped(rows.select(id_col, "fp"), id_col, radius)
+    least = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"), "fp")).alias("k"), F.min(F.when(F.col(id_col).eqNullSafe(F.col("component_id")), F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"), "fp"))).alias("own"))
+    kept = least.select(F.coalesce("own", "k").alias("k")).select("k.*")
+    rows = rows.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).join(kept, ["__id", "fp"], "left_semi")
+    one = Window.partitionBy("__id", "fp").orderBy("text")  # rows that repeat an id and a fingerprint
+    return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
 
 
 def hex_digits(fp: str) -> Column:
