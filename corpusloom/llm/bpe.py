@@ -19,7 +19,7 @@ import numpy as np
 
 #: Pieces kept per worker, about 250 bytes each; beyond it only those of the
 #: current batch stay.
-CACHE_PIECES = 1_600_000
+CACHE_PIECES = 900_000
 #: Longer pieces are encoded each time.
 CACHE_CHARS = 48
 #: First characters that no definition of white space holds.
@@ -45,6 +45,7 @@ class CachedBPE:
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
         self.cache: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         self.marks = {"\0" + m: self.whole(m) for m in _MARKS}
         self.lone_x = self.tokenizer.encode(" x", add_special_tokens=False).ids[0]
 
@@ -94,28 +95,34 @@ class CachedBPE:
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         if not self.by_word:
             return [self.whole(x) for x in texts]
-        split, plain = [], []
+        words: list[str] = []  # of all texts that can be cut, but for each one's first
+        spans: list[tuple[str, int, int] | None] = []
         for x in texts:
-            ok = len(x) > 1 and x[0] in _SAFE and not _NOT_SAFE.search(x) and not any(a in x for a in self.added)
-            plain.append(ok)
-            split.append(x.split(" ") if ok else [])
-        seen: set[str] = set()
-        for p in split:
-            seen.update(p[1:])
+            if len(x) > 1 and x[0] in _SAFE and not _NOT_SAFE.search(x) and not any(a in x for a in self.added):
+                head, *rest = x.split(" ")
+                spans.append((head, len(words), len(words) + len(rest)))
+                words += rest
+            else:
+                spans.append(None)
         cache = self.cache
-        missing = list(seen.difference(cache))
-        if missing:
-            if len(cache) + len(missing) > CACHE_PIECES:
-                cache = self.cache = {w: cache[w] for w in seen if w in cache}
-            cache.update(self._new(missing))
-        get, out = cache.__getitem__, []
-        heads = {p[0] for p in split if p}
-        head = {w: self.whole(w) for w in heads}
-        for x, p, ok in zip(texts, split, plain):
-            out.append(head[p[0]] + b"".join(map(get, p[1:])) if ok else self.whole(x) if x else b"")
-        for w in missing:
-            if len(w) > CACHE_CHARS:
-                del cache[w]
+        codes = list(map(cache.get, words))
+        at = [i for i, c in enumerate(codes) if c is None]
+        if at:
+            new = self._new(list({words[i] for i in at}))
+            for i in at:
+                codes[i] = new[words[i]]
+            if len(cache) + len(new) > CACHE_PIECES:
+                cache = self.cache = dict(zip(words, codes))
+            cache.update((w, c) for w, c in new.items() if len(w) <= CACHE_CHARS)
+        return [(b"" if not x else self.whole(x)) if s is None else self._head(s[0]) + b"".join(codes[s[1] : s[2]]) for x, s in zip(texts, spans)]
+
+    def _head(self, word: str) -> bytes:
+        """Ids of a text's first piece, which has no space before it."""
+        out = self.heads.get(word)
+        if out is None:
+            if len(self.heads) > CACHE_PIECES // 16:
+                self.heads.clear()
+            out = self.heads[word] = self.whole(word)
         return out
 
 
