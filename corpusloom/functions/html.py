@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.functions.text import collapse, or_empty
 
@@ -139,7 +140,7 @@ def extract(html: str | None, platform: str | None) -> dict:
     return {"title": title, "content": content, "content_length": len(content)}
 
 
-@F.pandas_udf("title string, content string, content_length int")
+@F.pandas_udf(StructType().add("title", "string").add("content", "string").add("content_length", "integer"))
 def extract_article(html: pd.Series, platform: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([extract(h, p) for h, p in zip(html, platform)], columns=["title", "content", "content_length"])
 
