@@ -14,21 +14,41 @@ import json
 import re
 from array import array
 from collections.abc import Sequence
+from itertools import islice
 
 import numpy as np
 
-#: Pieces kept per worker, about 250 bytes each; beyond it only those of the
-#: current batch stay.
-CACHE_PIECES = 900_000
+#: Pieces kept per worker, about 250 bytes each.  When they are full the younger
+#: third goes: what came early is mostly what comes often.
+CACHE_PIECES = 600_000
+#: Texts are encoded in groups of about so many characters, to bound what a group needs.
+GROUP_CHARS = 1_500_000
 #: Longer pieces are encoded each time.
 CACHE_CHARS = 48
 #: First characters that no definition of white space holds.
 _SAFE = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x250)]))
-#: ASCII marks that end a word; the pre-tokenizer always cuts between a letter and one.
-_MARKS = frozenset(",.;:!?")
+#: After a letter and before a space a comma or full stop is a piece of its own,
+#: and so is a line break with the word after it; they get a space and stand-ins.
+_COMMA, _STOP, _LINE = "\x01", "\x02", "\x03"
+#: Marks after other characters belong with them; such texts keep theirs.
+_OTHER_COMMA = re.compile(r",(?<![A-Za-zÀ-ÖØ-öø-ɏ],) ")
+_OTHER_STOP = re.compile(r"\.(?<![A-Za-zÀ-ÖØ-öø-ɏ]\.)[ \n]")
+_MEANT = {_COMMA: ",", _STOP: ".", _LINE: "\n"}
 _NOT_SAFE = re.compile(" (?![!-~À-ɏ])")
 
 
+def _cut(x: str) -> str:
+    """The text with marks and line breaks set apart, where each of them may be."""
+    lines = "\n" in x and all(line and line[0] in _SAFE and line[-1] in _SAFE for line in x.split("\n"))
+    if not _OTHER_COMMA.search(x):
+        x = x.replace(", ", " \x01 ")
+    if not _OTHER_STOP.search(x):
+        x = x.replace(". ", " \x02 ")
+        if lines:
+            x = x.replace(".\n", " \x02\n")
+    return x.replace("\n", " \x03") if lines else x
+
+
 class CachedBPE:
     """Encodes texts to little-endian uint32 id bytes, equal to ``Tokenizer.encode``."""
 
@@ -46,60 +66,58 @@ class CachedBPE:
             self.opens[i] = token.startswith("Ġ")
         self.cache: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
-        self.marks = {"\0" + m: self.whole(m) for m in _MARKS}
+        self.cache |= {_COMMA: self.whole(","), _STOP: self.whole(".")}
         self.lone_x = self.tokenizer.encode(" x", add_special_tokens=False).ids[0]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _parts(self, word: str) -> list[str]:
-        """Keys whose ids, joined, are the word's: the line break and what follows it, and a last mark after a letter, stand alone."""
-        i = word.find("\n", 1)
-        if 0 < i < len(word) - 1 and word[i - 1] in _SAFE and word[i + 1] in _SAFE:
-            return self._parts(word[:i]) + self._parts(word[i:])
-        if len(word) > 2 and word[-1] in _MARKS and word[-2].isalpha() and word[-2] in _SAFE:
-            return [word[:-1], "\0" + word[-1]]
-        return [word]
-
     def _new(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of ``" " + word`` for each word; keys that start with a line break have no space before it."""
-        cache, out = self.cache, dict(self.marks)
-        made, need = {}, []
+        """Ids of ``" " + word`` for each word; what starts with a stand-in has no space before it."""
+        out: dict[str, bytes] = {}
+        plain, lines = [], []
         for w in words:
-            if w[-1] in _MARKS or "\n" in w:
-                made[w] = ks = self._parts(w)
-                need += ks
+            c = w[0]
+            if c > _LINE:
+                plain.append(w)
+            elif c == _LINE:
+                lines.append(w)
             else:
-                need.append(w)
-        need = set(need).difference(cache, out)
-        for lead, part in ((" ", [w for w in need if w[0] != "\n"]), (" x", [w for w in need if w[0] == "\n"])):
-            skip = len(lead) - 1
-            joined = [lead + lead.join(part[k : k + 256]) for k in range(0, len(part), 256)]
+                out[w] = self.whole(_MEANT[c] + w[1:])
+        for lead, part in ((" ", plain), (" x", lines)):
+            skip = 4 * (len(lead) - 1)
+            text = ["\n" + w[1:] for w in part] if skip else part
+            joined = [lead + lead.join(text[k : k + 512]) for k in range(0, len(part), 512)]
             for k, enc in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-                group = part[256 * k : 256 * (k + 1)]
+                group = part[512 * k : 512 * (k + 1)]
                 ids = np.array(enc.ids, "<u4")
                 starts = np.flatnonzero(self.opens[ids])
                 if len(starts) == len(group) and starts[0] == 0 and (not skip or (ids[starts] == self.lone_x).all()):
-                    raw = ids.tobytes()
-                    out.update(zip(group, map(raw.__getitem__, map(slice, ((starts + skip) * 4).tolist(), [*(starts[1:] * 4).tolist(), ids.size * 4]))))
+                    raw, at = ids.tobytes(), (starts * 4).tolist()
+                    at.append(len(raw))
+                    out.update(zip(group, [raw[a + skip : b] for a, b in zip(at, at[1:])]))
                 else:
-                    out.update((w, self.whole(w if skip else " " + w)) for w in group)
-        for w, ks in made.items():
-            if len(ks) == 2:
-                a, b = ks
-                out[w] = (out.get(a) or cache[a]) + (out.get(b) or cache[b])
-            elif len(ks) > 2:
-                out[w] = b"".join([out.get(k) or cache[k] for k in ks])
+                    out.update((w, self.whole("\n" + w[1:] if skip else " " + w)) for w in group)
         return out
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         if not self.by_word:
             return [self.whole(x) for x in texts]
+        out: list[bytes] = []
+        first = size = 0
+        for i, x in enumerate(texts):
+            size += len(x)
+            if size > GROUP_CHARS:
+                out += self._encode(texts[first : i + 1])
+                first, size = i + 1, 0
+        return out + self._encode(texts[first:])
+
+    def _encode(self, texts: Sequence[str]) -> list[bytes]:
         words: list[str] = []  # of all texts that can be cut, but for each one's first
         spans: list[tuple[str, int, int] | None] = []
         for x in texts:
-            if len(x) > 1 and x[0] in _SAFE and not _NOT_SAFE.search(x) and not any(a in x for a in self.added):
-                head, *rest = x.split(" ")
+            if len(x) > 1 and x[0] in _SAFE and not _NOT_SAFE.search(x) and not any(c in x for c in _MEANT) and not any(a in x for a in self.added):
+                head, *rest = _cut(x).split(" ")
                 spans.append((head, len(words), len(words) + len(rest)))
                 words += rest
             else:
@@ -112,8 +130,10 @@ class CachedBPE:
             for i in at:
                 codes[i] = new[words[i]]
             if len(cache) + len(new) > CACHE_PIECES:
-                cache = self.cache = dict(zip(words, codes))
-            cache.update((w, c) for w, c in new.items() if len(w) <= CACHE_CHARS)
+                cache = self.cache = dict(islice(cache.items(), CACHE_PIECES * 2 // 3))
+            cache.update(new)
+            for w in [w for w in new if len(w) > CACHE_CHARS]:
+                del cache[w]
         return [(b"" if not x else self.whole(x)) if s is None else self._head(s[0]) + b"".join(codes[s[1] : s[2]]) for x, s in zip(texts, spans)]
 
     def _head(self, word: str) -> bytes:

@@ -46,17 +46,20 @@ def _widths(values: np.ndarray) -> np.ndarray:
 def _choose(values: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The selector with most values that fits at each position; left: values from there to its block's end, 255 at most."""
     w = _widths(values)
-    reach, last = {1: w}, 1
+    reach, last, widest = {1: w}, 1, dict(SELECTORS.values())
     for n in sorted({c for c, _ in SELECTORS.values()})[1:]:
         # n is at most twice the count before it, so two of its spans cover n values
         a, ahead = reach[last], np.full(w.size, 255, np.uint8)
         if n <= w.size:
             ahead[: w.size - (n - last)] = a[n - last :]
         reach[n], last = np.maximum(a, ahead), n
+        if not (reach[n] <= widest[n]).any():  # then no longer span fits either
+            break
     best = np.zeros(values.size, np.uint8)
     for s in sorted(SELECTORS, reverse=True):
         n, width = SELECTORS[s]
-        best[(reach[n] <= width) & (left >= n)] = s
+        if n in reach:
+            best[(reach[n] <= width) & (left >= n)] = s
     return best
 
 
