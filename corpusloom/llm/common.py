@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.session import ship
 
@@ -67,6 +68,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROW = "__row"
+
+
+def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """The rows as one struct beside the columns an operator needs, so that no other name can clash with its own."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias(ROW), *(F.col(c) for c in dict.fromkeys((id_col, text_col, *more))))
+
+
+def unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select(f"{ROW}.*")
+
+
+def schema(df: DataFrame, keep: list[str], more: str) -> StructType:
+    """The fields of keep, then those of a DDL string."""
+    return StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(more).fields])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

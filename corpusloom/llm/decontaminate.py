@@ -175,7 +175,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     """
     spark = common.prepare(docs.sparkSession)
     keep = keep or ["doc_id"]
-    kept = [docs.schema[c] for c in keep]
     state = docs.select(*keep, F.col("text").alias("__text"), F.expr("cast(array() as array<long>)").alias("__hit"), F.expr("cast(array() as array<string>)").alias("__items"))
     all_blocks = list_of_broadcasts(spark, benchmark, block_bytes)
     for k, items in enumerate(all_blocks):
@@ -203,10 +202,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
         if last:
-            return state.mapInArrow(judge, f"{fields}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-        state = common.checkpoint(state.mapInArrow(judge, f"{fields}, __text string, __hit array<long>, __items array<string>"))
+            return state.mapInArrow(judge, common.schema(docs, keep, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"))
+        state = common.checkpoint(state.mapInArrow(judge, common.schema(docs, keep, "__text string, __hit array<long>, __items array<string>")))
     raise AssertionError("there is at least one block")
 
 
@@ -235,5 +233,5 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with their columns."""
-    judged = decontaminate(docs, benchmark, keep=docs.columns, window=window)
-    return judged.filter(~F.col("contaminated")).select(*docs.columns)
+    judged = decontaminate(common.boxed(docs), benchmark, keep=[common.ROW], window=window)
+    return common.unboxed(judged.filter(~F.col("contaminated")))

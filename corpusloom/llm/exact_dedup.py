@@ -74,7 +74,9 @@ def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with their columns."""
     kept = keepers(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__sha": F.sha2(normalised(F.col(text_col)).cast("binary"), 256)}).join(kept, ["__id", "__sha"], "left_semi")
-    # a row may repeat as a whole, id included; its longest original stays, as above
+    boxed = common.boxed(docs, id_col, text_col)
+    key = {"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__sha": F.sha2(normalised(F.col(text_col)).cast("binary"), 256)}
+    rows = boxed.withColumns(key).join(kept, ["__id", "__sha"], "left_semi")
+    # rows that repeat an id and a text: the longest original stays, as above
     one = Window.partitionBy("__id", "__sha").orderBy(F.char_length(F.coalesce(F.col(text_col), F.lit(""))).desc())
-    return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
+    return common.unboxed(rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1"))

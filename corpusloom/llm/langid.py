@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,20 @@ def grams(text: str, sizes: tuple[int, ...] = NGRAMS) -> set[str]:
     return out
 
 
+class _WordGrams(dict):
+    """Places in the dictionary of the grams of a word, for the words met lately."""
+
+    def __init__(self, index: dict[str, int], sizes: tuple[int, ...], most: int = 100_000):
+        super().__init__()
+        self.index, self.sizes, self.most = index, sizes, most
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        out = self[word] = tuple(i for g in grams(word, self.sizes) if (i := self.index.get(g)) is not None)
+        return out
+
+
 class Model:
     """Dictionary, landmark matrix and weights."""
 
@@ -73,7 +88,7 @@ class Model:
         sets = [grams(s, sizes) for s, _ in rows]
         spread = Counter(g for x in sets for g in x)
         self.index = {g: i for i, (g, _) in enumerate(sorted(spread.items(), key=lambda x: (-x[1], x[0]))[:n_grams])}
-        x = self.presence(sets)
+        x = self.presence([s for s, _ in rows])
         chosen = self._landmarks([lang for _, lang in rows], n_landmarks)
         self.landmarks = np.ascontiguousarray(x[chosen].T)
         inner = self.landmarks.T @ self.landmarks
@@ -98,12 +113,17 @@ class Model:
             turn[lang] += 1
         return sorted(i for _, i in sorted(place)[:n])
 
-    def presence(self, sets: list[set[str]]) -> np.ndarray:
-        """A row for each set of grams, of unit length: 1 / root of the number present, where present."""
-        x = np.zeros((len(sets), len(self.index)), np.float32)
-        get = self.index.get
-        for r, s in enumerate(sets):
-            at = [i for g in s if (i := get(g)) is not None]
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "words"}
+
+    def presence(self, texts: list[str]) -> np.ndarray:
+        """A row for each text, of unit length: 1 / root of the number of grams present, where present."""
+        x = np.zeros((len(texts), len(self.index)), np.float32)
+        if "words" not in self.__dict__:
+            self.words = _WordGrams(self.index, self.sizes)
+        get = self.words.__getitem__
+        for r, s in enumerate(texts):
+            at = list(set(chain.from_iterable(map(get, set(s.split())))))
             if at:
                 x[r, at] = len(at) ** -0.5
         return x
@@ -117,7 +137,7 @@ class Model:
             some = [(i, s) for i, t in enumerate(texts[a : a + 256], a) if (s := letters(t))]
             if not some:
                 continue
-            f = (self.presence([grams(s, self.sizes) for _, s in some]) @ self.landmarks) @ self.weights + self.middle
+            f = (self.presence([s for _, s in some]) @ self.landmarks) @ self.weights + self.middle
             for (i, _), k, m in zip(some, f.argmax(axis=1).tolist(), f.max(axis=1).tolist()):
                 langs[i], scores[i] = self.languages[k], 1.0 / (1.0 + float(np.exp(-3.0 * m)))
         return langs, scores
@@ -126,8 +146,8 @@ class Model:
 def fit(docs: DataFrame, usable: Column | None = None, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS, id_col: str = "doc_id", **options) -> Model:
     """Learns from text and lang of usable rows: about max_train of them, each of max_chars characters at most."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (usable if usable is not None else F.lit(True)))
-    rows = rows.filter(F.char_length("text") <= max_chars)
-    order = F.xxhash64(id_col, F.lit(5))
+    rows = rows.filter(F.char_length("text") <= max_chars).select(F.col(id_col).alias("id"), "text", "lang")
+    order = F.xxhash64("id", F.lit(5))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return Model([], **options)
@@ -135,7 +155,7 @@ def fit(docs: DataFrame, usable: Column | None = None, max_train: int = MAX_TRAI
     # rows with small hashes, about four times as many as needed, so that the ranking sees a bounded number
     shares = docs.sparkSession.createDataFrame([(lang, min(1.0, (4.0 * each + 50) / n)) for lang, n in counts.items()], "lang string, share double")
     some = rows.join(F.broadcast(shares), "lang").filter(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1 << 30)), id_col, "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1 << 30)), "id", "text"))
     sample = some.withColumn("__n", place).filter(F.col("__n") <= each).orderBy("__n", "lang").select("text", "lang").collect()
     return Model([(r["text"], r["lang"]) for r in sample], **options)
 
@@ -144,11 +164,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns of keep, lang_pred and score."""
     spark = common.prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)  # bounded by n_grams times n_landmarks
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in keep))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = shared.value.predict(batch.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, common.schema(docs, keep, "lang_pred string, score double"))
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose language is recognised, with their columns."""
+    return common.unboxed(predict(common.boxed(docs), model, [common.ROW]).filter(F.col("lang_pred") != UNKNOWN))

@@ -178,11 +178,14 @@ def score(docs: DataFrame, model: Trees, keep: list[str], threshold: float = THR
     """The columns of keep, score and predicted (1: score >= threshold)."""
     spark = common.prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)  # n_trees times 2**depth numbers
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in keep))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = shared.value.predict(_matrix(common.raw_texts(batch, "__text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, common.schema(docs, keep, "score double, predicted int"))
+
+
+def keep_good(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score well enough, with their columns."""
+    return common.unboxed(score(common.boxed(docs), model, [common.ROW], threshold).filter("predicted = 1"))

@@ -71,14 +71,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """The columns of keep and fp, the fingerprint as a signed long."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in keep))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in common.raw_texts(batch, "__text")], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64))], [*keep, "fp"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, fp long")
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, common.schema(docs, keep, "fp long"))
 
 
 def blocks(n: int = N_BLOCKS) -> list[int]:
@@ -213,13 +211,15 @@ def _grouped(rows: DataFrame, id_col: str, radius: int) -> DataFrame:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row of each group of linked documents, that of the smallest id, with its columns."""
     common.prepare(docs.sparkSession)
-    rows = common.written(fingerprints(docs, docs.columns, shingle), "simhash-rows")
-    found = _grouped(rows.select(id_col, "fp"), id_col, radius)
-    least = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"), "fp")).alias("k"), F.min(F.when(F.col(id_col).eqNullSafe(F.col("component_id")), F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"), "fp"))).alias("own"))
-    kept = least.select(F.coalesce("own", "k").alias("k")).select("k.*")
-    rows = rows.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).join(kept, ["__id", "fp"], "left_semi")
-    one = Window.partitionBy("__id", "fp").orderBy("text")  # rows that repeat an id and a fingerprint
-    return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
+    boxed = common.boxed(docs).withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    rows = common.written(fingerprints(boxed, [common.ROW, id_col, "__id"], shingle), "simhash-rows")
+    found = _grouped(rows.select(id_col, "__id", "fp"), id_col, radius)
+    # the row of the smallest id; of rows that repeat it, the smallest fingerprint
+    own = F.when(F.col(id_col).eqNullSafe(F.col("component_id")), F.struct("__id", "fp"))
+    kept = found.groupBy("component_id").agg(F.min(own).alias("k")).select("k.*")
+    rows = rows.join(kept, ["__id", "fp"], "left_semi")
+    one = Window.partitionBy("__id", "fp").orderBy(F.col(common.ROW)["text"])
+    return common.unboxed(rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1"))
 
 
 def hex_digits(fp: str) -> Column:
