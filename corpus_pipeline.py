@@ -10,7 +10,6 @@ no oracle; the tests hold the pipeline against brute force.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusloom.llm import common, decontaminate, exact_dedup, langid, packing, simhash
 from corpusloom.llm.queries import tokenizer
@@ -20,8 +19,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go; learns from the rows' own lang."""
-    model = langid.fit(docs)
-    return langid.predict(docs, model, docs.columns).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    return langid.keep_known(docs, langid.fit(docs))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
