@@ -55,11 +55,13 @@ def _choose(values: np.ndarray, left: np.ndarray) -> np.ndarray:
         reach[n], last = np.maximum(a, ahead), n
         if not (reach[n] <= widest[n]).any():  # then no longer span fits either
             break
-    best = np.zeros(values.size, np.uint8)
-    for s in sorted(SELECTORS, reverse=True):
-        n, width = SELECTORS[s]
+    # where a count fits, so does every smaller one: the number that fit tells the selector
+    fit = np.zeros(values.size, np.uint8)
+    for n, width in SELECTORS.values():
         if n in reach:
-            best[(reach[n] <= width) & (left >= n)] = s
+            fit += (reach[n] <= width) & (left >= n)
+    best = np.uint8(len(SELECTORS) + 1) - fit
+    best[fit == 0] = 0
     return best
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, common, simple8b
 
-SHARD_IDS = 1 << 17
+SHARD_IDS = 1 << 18
 END_ID = 0
 _SHARD = "part int, seq long, before long, n_ids long, doc_id array<long>, n_tokens array<long>, payload binary"
 
