@@ -98,7 +98,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+def _license_sql() -> str:
+    from corpusloom.llm import license_scan
+
+    rows = ", ".join(f"('{k}', '{t.replace(chr(39), chr(39) * 2)}')" for k, t in sorted(license_scan.TEMPLATES.items()))
+    shingle = "array_to_string(ws[i : i + 4], ' ')"
+    words = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return f"""
+with t as (select id, {words.format("text")} as ws from (values {rows}) v(id, text)),
+own as (select distinct id, {shingle} as sh from (select id, ws, unnest(range(1, len(ws) - 3)) as i from t where len(ws) >= 5)),
+size as (select id, count(*) as n, (2 * power(2, floor(log2(count(*)))))::bigint as step from own group by 1),
+d as (select row_number() over () as r, doc_id, {words.format("coalesce(text, '')")} as ws from documents),
+s as (select r, doc_id, len(ws) - 4 as total, i - 1 as pos, {shingle} as sh from (select *, unnest(range(1, len(ws) - 3)) as i from d where len(ws) >= 5)),
+hit as (select r, doc_id, id, n, step, pos, sh, greatest(0, ceil((total - 2 * step) / step::double))::bigint as last from s join own using (sh) join size using (id)),
+win as (select distinct r, doc_id, id, n, step, pos, sh, greatest(0, least(pos // step - back, last)) as w from hit, (values (0), (1)) b(back))
+select doc_id, id as template, (w * step)::int as window_start, min(pos)::int as first_word, count(distinct sh) / n::double as containment
+from win where pos >= w * step and pos < w * step + 2 * step group by r, doc_id, id, n, step, w having count(distinct sh) / n::double >= {license_scan.CONTAINMENT}
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_license_scan": _license_sql(),
+    "op4_substring_dedup": r"""
+with w as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+g as (select r, doc_id, i, array_to_string(ws[i : i + 12], ' ') as win from (select *, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13)),
+m as (select win, min(doc_id) as least from g group by 1),
+cut as (select distinct r, unnest(range(i, i + 13)) as p from g join m using (win) where least < doc_id),
+word as (select r, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as x from w),
+kept as (select r, string_agg(x, ' ' order by p) as text from word anti join cut using (r, p) group by 1),
+n as (select r, count(*) as n from cut group by 1)
+select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from w left join n using (r) left join kept using (r)
+""".replace("\\\\", "\\"),
     "op9_benchmark_decontamination": r"""
 with w as (
   select kind, id, row_no, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
