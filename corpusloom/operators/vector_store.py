@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusloom.functions import vectors as V
+from corpusloom.session import ship
 
 PAYLOAD_MB = 30.0
 
@@ -35,20 +42,62 @@ def search(table: DataFrame, query: list[float], k: int = 5, metric: str = "cosi
     return best
 
 
-def search_many(table: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", id_col: str = "vec_id", query_col: str = "query_id", most_queries: int = 10_000) -> DataFrame:
-    """The k best rows of each query, with rank from 1.
+def search_many(table: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", id_col: str = "vec_id", query_col: str = "query_id", most_mb: int = 64) -> DataFrame:
+    """(query, id, score, rank): the k best rows of each query, rank from 1, ties by id.
 
-    The queries (query_id, embedding) are a stated set, counted and broadcast;
-    each partition of the table ranks its own rows before any shuffle.  More
-    than `most_queries` are to be given in several calls.
+    The queries (query_id, embedding) are a stated set: collected in blocks of
+    at most `most_mb`, each scored against every batch of the table by one
+    matrix product.  A task keeps the k best of its rows for each query, so
+    what is shuffled is k rows for each query and task, however many rows tie.
+    Scores are rounded to 12 places so that equal vectors tie exactly.
     """
-    n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries; give at most {most_queries} at once")
-    q = queries.select(F.col(query_col), F.col("embedding").alias("__q"))
-    scored = table.crossJoin(F.broadcast(q)).withColumn("score", V.score(metric, F.col("embedding"), F.col("__q"))).filter(F.col("score").isNotNull())
+    spark = ship(table.sparkSession)
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-n * (width or 1) * 8 // (most_mb << 20)))
+    schema = StructType([StructField(query_col, queries.schema[query_col].dataType), table.schema[id_col], StructField("score", DoubleType())])
+    out = None
+    for b in range(blocks):
+        some = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_col), F.lit(blocks)) == b)
+        rows = [r for r in some.select(query_col, "embedding").collect() if r[1] is not None]
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([list(r[1]) for r in rows], float).reshape(len(rows), -1)))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
+            for batch in batches:
+                valid = batch.filter(batch.column("embedding").is_valid())
+                if not valid.num_rows or not names:
+                    continue
+                ids = valid.column(id_col).to_numpy(zero_copy_only=False)
+                s = _scores(metric, np.stack(valid.column("embedding").to_numpy(zero_copy_only=False)).astype(float), q)
+                for i in range(len(names)):
+                    old, old_ids = held[i]
+                    least = old[-1] if old.size >= k else -np.inf
+                    at = np.flatnonzero((s[:, i] >= least) & (s[:, i] > -np.inf))
+                    if at.size:
+                        v, w = np.concatenate([old, s[at, i]]), np.concatenate([old_ids, ids[at]])
+                        order = np.lexsort((w, -v))[:k]
+                        held[i] = v[order], w[order]
+            for name, (v, w) in zip(names, held):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * v.size, target[0]), pa.array(w, target[1]), pa.array(v)], schema.names)
+
+        target = [to_arrow_type(f.dataType) for f in schema.fields]
+        found = table.select(id_col, "embedding").mapInArrow(best, schema)
+        out = found if out is None else out.unionByName(found)
     w = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)
-    return scored.select(query_col, id_col, "score").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _scores(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A row for each vector, a column for each query; -inf where a vector has no direction."""
+    if metric == "dot":
+        s = x @ q.T
+    elif metric == "euclid":
+        s = -np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * (x @ q.T) + (q**2).sum(1)[None, :], 0))
+    else:
+        n = np.sqrt((x**2).sum(1))[:, None] * np.sqrt((q**2).sum(1))[None, :]
+        s = np.divide(x @ q.T, n, out=np.full((len(x), len(q)), -np.inf), where=n > 0)
+    return np.round(s, 12)
 
 
 def merge(primary: DataFrame, fallback: DataFrame, k: int) -> DataFrame:

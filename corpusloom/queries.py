@@ -331,10 +331,10 @@ def vector_threshold(spark, d):
     return scored(vector_store.search(embedded(spark, d), q0(spark, d), 100, threshold=0.1))
 
 
-@query("select query_id, vec_id, round(s, 4) as score, rank::int as rank from (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as s, row_number() over (partition by q.vec_id order by list_cosine_similarity(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id < 5) q) where rank <= 5")
+@query("select query_id, vec_id, round(s, 4) as score, rank::int as rank from (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as s, row_number() over (partition by q.vec_id order by list_cosine_similarity(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id % 50 = 0) q) where rank <= 5")
 def vector_many_queries(spark, d):
     e = embedded(spark, d)
-    hits = vector_store.search_many(e, e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"))
+    hits = vector_store.search_many(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
     return hits.withColumn("score", F.round("score", 4))
 
 
@@ -688,10 +688,9 @@ def preference_triples(spark, d):
     return p.select("instruction.*", "generated_answer", "extracted_answer")
 
 
-@query(f"with {S_TURNS} select {s_lit(datasets.PREFERENCE_PROMPT.split('{}')[0])} || instruction || {s_lit(datasets.PREFERENCE_PROMPT.split('{}')[1])} as prompt, output || '</s>' as chosen, coalesce(other, output) || '</s>' as rejected from alts where turn = 0")
+@query(f"with {S_TURNS} select {s_lit(datasets.PREFERENCE_PROMPT.split('{}')[0])} || instruction || {s_lit(datasets.PREFERENCE_PROMPT.split('{}')[1])} as prompt, output || '</s>' as chosen, coalesce(other, output) || '</s>' as rejected from (select conv_id, instruction, case when turn % 2 = 0 then output else coalesce(other, output) end as output, case when turn % 2 = 0 then other else output end as other from alts)")
 def dpo_rows(spark, d):
-    t = turns(spark, d).filter("turn = 0")
-    return datasets.preference_rows(datasets.preference_triples(t, "turn", "other"))
+    return datasets.preference_rows(datasets.preference_triples(turns(spark, d), "turn", "other", cap=None))
 
 
 @query(f"with {S_TURNS} select conv_id, turn, {s_lit(datasets.ALPACA.split('{}')[0])} || instruction || {s_lit(datasets.ALPACA.split('{}')[1])} || output || '</s>' as text, trim(output, ' ' || chr(9) || chr(10) || chr(13)) || '</s>' as response from turns")
@@ -728,34 +727,34 @@ def json_in_text(spark, d):
 
 
 def hits(spark, d) -> DataFrame:
-    """Top three of two query vectors with the text of the document of the same number."""
+    """Top three of the query vectors with the text of the document of the same number."""
     e = embedded(spark, d)
-    h = vector_store.search_many(e, e.filter("vec_id < 2").select(F.col("vec_id").alias("query_id"), "embedding"), 3)
+    h = vector_store.search_many(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 3)
     info = docs(spark, d).select(F.col("doc_id").alias("vec_id"), F.col("text"), F.col("source").alias("repository_name"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("title"))
     return h.join(info, "vec_id", "left")
 
 
-S_HITS = "h as (select query_id, vec_id, s as score, rank from (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as s, row_number() over (partition by q.vec_id order by list_cosine_similarity(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id < 2) q) where rank <= 3), r as (select h.*, coalesce(d.text, '') as text, coalesce(nullif(concat_ws(' | ', 'Repo: ' || d.source, case when d.doc_id % 2 = 0 then 'Title: ' || d.lang end), ''), 'Unknown source') as src from h left join documents d on d.doc_id = h.vec_id)"
+S_HITS = "h as (select query_id, vec_id, s as score, rank from (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as s, row_number() over (partition by q.vec_id order by list_cosine_similarity(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id % 50 = 0) q) where rank <= 3), r as (select h.*, coalesce(d.text, '') as text, coalesce(nullif(concat_ws(' | ', 'Repo: ' || d.source, case when d.doc_id % 2 = 0 then 'Title: ' || d.lang end), ''), 'Unknown source') as src from h left join documents d on d.doc_id = h.vec_id)"
 S_CONTEXT = "select query_id, count(*) as n, string_agg(chr(10) || 'Document ' || rank || ' (Score: ' || printf('%.3f', score) || ')' || chr(10) || 'Source: ' || src || chr(10) || 'Content: ' || text || chr(10) || '---', chr(10) order by rank) as context from r group by 1"
 
 
-@query(f"with {S_HITS} {S_CONTEXT} union all select 99, 0, 'No relevant documents found.'")
+@query(f"with {S_HITS} {S_CONTEXT} union all select -1, 0, 'No relevant documents found.'")
 def rag_context(spark, d):
-    questions = spark.createDataFrame([(0,), (1,), (99,)], "query_id long")
+    questions = embedded(spark, d).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")).unionByName(spark.range(1).select((-F.col("id") - 1).alias("query_id")))
     return rag.contexts(hits(spark, d), questions)
 
 
 @query(f"with {S_HITS}, c as ({S_CONTEXT}) select query_id, 'Question ' || query_id as question, n as context_documents, md5(context) as context_md5, md5('Based on the available context:' || chr(10) || chr(10) || context) as answer_md5, (select string_agg(left(text, 200) || '...', '|' order by rank) from r where r.query_id = c.query_id) as sources from c")
 def rag_result_struct(spark, d):
-    questions = spark.createDataFrame([(0, "Question 0"), (1, "Question 1")], "query_id long, question string")
+    questions = embedded(spark, d).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("Question "), F.col("vec_id").cast("string")).alias("question"))
     a = rag.answers(hits(spark, d), questions)
     return a.select("query_id", "question", "context_documents", F.md5("context").alias("context_md5"), F.md5("answer").alias("answer_md5"), F.array_join(F.transform("sources", lambda s: s["text"]), "|").alias("sources"))
 
 
 @query()
 def rag_end_to_end(spark, d):
-    chunks = flows.ingest(docs(spark, d).filter("lang = 'en'")).withColumn("vec_id", F.xxhash64("chunk_id"))
-    questions = table(spark, d, "benchmark").filter("item_id < 3").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    chunks = flows.ingest(docs(spark, d)).withColumn("vec_id", F.xxhash64("chunk_id"))
+    questions = table(spark, d, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     return flows.ask(questions, chunks, 3).select("query_id", "context_documents", F.size("sources").alias("sources"))
 
 
