@@ -20,7 +20,7 @@ import numpy as np
 
 #: Pieces kept per worker, about 250 bytes each.  When they are full the younger
 #: third goes: what came early is mostly what comes often.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 900_000
 #: Texts are encoded in groups of about so many characters, to bound what a group needs.
 GROUP_CHARS = 1_500_000
 #: Longer pieces are encoded each time.
@@ -52,10 +52,10 @@ def _cut(x: str) -> str:
 class CachedBPE:
     """Encodes texts to little-endian uint32 id bytes, equal to ``Tokenizer.encode``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int | None = None):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.pieces = Tokenizer.from_file(path), pieces or CACHE_PIECES
         spec = json.loads(self.tokenizer.to_str())
         self.added = [t["content"] for t in spec["added_tokens"]]
         kind = (spec.get("pre_tokenizer") or {})
@@ -129,8 +129,8 @@ class CachedBPE:
             new = self._new(list({words[i] for i in at}))
             for i in at:
                 codes[i] = new[words[i]]
-            if len(cache) + len(new) > CACHE_PIECES:
-                cache = self.cache = dict(islice(cache.items(), CACHE_PIECES * 2 // 3))
+            if len(cache) + len(new) > self.pieces:
+                cache = self.cache = dict(islice(cache.items(), self.pieces * 2 // 3))
             cache.update(new)
             for w in [w for w in new if len(w) > CACHE_CHARS]:
                 del cache[w]
@@ -140,7 +140,7 @@ class CachedBPE:
         """Ids of a text's first piece, which has no space before it."""
         out = self.heads.get(word)
         if out is None:
-            if len(self.heads) > CACHE_PIECES // 16:
+            if len(self.heads) > self.pieces // 16:
                 self.heads.clear()
             out = self.heads[word] = self.whole(word)
         return out
@@ -149,8 +149,9 @@ class CachedBPE:
 _LOADED: dict[str, CachedBPE] = {}
 
 
-def load(path: str) -> CachedBPE:
-    """One encoder per worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = CachedBPE(path)
-    return _LOADED[path]
+def load(path: str, pieces: int | None = None) -> CachedBPE:
+    """One encoder per worker process and file; pieces bounds its cache."""
+    found = _LOADED.get(path)
+    if found is None or found.pieces != (pieces or CACHE_PIECES):
+        found = _LOADED[path] = CachedBPE(path, pieces)
+    return found

@@ -41,9 +41,10 @@ def binary_pieces(n: int, max_length: int = MAX_LENGTH) -> list[tuple[int, int]]
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, end_id: int = END_ID, keep_ids: bool = True, cache_pieces: int | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset), a row for each piece.
 
+    cache_pieces bounds the memory of each worker's cache of encoded words.
     Write it partitioned by `length` to have one bucket of equal sequences in
     each folder.
     """
@@ -51,7 +52,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, end
         raise ValueError("max_length must be a power of two")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = bpe.load(tokenizer_path)
+        tok = bpe.load(tokenizer_path, cache_pieces)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc, start, length, crc, tokens, ids = [], [], [], [], [], []
