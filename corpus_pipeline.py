@@ -40,7 +40,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of power-of-two lengths, with their ids."""
     common.prepare(spark)
-    return packing.pack(docs, tokenizer())
+    # a small cache: the workers also hold what earlier stages left
+    return packing.pack(docs, tokenizer(), cache_pieces=100_000)
 
 
 STAGES = [
