@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from corpusloom.functions.text import collapse, or_empty
 
@@ -157,6 +157,28 @@ def feed_posts(html: str | None, containers: list[str]) -> list[dict]:
     return out
 
 
+FEED = ["div.feed-shared-update-v2", "[data-urn*=activity]", "article"]
+_POST = StructType().add("title", "string").add("content", "string").add("link", "string")
+
+
+@F.pandas_udf(ArrayType(_POST))
+def extract_feed(html: pd.Series) -> pd.Series:
+    """The posts of each page's feed containers."""
+    return pd.Series([feed_posts(h, FEED) for h in html], index=html.index)
+
+
+def fallback(html: str | None, most: int = 5000) -> dict:
+    """Title from h1, content from article, main or div.article, cut at `most`."""
+    root = parse(html)
+    content = first_text(root, ["article", "main", "div.article"], 0)[:most]
+    return {"title": first_text(root, ["h1"], 0), "content": content, "content_length": len(content)}
+
+
+@F.pandas_udf(StructType().add("title", "string").add("content", "string").add("content_length", "integer"))
+def extract_fallback(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([fallback(h) for h in html], columns=["title", "content", "content_length"])
+
+
 def regex_text(c: Column) -> Column:
     """The text of a page by regular expressions alone: scripts, styles and page furniture go, then tags and entities."""
     c = or_empty(c)

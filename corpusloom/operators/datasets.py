@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,37 @@ def rule_pairs(extract: Column) -> Column:
     return F.when(F.size(long) >= 2, some).otherwise(F.array(_pair(GENERIC, short)))
 
 
+def generated_pairs(docs: DataFrame, extract: str, keep: list[str], provider=None) -> DataFrame:
+    """Pairs from a language model (a function from texts to answers that hold the pairs' JSON), or by rule where it gives none or fails."""
+    rows = docs.select(*keep, F.col(extract).alias("__e"))
+    rule = rule_pairs(F.col("__e"))
+    if provider is None:
+        return rows.select(*keep, F.inline(rule))
+    from corpusloom.session import ship
+    from corpusloom.sources.readers import answer_envelope
+
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def ask(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            try:
+                out.append(provider(t))
+            except Exception:  # noqa: BLE001  whatever the provider raises
+                out.append(None)
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    answered = rows.withColumn("__a", ask("__e"))
+    pairs = F.transform(answer_envelope(F.col("__a")), lambda p: F.struct(p["instruction"].alias("instruction"), p["answer"].alias("output")))
+    return answered.select(*keep, F.inline(F.when(F.size(pairs) > 0, pairs).otherwise(rule)))
+
+
+def shuffled(df: DataFrame, key: str, seed: str = "42") -> DataFrame:
+    """The rows in an order that only the seed and the keys decide."""
+    return df.withColumn("shuffle_key", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).orderBy("shuffle_key", key)
+
+
 def keyword_pairs(docs: DataFrame, content: str, rules: list[tuple[str, list[str], bool, int]], constants: list[tuple[str, str]], keep: list[str]) -> DataFrame:
     """A pair for each rule (instruction, keywords, any case, length) that a text meets, and the constants once."""
     c = F.col(content)

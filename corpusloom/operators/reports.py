@@ -54,3 +54,8 @@ def file_rollup(results: DataFrame, file: str) -> DataFrame:
 
 def ingest_bucket(kind: Column) -> Column:
     return F.when(kind == "code", "code").when(kind == "article", "article").otherwise("other")
+
+
+def step_metadata(chunks: DataFrame) -> DataFrame:
+    """Chunks made and chunks embedded, over all documents."""
+    return chunks.agg(F.count(F.lit(1)).alias("num_chunks"), F.count("embedding").alias("num_embedded"))

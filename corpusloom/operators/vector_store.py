@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ def search(table: DataFrame, query: list[float], k: int = 5, metric: str = "cosi
     return best
 
 
-def search_many(table: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", id_col: str = "vec_id", query_col: str = "query_id", most_mb: int = 64) -> DataFrame:
+def search_many(table: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", id_col: str = "vec_id", query_col: str = "query_id", most_mb: float = 64) -> DataFrame:
     """(query, id, score, rank): the k best rows of each query, rank from 1, ties by id.
 
     The queries (query_id, embedding) are a stated set: collected in blocks of
@@ -53,13 +54,13 @@ def search_many(table: DataFrame, queries: DataFrame, k: int = 5, metric: str =
     """
     spark = ship(table.sparkSession)
     n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    blocks = max(1, -(-n * (width or 1) * 8 // (most_mb << 20)))
+    blocks = max(1, math.ceil(n * (width or 1) * 8 / (most_mb * (1 << 20))))
     schema = StructType([StructField(query_col, queries.schema[query_col].dataType), table.schema[id_col], StructField("score", DoubleType())])
     out = None
     for b in range(blocks):
         some = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_col), F.lit(blocks)) == b)
         rows = [r for r in some.select(query_col, "embedding").collect() if r[1] is not None]
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([list(r[1]) for r in rows], float).reshape(len(rows), -1)))
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([list(r[1]) for r in rows], float)))
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value

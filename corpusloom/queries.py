@@ -723,6 +723,94 @@ def json_in_text(spark, d):
     return docs(spark, d).select("doc_id", F.inline(answer_envelope(text)))
 
 
+@query("select doc_id, md5('42' || doc_id) as shuffle_key from documents")
+def shuffled_order(spark, d):
+    return datasets.shuffled(docs(spark, d).select("doc_id"), "doc_id")
+
+
+@query("select doc_id % 4 as form, ['repository', 'article', 'generic', 'error'][doc_id % 4 + 1] as kind, count(*) as n from documents group by all")
+def raw_documents(spark, d):
+    from corpusloom.sources.readers import raw_documents as read
+
+    i = F.col("doc_id") % 4
+    file = F.struct(F.col("text").alias("content"), F.col("n_chars").alias("size"), F.lit("markdown").alias("language"))
+    repo = F.to_json(F.struct(F.col("source").alias("name"), F.create_map(F.lit("README.md"), file).alias("files")))
+    article = F.to_json(F.struct(F.col("source").alias("url"), F.col("text").alias("content")))
+    value = F.when(i == 0, repo).when(i == 1, article).when(i == 2, F.concat(F.lit("["), F.to_json(F.struct("text")), F.lit("]"))).otherwise(F.col("text"))
+    return read(docs(spark, d).select(i.cast("string").alias("file"), value.alias("value"))).groupBy(F.col("file").cast("long").alias("form"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select doc_id::varchar as id, text as content, source as platform from documents")
+def training_articles(spark, d):
+    from corpusloom.sources.readers import training_articles as read
+
+    one = F.to_json(F.array(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.col("source").alias("platform"))))
+    value = F.when(F.col("doc_id") % 2 == 0, one).otherwise(F.concat(F.lit('{"artifact_data": '), one, F.lit("}")))
+    return read(docs(spark, d).select(value.alias("value"))).select("id", "content", "platform")
+
+
+@query("select lang as instruction, text as generated_answer, source as extracted_answer from documents")
+def preference_envelope(spark, d):
+    from corpusloom.sources.readers import preference_triples as read
+
+    rows = F.array(F.struct(F.col("lang").alias("instruction"), F.col("text").alias("generated_answer"), F.col("source").alias("extracted_answer")))
+    return read(docs(spark, d).select(F.to_json(F.struct(rows.alias("preference_triples"))).alias("value")))
+
+
+@query("select case when c_custkey % 2 = 0 then c_custkey::varchar else 'linkedin_user' end as id, c_name as full_name from customer where c_custkey % 3 <> 0")
+def profile_users(spark, d):
+    from corpusloom.sources.readers import profile_users as read
+
+    row = F.struct(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).alias("id"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("full_name"))
+    return read(table(spark, d, "customer").select(F.to_json(row).alias("value")))
+
+
+@query("select doc_id, case doc_id % 3 when 0 then text when 1 then text when 2 then source || ' ' || lang || ' ' || text end as text from documents where length(trim(text)) >= 10 or doc_id % 3 = 2 and length(source || ' ' || lang || ' ' || text) >= 10")
+def generic_documents(spark, d):
+    i = F.col("doc_id") % 3
+    content = F.when(i == 0, F.create_map(F.lit("Content"), "text", F.lit("x"), "source")).when(i == 1, F.create_map(F.lit("x"), "source", F.lit("content"), "text")).otherwise(F.create_map(F.lit("a"), "source", F.lit("b"), "lang", F.lit("c"), "text"))
+    return clean.generic(docs(spark, d).select("doc_id", content.alias("content"))).select("doc_id", "text")
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then '7' else '384' end as size, 'hashing' as model, lang from documents")
+def embedding_metadata(spark, d):
+    own = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("embedding_size"), F.lit("7"), F.lit("lang"), "lang")).otherwise(F.create_map(F.lit("lang"), "lang"))
+    m = embed.with_metadata(docs(spark, d).select("doc_id", own.alias("metadata")), "hashing", 384, 256)
+    return m.select("doc_id", F.col("metadata")["embedding_size"].alias("size"), F.col("metadata")["embedding_model_id"].alias("model"), F.col("metadata")["lang"].alias("lang"))
+
+
+@query("select vec_id::varchar as id, label, len(embedding)::int as size from embeddings")
+def points_round_trip(spark, d):
+    points = vector_store.as_points(embedded(spark, d), "vec_id", ["label"])
+    return vector_store.as_records(points).select("id", "label", F.size("embedding").alias("size"))
+
+
+@query("select count(*) as num_chunks, count(*) filter (label <> 0) as num_embedded from embeddings")
+def step_metadata(spark, d):
+    return reports.step_metadata(embedded(spark, d).withColumn("embedding", F.when(F.col("label") != 0, F.col("embedding"))))
+
+
+@query()
+def chunk_two_stage(spark, d):
+    return chunk.python_chunks(docs(spark, d), "text", ["doc_id"], "two_stage")
+
+
+@query()
+def html_feed_posts(spark, d):
+    from corpusloom.session import ship
+
+    ship(spark)
+    return table(spark, d, "pages").select("page_id", F.inline(H.extract_feed(F.col("html"))))
+
+
+@query()
+def html_fallback(spark, d):
+    from corpusloom.session import ship
+
+    ship(spark)
+    return table(spark, d, "pages").select("page_id", H.extract_fallback(F.col("html")).alias("a")).select("page_id", "a.*")
+
+
 # ---- retrieval
 
 

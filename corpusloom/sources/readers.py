@@ -120,3 +120,9 @@ def repository_files(spark: SparkSession, path: str, compat: bool = False, least
         return rows.filter(~ignored).withColumn("content", F.replace("content", F.lit(" "), F.lit("")))
     folders = "|".join(SKIPPED_FOLDERS)
     return rows.filter(~F.col("file_path").rlike(rf"(^|/)(\.[^/]+|{folders})/") & ~U.skip_file(F.col("file_path"), F.col("size")) & (F.char_length(T.strip(F.col("content"))) > least))
+
+
+def profile_users(files: DataFrame, default_id: str = "linkedin_user") -> DataFrame:
+    """(id, full_name) of profiles that have a full name."""
+    p = F.from_json("value", "struct<id:string,full_name:string>")
+    return files.select(F.coalesce(p["id"], F.lit(default_id)).alias("id"), p["full_name"].alias("full_name")).filter(F.col("full_name").isNotNull())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.vector_store import PAYLOAD_MB, payload_mb
+
 
 def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -16,6 +18,14 @@ def append_vectors(df: DataFrame, path: str, by: str | None = "collection") -> N
     (w.partitionBy(by) if by else w).parquet(path)
 
 
+def hybrid(df: DataFrame, path: str, columns: list[str], order: str, limit_mb: float = PAYLOAD_MB) -> str:
+    """Writes to the primary store, or the local one where the payload estimate is too large; returns which."""
+    mb = payload_mb(df, columns, order).first()["payload_mb"] or 0.0
+    store = "primary" if mb < limit_mb else "local"
+    append_vectors(df.withColumn("store", F.lit(store)), path, "store")
+    return store
+
+
 def clear(df: DataFrame, path: str) -> None:
     """An empty table of the same schema."""
     df.limit(0).write.mode("overwrite").parquet(path)

@@ -145,3 +145,43 @@ def test_streams(spark, data, tmp_path):
     streams.upsert_batches(s.select("user_id", "event_type"), out, "user_id", str(tmp_path / "cp")).awaitTermination()
     final = streams.latest_version(spark, out)
     assert final.count() == final.select("user_id").distinct().count() == spark.read.parquet(str(src)).select("user_id").distinct().count()
+
+
+def test_generated_pairs(spark):
+    from corpusloom.operators import datasets
+
+    def provider(t):
+        if "fail" in t:
+            raise RuntimeError
+        return 'Sure: {"instruction_answer_pairs": [{"instruction": "Q", "answer": "' + t[:3] + '"}]}' if "model" in t else "no json"
+
+    df = spark.createDataFrame([(1, "model text"), (2, "fail"), (3, "plain")], "i int, t string")
+    got = {(r["i"], r["instruction"], r["output"]) for r in datasets.generated_pairs(df, "t", ["i"], provider).collect()}
+    assert got == {(1, "Q", "mod"), (2, datasets.GENERIC, "fail."), (3, datasets.GENERIC, "plain.")}
+    assert datasets.generated_pairs(df, "t", ["i"]).count() == 3
+
+
+def test_hybrid_writer_and_profiles(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, embedding array<float>")
+    assert writers.hybrid(df, str(tmp_path / "a"), ["vec_id", "embedding"], "vec_id") == "primary"
+    assert writers.hybrid(df, str(tmp_path / "a"), ["vec_id", "embedding"], "vec_id", limit_mb=0.0) == "local"
+    assert {r["store"] for r in spark.read.parquet(str(tmp_path / "a")).collect()} == {"primary", "local"}
+
+
+def test_search_many_ties_and_blocks(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.6, 0.8]) for i in range(40)] + [(99, None), (98, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    q = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "query_id long, embedding array<float>")
+    for most_mb in (64, 1e-5):
+        got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in vector_store.search_many(df, q, 3, most_mb=most_mb).collect())
+        assert got == [(7, 1, 1), (7, 2, 3), (7, 3, 5), (8, 1, 0), (8, 2, 2), (8, 3, 4)]
+    assert vector_store.search_many(df, q.limit(0)).count() == 0
+    assert [r["vec_id"] for r in vector_store.search_many(df, q.filter("query_id = 7"), 1, "dot").collect()] == [1]
+    assert [r["vec_id"] for r in vector_store.search_many(df, q.filter("query_id = 7"), 1, "euclid").collect()] == [1]
+
+
+def test_command_line(capsys):
+    from corpusloom.__main__ import main
+
+    main(["list"])
+    assert "clean_ing" in capsys.readouterr().out
