@@ -8,8 +8,8 @@ kernel ridge regression on this map gives a score for each language.  Scoring
 a batch is two matrix products: presence matrix by landmarks, then by
 weights.
 
-Grams are taken from the lower-cased letters of the whole text, runs of other
-characters being one space.  Training uses at most `max_train` labelled rows
+Grams are taken within the words of the whole lower-cased text, a space at
+either end of a word; what is no letter separates words.  Training uses at most `max_train` labelled rows
 for the regression and, of these, `n_landmarks` landmarks; both are the rows with the
 smallest hashes, evenly from each language, so the sample does not depend on
 partitions; rows longer than `max_chars` are not learned from, but predicted
@@ -27,7 +27,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +42,8 @@ MAX_CHARS = 20_000
 N_LANDMARKS = 256
 N_GRAMS = 6000
 RIDGE = 1e-3
+#: Letters that grams are made of: the most widespread ones, so that the tables stay small.
+MAX_LETTERS = 180
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -62,18 +63,42 @@ def grams(text: str, sizes: tuple[int, ...] = NGRAMS) -> set[str]:
     return out
 
 
-class _WordGrams(dict):
-    """Places in the dictionary of the grams of a word, for the words met lately."""
+class _Tables:
+    """The dictionary as arrays: character -> letter code, and codes of n letters -> gram, so a text takes a few array operations."""
+
+    def __init__(self, index: dict[str, int], sizes: tuple[int, ...]):
+        chars = sorted({c for g in index for c in g} | {" "})
+        self.none, self.base, self.sizes = len(index), len(chars) + 1, sizes
+        self.code, self.letter = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, bool)
+        place = {c: i + 1 for i, c in enumerate(chars)}
+        for u in range(1 << 16):
+            c = chr(u)
+            self.letter[u] = c.isalpha()
+            self.code[u] = place.get(c, 0) if not _OTHER.match(c) else place[" "]  # what is no letter separates words
+        self.code[0xD800:0xE000] = 0
+        self.gram = {}
+        for n in sizes:
+            t = np.full(self.base**n, self.none, np.int16)
+            for g, i in index.items():
+                if len(g) == n:
+                    k = 0
+                    for c in g:
+                        k = k * self.base + place[c]
+                    t[k] = i
+            self.gram[n] = t
+
+    def mark(self, row: np.ndarray, units: np.ndarray) -> None:
+        a = self.code[units]
+        k = a
+        for n in range(1, max(self.sizes) + 1):
+            if n > 1:
+                k = k[:-1] * self.base + a[n - 1 :]
+            if n in self.gram:
+                row[self.gram[n][k]] = 1
 
-    def __init__(self, index: dict[str, int], sizes: tuple[int, ...], most: int = 100_000):
-        super().__init__()
-        self.index, self.sizes, self.most = index, sizes, most
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = tuple(i for g in grams(word, self.sizes) if (i := self.index.get(g)) is not None)
-        return out
+def units(text: str) -> np.ndarray:
+    return np.frombuffer(f" {text.lower()} ".encode("utf-16-le", "surrogatepass"), np.uint16)
 
 
 class Model:
@@ -83,12 +108,16 @@ class Model:
         rows = [(s, lang) for t, lang in labelled if (s := letters(t))]
         self.sizes = sizes
         self.languages = sorted({lang for _, lang in rows})
+        if max(sizes) > 3:
+            raise ValueError("grams of at most 3 letters")
         if not rows:
             return
         sets = [grams(s, sizes) for s, _ in rows]
         spread = Counter(g for x in sets for g in x)
+        common_letters = {g for g, _ in sorted(((g, n) for g, n in spread.items() if len(g) == 1 and ord(g) < 1 << 16), key=lambda x: (-x[1], x[0]))[:MAX_LETTERS]} | {" "}
+        spread = {g: n for g, n in spread.items() if common_letters.issuperset(g)}
         self.index = {g: i for i, (g, _) in enumerate(sorted(spread.items(), key=lambda x: (-x[1], x[0]))[:n_grams])}
-        x = self.presence([s for s, _ in rows])
+        x = self.presence([units(s) for s, _ in rows])
         chosen = self._landmarks([lang for _, lang in rows], n_landmarks)
         self.landmarks = np.ascontiguousarray(x[chosen].T)
         inner = self.landmarks.T @ self.landmarks
@@ -114,30 +143,38 @@ class Model:
         return sorted(i for _, i in sorted(place)[:n])
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "words"}
-
-    def presence(self, texts: list[str]) -> np.ndarray:
-        """A row for each text, of unit length: 1 / root of the number of grams present, where present."""
-        x = np.zeros((len(texts), len(self.index)), np.float32)
-        if "words" not in self.__dict__:
-            self.words = _WordGrams(self.index, self.sizes)
-        get = self.words.__getitem__
-        for r, s in enumerate(texts):
-            at = list(set(chain.from_iterable(map(get, set(s.split())))))
-            if at:
-                x[r, at] = len(at) ** -0.5
-        return x
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+
+    def presence(self, texts: list[np.ndarray]) -> np.ndarray:
+        """A row for each text's units, of unit length: 1 / root of the number of grams present, where present."""
+        if "tables" not in self.__dict__:
+            self.tables = _Tables(self.index, self.sizes)
+        x = np.zeros((len(texts), len(self.index) + 1), np.float32)
+        for row, u in zip(x, texts):
+            self.tables.mark(row, u)
+        x = x[:, :-1]
+        n = x.sum(axis=1, keepdims=True)
+        return np.divide(x, np.sqrt(n), out=np.zeros_like(x), where=n > 0)
+
+    def known(self, text: str | None) -> np.ndarray | None:
+        """The units of a text with a letter."""
+        if not text:
+            return None
+        u = units(text)
+        return u if self.tables.letter[u].any() or any(map(str.isalpha, text)) else None
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Languages and scores; a score is the sigmoid of the best margin."""
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return langs, scores
+        if "tables" not in self.__dict__:
+            self.tables = _Tables(self.index, self.sizes)
         for a in range(0, len(texts), 256):
-            some = [(i, s) for i, t in enumerate(texts[a : a + 256], a) if (s := letters(t))]
+            some = [(i, u) for i, t in enumerate(texts[a : a + 256], a) if (u := self.known(t)) is not None]
             if not some:
                 continue
-            f = (self.presence([s for _, s in some]) @ self.landmarks) @ self.weights + self.middle
+            f = (self.presence([u for _, u in some]) @ self.landmarks) @ self.weights + self.middle
             for (i, _), k, m in zip(some, f.argmax(axis=1).tolist(), f.max(axis=1).tolist()):
                 langs[i], scores[i] = self.languages[k], 1.0 / (1.0 + float(np.exp(-3.0 * m)))
         return langs, scores
