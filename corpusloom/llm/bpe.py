@@ -1,105 +1,104 @@
-"""Byte-level BPE with a word cache around the ``tokenizers`` library.
-
-A text is cut before every plain space that is followed by a character known
-not to be white space.  The byte-level pre-tokenizer never joins across such
-a place, so the pieces can be encoded one by one and their ids joined.  Words
-of natural text repeat, hence most pieces come from a dictionary; only new
-pieces reach the library.  Texts that hold an added token's string, and texts
-with other spacing, are encoded whole.
+"""Byte-level BPE with a word table around the ``tokenizers`` library.
+
+The byte-level pre-tokenizer never joins across certain places of a text:
+before a space that a visible character follows, at a line break between
+visible characters, and at a comma or full stop between a letter and white
+space.  Texts are cut there, over all texts of a group at once by array
+operations on their bytes.  A piece is known by its length and two
+polynomial hashes (96 bits); a fixed-size hash table gives its ids, and only
+pieces that are not in it go to the library, each once a group.
+
+Texts that hold an added token's string are encoded whole, and so is
+everything where the tokenizer is of another kind.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from array import array
 from collections.abc import Sequence
-from itertools import islice
 
 import numpy as np
 
-#: Pieces kept per worker, about 250 bytes each.  When they are full the younger
-#: third goes: what came early is mostly what comes often.
-CACHE_PIECES = 900_000
-#: Texts are encoded in groups of about so many characters, to bound what a group needs.
-GROUP_CHARS = 1_500_000
+#: Slots of the table, 2 to this power; a full table is emptied.
+TABLE_BITS = 21
 #: Longer pieces are encoded each time.
-CACHE_CHARS = 48
-#: First characters that no definition of white space holds.
-_SAFE = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x250)]))
-#: After a letter and before a space a comma or full stop is a piece of its own,
-#: and so is a line break with the word after it; they get a space and stand-ins.
-_COMMA, _STOP, _LINE = "\x01", "\x02", "\x03"
-#: Marks after other characters belong with them; such texts keep theirs.
-_OTHER_COMMA = re.compile(r",(?<![A-Za-zÀ-ÖØ-öø-ɏ],) ")
-_OTHER_STOP = re.compile(r"\.(?<![A-Za-zÀ-ÖØ-öø-ɏ]\.)[ \n]")
-_MEANT = {_COMMA: ",", _STOP: ".", _LINE: "\n"}
-_NOT_SAFE = re.compile(" (?![!-~À-ɏ])")
-
-
-def _cut(x: str) -> str:
-    """The text with marks and line breaks set apart, where each of them may be."""
-    lines = "\n" in x and all(line and line[0] in _SAFE and line[-1] in _SAFE for line in x.split("\n"))
-    if not _OTHER_COMMA.search(x):
-        x = x.replace(", ", " \x01 ")
-    if not _OTHER_STOP.search(x):
-        x = x.replace(". ", " \x02 ")
-        if lines:
-            x = x.replace(".\n", " \x02\n")
-    return x.replace("\n", " \x03") if lines else x
+PIECE_BYTES = 48
+#: Texts are encoded in groups of about so many characters, to bound what a group needs.
+GROUP_CHARS = 700_000
+_PROBES = 16
+_LOAD = 0.7
+
+
+def _class(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for a, b in ranges:
+        out[a : b + 1] = True
+    return out
+
+
+#: Lead bytes of U+00C0 to U+023F: all visible, all letters but two.
+_LEAD = _class((0xC3, 0xC8))
+_OPEN = _class((0x21, 0x7E)) | _LEAD
+_ASCII = _class((0x21, 0x7E))
+_LETTER = _class((0x41, 0x5A), (0x61, 0x7A))
+_MARK = np.zeros(256, bool)
+_MARK[[0x2C, 0x2E]] = True
+
+
+def _powers(base: int) -> np.ndarray:
+    return np.array([pow(base, k, 1 << 64) for k in range(PIECE_BYTES + 1)], np.uint64)
+
+
+_P1, _P2 = _powers(0x9E3779B97F4A7C15), _powers(0xC2B2AE3D27D4EB4F)
+
+
+def cut(b: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where pieces start in the bytes of texts that start at `first`; a zero byte follows each text."""
+    n = b.size
+    after, before = np.empty_like(b), np.empty_like(b)
+    after[:-1], after[-1] = b[1:], 0
+    before[1:], before[0] = b[:-1], 0
+    starts = (b == 0x20) & _OPEN[after]
+    rare = np.flatnonzero((b == 0x0A) | _MARK[b])
+    rare = rare[(rare > 1) & (rare < n - 1)]
+    c, prev, lead = b[rare], before[rare], _LEAD[b[rare - 2]]
+    wide = (prev >= 0x80) & lead
+    letter = _LETTER[prev] | wide & ~((b[rare - 2] == 0xC3) & ((prev == 0x97) | (prev == 0xB7)))
+    line = (c == 0x0A) & _OPEN[after[rare]] & (_ASCII[prev] | wide)
+    mark = (c != 0x0A) & letter & ((after[rare] == 0x20) | (after[rare] == 0x0A))
+    starts[rare[line | mark]] = True
+    starts[first] = True
+    return np.flatnonzero(starts)
 
 
 class CachedBPE:
     """Encodes texts to little-endian uint32 id bytes, equal to ``Tokenizer.encode``."""
 
-    def __init__(self, path: str, pieces: int | None = None):
+    def __init__(self, path: str, bits: int | None = None):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces = Tokenizer.from_file(path), pieces or CACHE_PIECES
+        self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         self.added = [t["content"] for t in spec["added_tokens"]]
-        kind = (spec.get("pre_tokenizer") or {})
+        kind = spec.get("pre_tokenizer") or {}
         self.by_word = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex") and not spec.get("normalizer")
-        size = self.tokenizer.get_vocab_size()
-        self.opens = np.zeros(size, bool)
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
-        self.cache: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.cache |= {_COMMA: self.whole(","), _STOP: self.whole(".")}
         self.lone_x = self.tokenizer.encode(" x", add_special_tokens=False).ids[0]
+        self.bits = bits or TABLE_BITS
+        self.clear()
+
+    def clear(self) -> None:
+        n = 1 << self.bits
+        self.key, self.check = np.zeros(n, np.uint64), np.zeros(n, np.uint32)
+        self.at, self.n = np.zeros(n, np.int32), np.zeros(n, np.uint8)  # a short piece has PIECE_BYTES ids at most
+        self.pool, self.used, self.filled = np.zeros(1 << 16, np.uint32), 0, 0
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of ``" " + word`` for each word; what starts with a stand-in has no space before it."""
-        out: dict[str, bytes] = {}
-        plain, lines = [], []
-        for w in words:
-            c = w[0]
-            if c > _LINE:
-                plain.append(w)
-            elif c == _LINE:
-                lines.append(w)
-            else:
-                out[w] = self.whole(_MEANT[c] + w[1:])
-        for lead, part in ((" ", plain), (" x", lines)):
-            skip = 4 * (len(lead) - 1)
-            text = ["\n" + w[1:] for w in part] if skip else part
-            joined = [lead + lead.join(text[k : k + 512]) for k in range(0, len(part), 512)]
-            for k, enc in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-                group = part[512 * k : 512 * (k + 1)]
-                ids = np.array(enc.ids, "<u4")
-                starts = np.flatnonzero(self.opens[ids])
-                if len(starts) == len(group) and starts[0] == 0 and (not skip or (ids[starts] == self.lone_x).all()):
-                    raw, at = ids.tobytes(), (starts * 4).tolist()
-                    at.append(len(raw))
-                    out.update(zip(group, [raw[a + skip : b] for a, b in zip(at, at[1:])]))
-                else:
-                    out.update((w, self.whole("\n" + w[1:] if skip else " " + w)) for w in group)
-        return out
-
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         if not self.by_word:
             return [self.whole(x) for x in texts]
@@ -108,50 +107,146 @@ class CachedBPE:
         for i, x in enumerate(texts):
             size += len(x)
             if size > GROUP_CHARS:
-                out += self._encode(texts[first : i + 1])
+                out += self._group(texts[first : i + 1])
                 first, size = i + 1, 0
-        return out + self._encode(texts[first:])
-
-    def _encode(self, texts: Sequence[str]) -> list[bytes]:
-        words: list[str] = []  # of all texts that can be cut, but for each one's first
-        spans: list[tuple[str, int, int] | None] = []
-        for x in texts:
-            if len(x) > 1 and x[0] in _SAFE and not _NOT_SAFE.search(x) and not any(c in x for c in _MEANT) and not any(a in x for a in self.added):
-                head, *rest = _cut(x).split(" ")
-                spans.append((head, len(words), len(words) + len(rest)))
-                words += rest
-            else:
-                spans.append(None)
-        cache = self.cache
-        codes = list(map(cache.get, words))
-        at = [i for i, c in enumerate(codes) if c is None]
-        if at:
-            new = self._new(list({words[i] for i in at}))
-            for i in at:
-                codes[i] = new[words[i]]
-            if len(cache) + len(new) > self.pieces:
-                cache = self.cache = dict(islice(cache.items(), self.pieces * 2 // 3))
-            cache.update(new)
-            for w in [w for w in new if len(w) > CACHE_CHARS]:
-                del cache[w]
-        return [(b"" if not x else self.whole(x)) if s is None else self._head(s[0]) + b"".join(codes[s[1] : s[2]]) for x, s in zip(texts, spans)]
-
-    def _head(self, word: str) -> bytes:
-        """Ids of a text's first piece, which has no space before it."""
-        out = self.heads.get(word)
-        if out is None:
-            if len(self.heads) > self.pieces // 16:
-                self.heads.clear()
-            out = self.heads[word] = self.whole(word)
+        return out + self._group(texts[first:])
+
+    def _group(self, texts: Sequence[str]) -> list[bytes]:
+        out = [b""] * len(texts)
+        own, raw = [], []
+        for i, x in enumerate(texts):
+            if any(a in x for a in self.added) or "\0" in x:
+                out[i] = self.whole(x)
+            elif x:
+                own.append(i)
+                raw.append(x.encode())
+        if not own:
+            return out
+        joined = b"\0".join(raw) + b"\0"
+        b = np.frombuffer(joined, np.uint8)
+        length = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+        first = np.cumsum(length) - length
+        start = cut(b, first)
+        end = np.append(start[1:], b.size)
+        piece = np.searchsorted(start, first)  # the first piece of each text
+        end[np.append(piece[1:], start.size) - 1] -= 1  # without the zero byte
+        at, n = self._ids(joined, b, start, end)
+        total = np.cumsum(n)
+        if total[-1]:
+            ids = self.pool[np.repeat(at - (total - n), n) + np.arange(total[-1])].tobytes()
+        else:
+            ids = b""
+        edge = (4 * np.append(0, total)[np.append(piece, start.size)]).tolist()
+        for i, a, z in zip(own, edge, edge[1:]):
+            out[i] = ids[a:z]
         return out
 
+    def _ids(self, joined: bytes, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece lie in the pool, and how many they are."""
+        size = end - start
+        span = np.diff(np.append(start, b.size))
+        within = np.arange(b.size) - np.repeat(start, span)
+        np.minimum(within, PIECE_BYTES, out=within)
+        h = np.add.reduceat((b.astype(np.uint64) + np.uint64(1)) * _P1[within], start)
+        g = np.add.reduceat((b.astype(np.uint64) + np.uint64(1)) * _P2[within], start)
+        h += size.astype(np.uint64)
+        h = h ^ (h >> np.uint64(29))
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h |= np.uint64(1)  # zero marks an empty slot
+        check = (g >> np.uint64(32)).astype(np.uint32)
+        short = size <= PIECE_BYTES
+        slot = self._find(h, check)
+        miss = np.flatnonzero((slot < 0) | ~short)
+        at, n = np.empty(start.size, np.int64), np.empty(start.size, np.int64)
+        if miss.size:
+            _, one, back = np.unique(np.stack([h[miss], check[miss].astype(np.uint64), np.where(short[miss], 0, miss + 1).astype(np.uint64)], 1) if not short[miss].all() else h[miss] ^ (check[miss].astype(np.uint64) << np.uint64(32)), axis=0, return_index=True, return_inverse=True)
+            some = miss[one]
+            keep = short[some]
+            if self.filled + int(keep.sum()) > _LOAD * (1 << self.bits) and self.filled:
+                # all pieces of this group are encoded anew
+                self.clear()
+                return self._ids(joined, b, start, end)
+            new_at, new_n = self._encode([joined[a:z].decode() for a, z in zip(start[some].tolist(), end[some].tolist())])
+            if self.filled + int(keep.sum()) <= _LOAD * (1 << self.bits):
+                self._put(h[some[keep]], check[some[keep]], new_at[keep], new_n[keep])
+            at[miss], n[miss] = new_at[back.ravel()], new_n[back.ravel()]
+        hit = np.flatnonzero((slot >= 0) & short)
+        at[hit], n[hit] = self.at[slot[hit]], self.n[slot[hit]]
+        return at, n
+
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        mask, shift = (1 << self.bits) - 1, np.uint64(64 - self.bits)
+        home = (h >> shift).astype(np.int64)
+        out = np.full(h.size, -1, np.int64)
+        todo = np.arange(h.size)
+        for k in range(_PROBES):
+            s = (home[todo] + k) & mask
+            key = self.key[s]
+            same = (key == h[todo]) & (self.check[s] == check[todo])
+            out[todo[same]] = s[same]
+            todo = todo[~same & (key != 0)]
+            if not todo.size:
+                break
+        return out
+
+    def _put(self, h: np.ndarray, check: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        """New pieces, each once.  One that finds no slot in reach is left out and encoded again when met."""
+        mask, shift = (1 << self.bits) - 1, np.uint64(64 - self.bits)
+        home = (h >> shift).astype(np.int64)
+        todo = np.arange(h.size)
+        for k in range(_PROBES):
+            s = (home[todo] + k) & mask
+            free = self.key[s] == 0
+            _, one = np.unique(s[free], return_index=True)
+            chosen = np.flatnonzero(free)[one]
+            i, t = todo[chosen], s[chosen]
+            self.key[t], self.check[t], self.at[t], self.n[t] = h[i], check[i], at[i], n[i]
+            self.filled += i.size
+            rest = np.ones(todo.size, bool)
+            rest[chosen] = False
+            todo = todo[rest]
+            if not todo.size:
+                break
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Puts the ids of pieces in the pool."""
+        at, n = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        plain, lines, rest = [], [], []
+        for i, p in enumerate(pieces):
+            (rest if " " in p[1:] else plain if p[0] == " " else lines if p[0] == "\n" else rest).append(i)
+        # pieces in a row: those that start with a space show where they start by their first token
+        for lead, part in (("", plain), (" x", lines)):
+            skip = int(bool(lead))
+            joined = ["".join([lead + pieces[i] for i in part[k : k + 512]]) for k in range(0, len(part), 512)]
+            for k, enc in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                group = np.array(part[512 * k : 512 * (k + 1)])
+                ids = np.array(enc.ids, np.uint32)
+                starts = np.flatnonzero(self.opens[ids])
+                if starts.size == group.size and starts[0] == 0 and (not skip or (ids[starts] == self.lone_x).all()):
+                    base = self._store(ids)
+                    at[group], n[group] = base + starts + skip, np.diff(np.append(starts, ids.size)) - skip
+                else:
+                    rest += group.tolist()
+        for i, enc in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
+            ids = np.array(enc.ids, np.uint32)
+            at[i], n[i] = self._store(ids), ids.size
+        return at, n
+
+    def _store(self, ids: np.ndarray) -> int:
+        base = self.used
+        if base + ids.size > self.pool.size:
+            self.pool = np.concatenate([self.pool, np.zeros(max(self.pool.size, ids.size), np.uint32)])
+        self.pool[base : base + ids.size] = ids
+        self.used += ids.size
+        return base
+
 
 _LOADED: dict[str, CachedBPE] = {}
 
 
-def load(path: str, pieces: int | None = None) -> CachedBPE:
-    """One encoder per worker process and file; pieces bounds its cache."""
-    found = _LOADED.get(path)
-    if found is None or found.pieces != (pieces or CACHE_PIECES):
-        found = _LOADED[path] = CachedBPE(path, pieces)
-    return found
+def load(path: str) -> CachedBPE:
+    """One encoder per worker process and file."""
+    if path not in _LOADED:
+        _LOADED[path] = CachedBPE(path)
+    return _LOADED[path]

@@ -281,23 +281,19 @@ def test_longest_matches(spark):
 # ---- tokens and packing
 
 
-def test_cached_bpe(tokenizer):
+@pytest.mark.parametrize("bits", [6, 12, 21])
+def test_cached_bpe(tokenizer, bits):
     from array import array
 
     rng = random.Random(5)
-    parts = [*"ab'sZé1 \n\t.,!\x01\x03\x1c\xa0\x85日<|>", "  ", "<|endoftext|>", " it's", "'ll", ", ", ". ", ".\n", ",\n", "word, next. Line\nbreak"]
+    parts = [*"ab'sZé×1 \n\t.,!\x01\x1c\xa0\x85日<|>\0", "  ", "<|endoftext|>", " it's", "'ll", ", ", ". ", ".\n", ",\n", "é, ", "×. ", "word, next. Line\nbreak", "y" * 70]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)] + [t or "" for _, t in ROWS]
-    enc = bpe.CachedBPE(tokenizer)
+    enc = bpe.CachedBPE(tokenizer, bits)
     want = [array("I", e.ids).tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert enc.encode(texts) == want and enc.encode(texts) == want
-
-
-def test_cache_is_bounded(tokenizer, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 50)
-    enc = bpe.CachedBPE(tokenizer)
-    texts = [t or "" for _, t in ROWS]
-    for k in range(0, len(texts), 5):
-        assert enc.encode(texts[k : k + 5]) == [enc.whole(t) if t else b"" for t in texts[k : k + 5]]
+    for k in range(0, len(texts), 101):
+        assert enc.encode(texts[k : k + 101]) == want[k : k + 101]
+    assert enc.filled <= 1 << bits
 
 
 @pytest.mark.parametrize("top", [1, 2, 300, 70000, 2**31, 2**62])
