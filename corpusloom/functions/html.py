@@ -17,13 +17,30 @@ from pyspark.sql.types import ArrayType, StructType
 
 from corpusloom.functions.text import collapse, or_empty
 
-#: Ordered selectors of title and body by platform.
+#: Ordered selectors of title and content by platform.
 SELECTORS = {
-    "medium": {"title": ["h1.pw-post-title", "h1"], "content": ["article", "main", "div.article"]},
-    "linkedin": {"title": ["h1"], "content": ["div.feed-shared-update-v2__description", "article", "main"]},
-    "substack": {"title": ["h1.post-title", "h1"], "content": ["div.body", "div.post-content", "article"]},
-    "unknown": {"title": ["title"], "content": ["main", "article", ".content", ".post", "#content", "body"]},
+    "medium": {
+        "title": ["h1.pw-post-title", "h1", "title"],
+        "content": ["article", ".pw-post-body", ".postArticle-content", "[data-testid='postContent']", "main"],
+    },
+    "linkedin": {
+        "title": ["h1.break-words", ".share-update-card__title", "[data-test-id='post-title']", "h1"],
+        "content": [".share-update-card__content", "[data-test-id='post-content']", ".feed-shared-update-v2__description", "article"],
+    },
+    "substack": {
+        "title": ["h1", ".post-title", ".title"],
+        "content": [".body", ".post-body", "article", ".content"],
+    },
 }
+#: Where other pages have their content, in order, after page furniture is dropped.
+GENERIC = ["main", "article", ".content", ".post", "#content"]
+#: A feed's post containers and their parts, in order.
+FEED = [".feed-shared-update-v2", "[data-test-id='feed-update']", ".occludable-update"]
+FEED_TEXT = [".feed-shared-text", ".feed-shared-update-v2__description", "[data-test-id='post-content']"]
+FEED_AUTHOR = [".feed-shared-actor__title", "[data-test-id='actor-name']"]
+FEED_LINK = ["a[href*='/posts/']", "a[href*='/activity/']"]
+FEED_TIME = ["[data-test-id='post-timestamp']"]
+FEED_SITE = "https://www.linkedin.com"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _DROP = frozenset(("script", "style", "nav", "footer", "header"))
 _PART = re.compile(r"([a-zA-Z][\w-]*)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(\*?=)[\"']?([^\]\"']*)[\"']?\]")
@@ -119,24 +136,33 @@ def select(root: Node, selector: str) -> Iterator[Node]:
             yield n
 
 
+def first(root: Node, selectors: list[str]) -> Node | None:
+    """The first element in the page's order that any of the selectors fits, by order of selectors."""
+    for s in selectors:
+        if (n := next(select(root, s), None)) is not None:
+            return n
+    return None
+
+
 def first_text(root: Node, selectors: list[str], least: int = 10) -> str:
-    """The first element whose stripped text is longer than `least`, by order of selectors."""
+    """By order of selectors, the text of a selector's first element if it is longer than `least`."""
     for s in selectors:
-        for n in select(root, s):
-            t = n.text()
-            if len(t) > least:
-                return t
+        n = next(select(root, s), None)
+        if n is not None and len(t := n.text()) > least:
+            return t
     return ""
 
 
 def extract(html: str | None, platform: str | None) -> dict:
-    """{title, content, content_length} by the platform's selectors."""
-    rules = SELECTORS.get(platform or "unknown", SELECTORS["unknown"])
-    root = parse(html)
-    title = first_text(root, rules["title"], 0)
-    content = first_text(root, rules["content"])
-    if not content:
-        content = first_text(root, SELECTORS["unknown"]["content"])
+    """{title, content, content_length} by the platform's selectors; other pages by the usual places."""
+    rules = SELECTORS.get(platform or "")
+    if rules:
+        root = parse(html, frozenset())
+        title, content = first_text(root, rules["title"]), first_text(root, rules["content"])
+    else:
+        root = parse(html)
+        head, body = first(root, ["title"]), first(root, GENERIC) or first(root, ["body"])
+        title, content = head.text() if head else "", body.text() if body else ""
     return {"title": title, "content": content, "content_length": len(content)}
 
 
@@ -145,26 +171,28 @@ def extract_article(html: pd.Series, platform: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([extract(h, p) for h, p in zip(html, platform)], columns=["title", "content", "content_length"])
 
 
-def feed_posts(html: str | None, containers: list[str]) -> list[dict]:
-    """A post for each container with content or a link."""
-    root, out = parse(html), []
-    for s in containers:
-        for n in select(root, s):
-            link = next((a.attrs["href"] for a in select(n, "a") if a.attrs.get("href")), None)
-            content = n.text()
-            if content or link:
-                out.append({"title": content.split("\n")[0][:100], "content": content, "link": link})
+def feed_posts(html: str | None, containers: list[str] | None = None) -> list[dict]:
+    """The posts in the containers of the first selector that has any; those with content or a link."""
+    root, out = parse(html, frozenset()), []
+    found = next((f for s in containers or FEED if (f := list(select(root, s)))), [])
+    for n in found:
+        text = lambda rules, n=n: e.text("") if (e := first(n, rules)) else ""
+        link = (e.attrs.get("href", "") if (e := first(n, FEED_LINK)) else "")
+        post = {"title": f"Post by {text(FEED_AUTHOR) or 'Unknown'}", "content": text(FEED_TEXT), "author": text(FEED_AUTHOR) or "Unknown", "link": FEED_SITE + link if link.startswith("/") else link, "timestamp": text(FEED_TIME), "platform": "www.linkedin.com"}
+        if post["content"] or post["link"]:
+            out.append(post)
     return out
 
 
-FEED = ["div.feed-shared-update-v2", "[data-urn*=activity]", "article"]
-_POST = StructType().add("title", "string").add("content", "string").add("link", "string")
+_POST = StructType()
+for _name in ("title", "content", "author", "link", "timestamp", "platform"):
+    _POST = _POST.add(_name, "string")
 
 
 @F.pandas_udf(ArrayType(_POST))
 def extract_feed(html: pd.Series) -> pd.Series:
-    """The posts of each page's feed containers."""
-    return pd.Series([feed_posts(h, FEED) for h in html], index=html.index)
+    """The posts of each page's feed."""
+    return pd.Series([feed_posts(h) for h in html], index=html.index)
 
 
 def fallback(html: str | None, most: int = 5000) -> dict:

@@ -795,12 +795,14 @@ def chunk_two_stage(spark, d):
     return chunk.python_chunks(docs(spark, d), "text", ["doc_id"], "two_stage")
 
 
-@query()
+@query(f"select page_id, 'Post by ' || a as title, {s_page_text('html')} as content, a as author, 'https://www.linkedin.com/posts/1' as link, '' as timestamp, 'www.linkedin.com' as platform from (select page_id, html, regexp_extract(url, '//([^.]*)', 1) as a from pages)")
 def html_feed_posts(spark, d):
     from corpusloom.session import ship
 
     ship(spark)
-    return table(spark, d, "pages").select("page_id", F.inline(H.extract_feed(F.col("html"))))
+    part = lambda css, text: F.concat(F.lit(f'<div class="{css}">'), text, F.lit("</div>"))
+    post = part("feed-shared-update-v2", F.concat(part("feed-shared-actor__title", F.regexp_extract("url", "//([^.]*)", 1)), part("feed-shared-text", H.regex_text(F.col("html"))), F.lit('<a href="/posts/1">more</a>')))
+    return table(spark, d, "pages").select("page_id", F.inline(H.extract_feed(F.concat(post, F.lit('<div class="feed-shared-update-v2">empty</div>')))))
 
 
 @query()

@@ -117,7 +117,10 @@ def test_html():
     assert H.extract(page, "unknown") == {"title": "T", "content": "Hello there, reader", "content_length": 19}
     root = H.parse(page)
     assert [n.attrs["id"] for n in H.select(root, "body div.post#c")] == ["c"]
-    assert H.feed_posts(page, ["[data-k*=feed]"]) == [{"title": "more", "content": "more", "link": "/x"}]
+    feed = '<div data-k="feed-1"><span data-test-id="actor-name">Ann</span><p class="feed-shared-text">Hi <b>all</b></p><a href="/posts/7">x</a></div><div data-k="feed-2">nothing</div>'
+    assert H.feed_posts(feed, [".none", "[data-k*=feed]"]) == [{"title": "Post by Ann", "content": "Hiall", "author": "Ann", "link": "https://www.linkedin.com/posts/7", "timestamp": "", "platform": "www.linkedin.com"}]
+    medium = '<h1 class="pw-post-title">A fine long title</h1><article>short</article><main>the content of a page</main>'
+    assert H.extract(medium, "medium") == {"title": "A fine long title", "content": "the content of a page", "content_length": 21}
     assert H.extract(None, None)["content"] == "" and H.extract("<p", "medium")["content_length"] == 0
 
 
