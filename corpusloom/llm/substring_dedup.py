@@ -184,7 +184,8 @@ def _locate(unit: Unit, found: list[bool]) -> np.ndarray:
 def _run(docs: DataFrame, window: int, texts: bool) -> DataFrame:
     spark = common.prepare(docs.sparkSession)
     parts = common.partitions(spark)
-    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(parts)).cast("int")
+    # two units for each partition, one after the other, as a unit's windows take several times its text in memory
+    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2 * parts)).cast("int")
     rows = docs.select(unit.alias("unit"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
