@@ -90,8 +90,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def crc_mod(column: str, m: int) -> Column:
-    """crc32 of an id written as text, modulo m."""
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))
+    """crc32 of an id written as text, modulo m; -1 without an id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m)), F.lit(-1))
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

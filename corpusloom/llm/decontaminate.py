@@ -83,10 +83,9 @@ class Suffixes:
         starts = np.flatnonzero(room >= self.shortest)
         if not starts.size:
             return none, none
-        padded = np.concatenate([ids, np.full(w, -1)])
-        depth = np.arange(w)
-        keys = (padded[starts[:, None] + depth] + 1).astype(">u4")
-        keys[depth[None, :] >= room[starts][:, None]] = 0
+        padded = (np.concatenate([ids, np.full(w, -1)]) + 1).astype(">u4")
+        keys = np.lib.stride_tricks.sliding_window_view(padded, w)[starts]
+        keys[np.arange(w)[None, :] >= room[starts][:, None]] = 0
         keys = np.ascontiguousarray(keys).view(f"S{4 * w}").ravel()
         order = np.argsort(keys, kind="stable")
         array, keys = starts[order], keys[order]  # the suffix array
