@@ -157,22 +157,21 @@ class CachedBPE:
         check = (g >> np.uint64(32)).astype(np.uint32)
         short = size <= PIECE_BYTES
         slot = self._find(h, check)
-        miss = np.flatnonzero((slot < 0) | ~short)
-        at, n = np.empty(start.size, np.int64), np.empty(start.size, np.int64)
-        if miss.size:
-            _, one, back = np.unique(np.stack([h[miss], check[miss].astype(np.uint64), np.where(short[miss], 0, miss + 1).astype(np.uint64)], 1) if not short[miss].all() else h[miss] ^ (check[miss].astype(np.uint64) << np.uint64(32)), axis=0, return_index=True, return_inverse=True)
-            some = miss[one]
-            keep = short[some]
-            if self.filled + int(keep.sum()) > _LOAD * (1 << self.bits) and self.filled:
-                # all pieces of this group are encoded anew
-                self.clear()
+        miss, long = np.flatnonzero((slot < 0) & short), np.flatnonzero(~short)
+        at, n = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64)  # of no use yet where slot is -1
+        if miss.size or long.size:
+            _, one, back = np.unique(h[miss] ^ (check[miss].astype(np.uint64) << np.uint64(32)), return_index=True, return_inverse=True)
+            new = miss[one]
+            if self.filled and self.filled + new.size > _LOAD * (1 << self.bits):
+                self.clear()  # and encode all pieces of this group anew
                 return self._ids(joined, b, start, end)
+            some = np.concatenate([new, long])
             new_at, new_n = self._encode([joined[a:z].decode() for a, z in zip(start[some].tolist(), end[some].tolist())])
-            if self.filled + int(keep.sum()) <= _LOAD * (1 << self.bits):
-                self._put(h[some[keep]], check[some[keep]], new_at[keep], new_n[keep])
-            at[miss], n[miss] = new_at[back.ravel()], new_n[back.ravel()]
-        hit = np.flatnonzero((slot >= 0) & short)
-        at[hit], n[hit] = self.at[slot[hit]], self.n[slot[hit]]
+            k = new.size
+            if self.filled + k <= _LOAD * (1 << self.bits):
+                self._put(h[new], check[new], new_at[:k], new_n[:k])
+            at[miss], n[miss] = new_at[:k][back], new_n[:k][back]
+            at[long], n[long] = new_at[k:], new_n[k:]
         return at, n
 
     def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
