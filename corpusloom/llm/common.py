@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -41,9 +43,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path for a written table in the shared folder; it goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _MADE:
+        with contextlib.suppress(Exception):  # the session may be gone
+            drop_written(spark, path)
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
