@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -135,7 +135,16 @@ def split(df: DataFrame, key: str, share: float, seed: str = "42") -> DataFrame:
 
 
 def answered_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, instruction, output): each user or system turn with the assistant's that follows."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = turns.withColumns({"next_role": F.lead("role").over(w), "output": F.lead("text").over(w)})
-    return rows.filter("role in ('user', 'system') and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("instruction"), "output")
+    """(conv_id, turn, instruction, output): each user or system turn with the assistant's at the turn after it.
+
+    A join on conversation and turn, so that a very long conversation is spread like short ones.
+    """
+    asked = turns.filter(F.col("role").isin("user", "system")).select("conv_id", "turn", F.col("text").alias("instruction"))
+    given = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
+    return asked.join(given, ["conv_id", "turn"])
+
+
+def with_alternatives(pairs: DataFrame, apart: int = 2) -> DataFrame:
+    """Adds other: the output of the pair `apart` turns later in the same conversation, null at its end."""
+    later = pairs.select("conv_id", (F.col("turn") - apart).alias("turn"), F.col("output").alias("other"))
+    return pairs.join(later, ["conv_id", "turn"], "left")

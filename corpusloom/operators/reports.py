@@ -29,7 +29,9 @@ def crawl_report(crawls: DataFrame, platform: str, link: str, ok: str) -> DataFr
 
 
 def crawled_links(crawls: DataFrame, platform: str, link: str) -> DataFrame:
-    return crawls.groupBy(platform).agg(F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list(link)).alias("links"))
+    """(platform, link, count): each link with its platform's count; a table, as the lists have no bound."""
+    counts = crawls.groupBy(platform).agg(F.count(F.lit(1)).alias("count"))
+    return crawls.select(platform, link).join(counts, platform)
 
 
 def title_category(title: Column, rules=TITLE_CATEGORIES, other: str = "Other") -> Column:

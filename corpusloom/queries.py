@@ -165,8 +165,9 @@ def extract_text_and_type(spark, d):
 
 @query("select source as repository_name, doc_id || '.md' as file_path, text, 'markdown' as language, n_chars::bigint as file_size from documents where length(trim(text)) >= 10")
 def repository_files(spark, d):
-    files = F.map_from_entries(F.collect_list(F.struct(F.concat(F.col("doc_id").cast("string"), F.lit(".md")), F.struct(F.col("text").alias("content"), F.col("n_chars").alias("size"), U.file_language(F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("language")))))
-    repos = docs(spark, d).groupBy("source", F.pmod("doc_id", F.lit(64))).agg(files.alias("files")).select(F.concat(F.lit("https://github.com/x/"), "source").alias("repository_url"), F.lit("x").alias("owner"), F.col("source").alias("name"), F.lit("2024-01-01").alias("extracted_at"), "files")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
+    files = F.create_map(name, F.struct(F.col("text").alias("content"), F.col("n_chars").alias("size"), U.file_language(name).alias("language")))
+    repos = docs(spark, d).select(F.concat(F.lit("https://github.com/x/"), "source").alias("repository_url"), F.lit("x").alias("owner"), F.col("source").alias("name"), F.lit("2024-01-01").alias("extracted_at"), files.alias("files"))
     return clean.repository_files(repos).select("repository_name", "file_path", "text", "language", "file_size")
 
 
@@ -481,6 +482,12 @@ def pages2(spark, d) -> DataFrame:
     return table(spark, d, "pages").withColumn("url2", F.expr(SPARK_URL2))
 
 
+@query(f"with p as (select page_id, {URL2} as url2 from pages) select {S_GROUP} as platform, url2, count(*) over (partition by {S_GROUP}) as count from p where page_id % 4 <> 0")
+def crawled_links(spark, d):
+    p = pages2(spark, d).filter("page_id % 4 <> 0").select(U.link_group(F.col("url2")).alias("platform"), "url2")
+    return reports.crawled_links(p, "platform", "url2")
+
+
 @query(f"with p as (select *, {URL2} as url2 from pages), g as (select {S_GROUP} as platform, page_id % 4 <> 0 as ok from p) select platform, count(*) as links, count(*) filter (ok) as crawled, round(count(*) filter (ok) / count(*)::double, 6) as success_rate from g group by 1 union all select null, count(*), count(*) filter (ok), round(count(*) filter (ok) / count(*)::double, 6) from g")
 def crawl_report(spark, d):
     p = pages2(spark, d).select(U.link_group(F.col("url2")).alias("platform"), "url2", (F.col("page_id") % 4 != 0).alias("ok"))
@@ -670,14 +677,11 @@ def varied_examples(spark, d):
     return datasets.varied_examples(articles(spark, d), "text", "platform", "author_full_name", ["doc_id"])
 
 
-S_TURNS = "turns as (select conv_id, turn, text as instruction, nxt as output from (select *, lead(role) over w as nr, lead(text) over w as nxt from conversations window w as (partition by conv_id order by turn)) where role in ('user', 'system') and nr = 'assistant'), alts as (select t.*, lead(output) over (partition by conv_id order by turn) as other from turns t)"
+S_TURNS = "turns as (select a.conv_id, a.turn, a.text as instruction, b.text as output from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role in ('user', 'system') and b.role = 'assistant'), alts as (select t.*, u.output as other from turns t left join turns u on u.conv_id = t.conv_id and u.turn = t.turn + 2)"
 
 
 def turns(spark, d) -> DataFrame:
-    from pyspark.sql import Window
-
-    t = datasets.answered_turns(table(spark, d, "conversations"))
-    return t.withColumn("other", F.lead("output").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return datasets.with_alternatives(datasets.answered_turns(table(spark, d, "conversations")))
 
 
 @query(f"with {S_TURNS} select conv_id, turn, instruction, case when turn % 4 in (0, 1) then output else coalesce(other, output) end as generated_answer, case when turn % 4 in (0, 1) then coalesce(other, output) else output end as extracted_answer from alts where turn // 2 <= 20")
