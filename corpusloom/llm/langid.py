@@ -42,6 +42,8 @@ MAX_CHARS = 20_000
 N_LANDMARKS = 256
 N_GRAMS = 6000
 RIDGE = 1e-3
+#: The languages with most rows are learned.
+MAX_LANGUAGES = 200
 #: Letters that grams are made of: the most widespread ones, so that the tables stay small.
 MAX_LETTERS = 180
 _OTHER = re.compile(r"[\W\d_]+")
@@ -185,7 +187,7 @@ def fit(docs: DataFrame, usable: Column | None = None, max_train: int = MAX_TRAI
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (usable if usable is not None else F.lit(True)))
     rows = rows.filter(F.char_length("text") <= max_chars).select(F.col(id_col).alias("id"), "text", "lang")
     order = F.xxhash64("id", F.lit(5))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return Model([], **options)
     each = max(1, max_train // len(counts))
@@ -211,4 +213,6 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """The rows whose language is recognised, with their columns."""
+    if not model.languages:  # nothing was learned: what has a letter stays
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return common.unboxed(predict(common.boxed(docs), model, [common.ROW]).filter(F.col("lang_pred") != UNKNOWN))

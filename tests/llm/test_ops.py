@@ -428,6 +428,7 @@ def test_language(spark, docs, empty):
     assert langid.predict(empty, model, ["doc_id"]).count() == 0
     nothing = langid.fit(empty)
     assert {r["lang_pred"] for r in langid.predict(odd, nothing, ["doc_id"]).collect()} == {"und"}
+    assert langid.keep_known(docs, nothing).count() == langid.keep_known(docs, model).count()
     kept = langid.keep_known(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(bool(t) and any(c.isalpha() for c in t) for _, t in ROWS)
 
