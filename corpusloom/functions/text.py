@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 
 #: Word characters and white space as Python's `re` has them, for Java's regex.
 WORD = r"\p{L}\p{N}_"
-SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A sentence ends at white space after . ? or !, except after abbreviations such as "e.g." and "Dr.".
-SENTENCE_END = rf"(?<![{WORD}]\.[{WORD}].)(?<![A-Z][a-z]\.)(?<=\.|\?|\!)[{SPACE}]"
+#: The most frequent characters first, as a class is tried in order.
+_KEEP = rf"a-zA-Z {WORD}"
+SPACE = r"\s\x1c-\x1f"  # under (?U), where \s is all white space of Unicode
+_SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: A sentence ends at white space after . ? or !, except after abbreviations such as "e.g." and "Dr.";
+#: the white space comes first in the pattern, so that other characters fail at once.
+SENTENCE_END = rf"(?U)[{SPACE}](?<=[.?!][{SPACE}])(?<![{WORD}]\.[{WORD}].[{SPACE}])(?<![A-Z][a-z]\.[{SPACE}])"
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(_SPACES))
+
+
+def single_spaces(c: Column) -> Column:
+    """Each run of white space as one space; single spaces, most of them, are not even matched."""
+    return F.regexp_replace(c, rf"(?U)[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " ")
 
 
 def collapse(c: Column) -> Column:
     """White space runs as one space each, none at the ends."""
-    return F.trim(F.regexp_replace(c, rf"[{SPACE}]+", " "))
+    return F.trim(single_spaces(c))
 
 
 def or_empty(c: Column) -> Column:
@@ -35,17 +44,17 @@ def clean_web(c: Column) -> Column:
     c = or_empty(c)
     for pattern in WEB_NOISE:
         c = F.regexp_replace(c, pattern, " ")
-    return strip(F.regexp_replace(collapse(c), rf"[^{WORD}{SPACE}.!?,;:\-'\"]", ""))
+    return strip(F.regexp_replace(collapse(c), rf"(?U)[^{_KEEP}{SPACE}.!?,;:\-'\"]+", ""))
 
 
 def clean_typed(c: Column) -> Column:
     """Spacing first, then characters other than words, marks and brackets."""
-    return strip(F.regexp_replace(F.regexp_replace(or_empty(c.cast("string")), rf"[{SPACE}]+", " "), rf"[^{WORD}{SPACE}.,!?;:\-()\[\]{{}}\"'/\\]", ""))
+    return strip(F.regexp_replace(single_spaces(or_empty(c.cast("string"))), rf"(?U)[^{_KEEP}{SPACE}.,!?;:\-()\[\]{{}}\"'/\\]+", ""))
 
 
 def clean_prose(c: Column) -> Column:
     """Characters other than words and . , ! ? ' become spaces, then spacing."""
-    return collapse(F.regexp_replace(or_empty(c), rf"[^{WORD}{SPACE}.,!?']", " "))
+    return collapse(F.regexp_replace(or_empty(c), rf"(?U)[^{_KEEP}{SPACE}.,!?']", " "))
 
 
 def sentences(c: Column) -> Column:
@@ -73,12 +82,12 @@ def title_guess(c: Column) -> Column:
 
 
 def first_name(c: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.filter(F.split(strip(c), rf"[{SPACE}]+"), lambda s: s != ""), F.lit(1)), F.lit(""))
+    return F.coalesce(F.try_element_at(F.filter(F.split(strip(c), rf"(?U)[{SPACE}]+"), lambda s: s != ""), F.lit(1)), F.lit(""))
 
 
 def last_name(c: Column) -> Column:
     """All but the first token."""
-    tokens = F.filter(F.split(strip(c), rf"[{SPACE}]+"), lambda s: s != "")
+    tokens = F.filter(F.split(strip(c), rf"(?U)[{SPACE}]+"), lambda s: s != "")
     return F.array_join(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), " ")
 
 
