@@ -248,6 +248,12 @@ def raw_text_sections(spark, d):
     return rows.filter(F.char_length("chunk") <= 1000)
 
 
+@query(f"select doc_id, unnest(o) as chunk from (select doc_id, case when length(s) > 1000 then {s_pack_words('s', 799)} else [s] end as o from (select doc_id, unnest(list_filter(p, lambda s: length(s) > 100)) as s from (select doc_id, {S_PARAGRAPHS} as p from documents)))")
+def raw_text_sections_split(spark, d):
+    """All sections, long ones split; raw_text_sections has only those that need no split."""
+    return docs(spark, d).select("doc_id", F.explode(chunk.raw_sections(F.expr(DOUBLED))).alias("chunk"))
+
+
 @query("select doc_id, unnest(['description', 'topics', 'languages']) as section, unnest([text, 'Topics: ' || source || ', ' || lang, 'Languages: ' || lang]) as chunk from documents where doc_id % 2 = 0 union all select doc_id, null, 'Repository: ' || source from documents where doc_id % 2 = 1")
 def section_chunks(spark, d):
     even = F.col("doc_id") % 2 == 0

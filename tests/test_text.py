@@ -122,3 +122,34 @@ def test_helpers(spark):
     assert column(spark, ['x {"a":1} y', "none"], T.json_in_text(F.col("t"))) == ['{"a":1}', None]
     assert column(spark, ["a ### Response: b ", "c"], T.after(F.col("t"), "### Response:")) == ["b", "c"]
     assert column(spark, ["# A\nx" + "y" * 60 + "\n\nshort\n# B\n" + "z" * 60], chunk.heading_sections(F.col("t"))) == [["# A\nx" + "y" * 60, "# B\n" + "z" * 60]]
+
+
+def py_sections(t):
+    out = []
+    for s in map(str.strip, t.split("\n\n")):
+        if len(s) > 1000:
+            cur = ""
+            for w in s.split():
+                cur += w + " "
+                if len(cur) >= 800:
+                    out.append(cur.strip())
+                    cur = ""
+            out += [cur.strip()] if cur else []
+        elif len(s) > 100:
+            out.append(s)
+    return out
+
+
+def test_long_sections_are_split(spark):
+    texts = [*CASES, "\n\n".join(["x" * 100, "y" * 101, "word " * 200, "some words " * 300, "z" * 5000]), "ab " * 266 + "c " * 400, "a" * 399 + " " + "b" * 399 + " " + "c " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert {r["i"]: r["c"] for r in df.select("i", chunk.raw_sections(F.col("t")).alias("c")).collect()} == {i: py_sections(t) for i, t in enumerate(texts)}
+
+
+def test_no_section_is_lost(spark, data):
+    from corpusloom import queries as q
+
+    found = sorted((r["doc_id"], r["chunk"]) for r in q.QUERIES["raw_text_sections_split"](spark, data).collect())
+    texts = q.docs(spark, data).select("doc_id", "text").collect()
+    assert any(len(s) > 1000 for r in texts for s in r["text"].split("\n"))
+    assert found == sorted((r["doc_id"], c) for r in texts for c in py_sections(r["text"].replace("\n", "\n\n")))
