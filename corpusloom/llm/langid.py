@@ -12,12 +12,16 @@ Grams are taken within the words of the whole lower-cased text, a space at
 either end of a word; what is no letter separates words.  Training uses at most `max_train` labelled rows
 for the regression and, of these, `n_landmarks` landmarks; both are the rows with the
 smallest hashes, evenly from each language, so the sample does not depend on
-partitions; rows longer than `max_chars` are not learned from, but predicted
-whole.  A dictionary of the training rows' most widespread grams bounds
-the model; its size is `n_grams`.
+partitions; every language has a row and a landmark at least.  Rows longer
+than `max_chars` are predicted whole; they are learned from, by their first
+`max_chars` characters without runs of other than letters, only where a
+language has no shorter ones.  The dictionary holds `n_grams` grams: the
+languages choose in turn, each its most widespread gram that is not chosen
+yet, so none goes without its letters; OWN_GRAMS of its own at least, however
+many languages there are.
 
 Defined results: null texts and texts without a letter are `und` with score
-0; rows with a null language are not learned from; with no row to learn from
+0; rows with a null language or without a letter are not learned from; with no row to learn from
 everything is `und`.  Ties between languages go to the first by name.
 Repeated rows are rows of their own.
 """
@@ -25,8 +29,10 @@ Repeated rows are rows of their own.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +48,8 @@ MAX_CHARS = 20_000
 N_LANDMARKS = 256
 N_GRAMS = 6000
 RIDGE = 1e-3
-#: The languages with most rows are learned.
-MAX_LANGUAGES = 200
-#: Letters that grams are made of: the most widespread ones, so that the tables stay small.
-MAX_LETTERS = 180
+#: Grams that a language chooses at least, though the dictionary then outgrows `n_grams`.
+OWN_GRAMS = 16
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -65,29 +69,41 @@ def grams(text: str, sizes: tuple[int, ...] = NGRAMS) -> set[str]:
     return out
 
 
+#: Slots of a level of the gram tables, as a power of two.
+_SLOTS = 17
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
 class _Tables:
-    """The dictionary as arrays: character -> letter code, and codes of n letters -> gram, so a text takes a few array operations."""
+    """The dictionary as arrays: character -> letter code, and hashed codes of n letters -> gram, so a text takes a few array operations."""
 
     def __init__(self, index: dict[str, int], sizes: tuple[int, ...]):
         chars = sorted({c for g in index for c in g} | {" "})
         self.none, self.base, self.sizes = len(index), len(chars) + 1, sizes
-        self.code, self.letter = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, bool)
+        other, self.letter = _classes()
         place = {c: i + 1 for i, c in enumerate(chars)}
-        for u in range(1 << 16):
-            c = chr(u)
-            self.letter[u] = c.isalpha()
-            self.code[u] = place.get(c, 0) if not _OTHER.match(c) else place[" "]  # what is no letter separates words
-        self.code[0xD800:0xE000] = 0
-        self.gram = {}
-        for n in sizes:
-            t = np.full(self.base**n, self.none, np.int16)
-            for g, i in index.items():
-                if len(g) == n:
-                    k = 0
-                    for c in g:
-                        k = k * self.base + place[c]
-                    t[k] = i
-            self.gram[n] = t
+        self.code = np.where(other, place[" "], 0)  # what is no letter separates words
+        for c, i in place.items():
+            self.code[ord(c)] = i
+        self.gram = {n: self._levels([(g, i) for g, i in index.items() if len(g) == n], place) for n in sizes}
+
+    def _levels(self, grams: list[tuple[str, int]], place: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Keys and grams by slot; of grams that meet in a slot one stays in each level."""
+        keys, at = np.zeros(len(grams), np.int64), np.array([i for _, i in grams], np.int64)
+        for r, (g, _) in enumerate(grams):
+            for c in g:
+                keys[r] = keys[r] * self.base + place[c]
+        out = []
+        while keys.size:
+            slots, first = np.unique(_slot(keys), return_index=True)
+            key, gram = np.full(1 << _SLOTS, -1, np.int64), np.full(1 << _SLOTS, self.none, np.int32)
+            key[slots], gram[slots] = keys[first], at[first]
+            out.append((key, gram))
+            keys, at = np.delete(keys, first), np.delete(at, first)
+        return out
 
     def mark(self, row: np.ndarray, units: np.ndarray) -> None:
         a = self.code[units]
@@ -95,12 +111,24 @@ class _Tables:
         for n in range(1, max(self.sizes) + 1):
             if n > 1:
                 k = k[:-1] * self.base + a[n - 1 :]
-            if n in self.gram:
-                row[self.gram[n][k]] = 1
+            if self.gram.get(n):
+                slots = _slot(k)
+                for key, gram in self.gram[n]:
+                    row[gram[slots[key[slots] == k]]] = 1
+
+
+@cache
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Of every character, whether it separates words and whether it is a letter."""
+    chars = "".join(map(chr, range(sys.maxunicode + 1)))
+    other = np.zeros(len(chars), bool)
+    for m in _OTHER.finditer(chars):
+        other[m.start() : m.end()] = True
+    return other, np.fromiter(map(str.isalpha, chars), bool, len(chars))
 
 
 def units(text: str) -> np.ndarray:
-    return np.frombuffer(f" {text.lower()} ".encode("utf-16-le", "surrogatepass"), np.uint16)
+    return np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 class Model:
@@ -114,13 +142,9 @@ class Model:
             raise ValueError("grams of at most 3 letters")
         if not rows:
             return
-        sets = [grams(s, sizes) for s, _ in rows]
-        spread = Counter(g for x in sets for g in x)
-        common_letters = {g for g, _ in sorted(((g, n) for g, n in spread.items() if len(g) == 1 and ord(g) < 1 << 16), key=lambda x: (-x[1], x[0]))[:MAX_LETTERS]} | {" "}
-        spread = {g: n for g, n in spread.items() if common_letters.issuperset(g)}
-        self.index = {g: i for i, (g, _) in enumerate(sorted(spread.items(), key=lambda x: (-x[1], x[0]))[:n_grams])}
+        self.index = self._dictionary(rows, n_grams)
         x = self.presence([units(s) for s, _ in rows])
-        chosen = self._landmarks([lang for _, lang in rows], n_landmarks)
+        chosen = self._landmarks([lang for _, lang in rows], max(n_landmarks, len(self.languages)))
         self.landmarks = np.ascontiguousarray(x[chosen].T)
         inner = self.landmarks.T @ self.landmarks
         value, vector = np.linalg.eigh(inner.astype(np.float64))
@@ -134,6 +158,26 @@ class Model:
         a = z.T @ (weight * z) + ridge * len(rows) * np.eye(z.shape[1])
         self.weights = (root @ np.linalg.solve(a, z.T @ (weight * (y - self.middle)))).astype(np.float32)
 
+    def _dictionary(self, rows: list[tuple[str, str]], n: int) -> dict[str, int]:
+        """n grams, chosen by the languages in turn, each its most widespread one that is left; OWN_GRAMS turns at least."""
+        spread: dict[str, Counter[str]] = {c: Counter() for c in self.languages}
+        for s, lang in rows:
+            spread[lang].update(grams(s, self.sizes))
+        left = {c: iter(sorted(spread[c], key=lambda g, x=spread[c]: (-x[g], g))) for c in self.languages}
+        out: dict[str, int] = {}
+        turn = 0
+        while left and (turn < OWN_GRAMS or len(out) < n):
+            for c in list(left):
+                if turn >= OWN_GRAMS and len(out) >= n:
+                    break
+                g = next((g for g in left[c] if g not in out), None)
+                if g is None:
+                    del left[c]
+                else:
+                    out[g] = len(out)
+            turn += 1
+        return out
+
     @staticmethod
     def _landmarks(langs: list[str], n: int) -> list[int]:
         """The first rows of each language in turn."""
@@ -183,17 +227,19 @@ class Model:
 
 
 def fit(docs: DataFrame, usable: Column | None = None, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS, id_col: str = "doc_id", **options) -> Model:
-    """Learns from text and lang of usable rows: about max_train of them, each of max_chars characters at most."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (usable if usable is not None else F.lit(True)))
-    rows = rows.filter(F.char_length("text") <= max_chars).select(F.col(id_col).alias("id"), "text", "lang")
+    """Learns from text and lang of usable rows: about max_train of them, each of max_chars characters at most; one at least of each language."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (usable if usable is not None else F.lit(True)))
+    rows = rows.select(F.col(id_col).alias("id"), "text", "lang", (F.char_length("text") > max_chars).alias("long"))
     order = F.xxhash64("id", F.lit(5))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    found = rows.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count(F.lit(1)).alias("all")).collect()  # a row for each language
+    counts = {r["lang"]: r["short"] or r["all"] for r in found}
     if not counts:
         return Model([], **options)
     each = max(1, max_train // len(counts))
     # rows with small hashes, about four times as many as needed, so that the ranking sees a bounded number
-    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, (4.0 * each + 50) / n)) for lang, n in counts.items()], "lang string, share double")
-    some = rows.join(F.broadcast(shares), "lang").filter(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (4.0 * each + 50) / counts[r["lang"]]), not r["short"]) for r in found], "lang string, share double, only_long boolean")
+    some = rows.join(F.broadcast(shares), "lang").filter(~F.col("long") | F.col("only_long")).filter(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    some = some.withColumn("text", F.when(F.col("long"), F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, max_chars)).otherwise(F.col("text")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1 << 30)), "id", "text"))
     sample = some.withColumn("__n", place).filter(F.col("__n") <= each).orderBy("__n", "lang").select("text", "lang").collect()
     return Model([(r["text"], r["lang"]) for r in sample], **options)

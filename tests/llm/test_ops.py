@@ -433,6 +433,39 @@ def test_language(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == sum(bool(t) and any(c.isalpha() for c in t) for _, t in ROWS)
 
 
+def _right(model, rows):
+    """Share of rows predicted right, by language."""
+    langs, _ = model.predict([t for _, t, _ in rows])
+    out = {}
+    for (_, _, lang), found in zip(rows, langs):
+        out.setdefault(lang, []).append(lang == found)
+    return {lang: sum(x) / len(x) for lang, x in out.items()}
+
+
+def test_every_script_keeps_its_letters():
+    rng = random.Random(5)
+    first = {"latin": (97, 26), "greek": (945, 24), "han": (0x4E00, 600), "hangul": (0xAC00, 600), "gothic": (0x10330, 26), "ugaritic": (0x10380, 29)}
+    make = lambda lang, n: " ".join("".join(chr(first[lang][0] + rng.randrange(first[lang][1])) for _ in range(4)) for _ in range(n))
+    rows = [(i, make(lang, 200 if first[lang][1] > 99 else 3), lang) for i in range(50) for lang in first]
+    model = langid.Model([(t, lang) for _, t, lang in rows[:180]])
+    assert _right(model, rows[180:]) == dict.fromkeys(first, 1.0)
+
+
+def test_many_languages():
+    rows = [(i, " ".join(chr(0x4E00 + 3 * k + (i + j) % 3) * 2 for j in range(5)), f"l{k:03}") for i in range(2) for k in range(300)]
+    model = langid.Model([(t, lang) for _, t, lang in rows[:300]], n_grams=600)
+    assert _right(model, rows[300:]) == {f"l{k:03}": 1.0 for k in range(300)}
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, " ".join(["abcd efgh"] * 4), "aa") for i in range(300)] + [(1000 + k, " ".join([chr(0x4E00 + k) * 3] * 9), f"l{k:03}") for k in range(220)]
+    rows += [(2000 + i, "1 2 3 " * 30 + "αβγ δεζ " * 40, "long") for i in range(5)] + [(3000 + i, "12 34", "none") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, max_chars=100)
+    assert model.languages == sorted({lang for _, _, lang in rows} - {"none"})
+    assert set(_right(model, [r for r in rows if r[2] != "none"]).values()) == {1.0}
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 6))
