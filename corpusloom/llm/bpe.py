@@ -5,8 +5,10 @@ before a space that a visible character follows, at a line break between
 visible characters, and at a comma or full stop between a letter and white
 space.  Texts are cut there, over all texts of a group at once by array
 operations on their bytes.  A piece is known by its length and two
-polynomial hashes (96 bits); a fixed-size hash table gives its ids, and only
-pieces that are not in it go to the library, each once a group.
+polynomial hashes (96 bits together), whose bases each process draws for
+itself, so that no text can be made to collide; a fixed-size hash table gives
+its ids, and only pieces that are not in it go to the library, each once a
+group.
 
 Texts that hold an added token's string are encoded whole, and so is
 everything where the tokenizer is of another kind.
@@ -15,6 +17,7 @@ everything where the tokenizer is of another kind.
 from __future__ import annotations
 
 import json
+import os
 from array import array
 from collections.abc import Sequence
 
@@ -25,7 +28,7 @@ TABLE_BITS = 21
 #: Longer pieces are encoded each time.
 PIECE_BYTES = 48
 #: Texts are encoded in groups of about so many characters, to bound what a group needs.
-GROUP_CHARS = 700_000
+GROUP_CHARS = 300_000
 _PROBES = 16
 _LOAD = 0.7
 
@@ -50,7 +53,11 @@ def _powers(base: int) -> np.ndarray:
     return np.array([pow(base, k, 1 << 64) for k in range(PIECE_BYTES + 1)], np.uint64)
 
 
-_P1, _P2 = _powers(0x9E3779B97F4A7C15), _powers(0xC2B2AE3D27D4EB4F)
+def _base() -> int:
+    return int.from_bytes(os.urandom(8), "little") | 5  # odd, and no root of unity of a low order
+
+
+_P1, _P2 = _powers(_base()), _powers(_base())
 
 
 def cut(b: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -160,8 +167,13 @@ class CachedBPE:
         miss, long = np.flatnonzero((slot < 0) & short), np.flatnonzero(~short)
         at, n = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64)  # of no use yet where slot is -1
         if miss.size or long.size:
-            _, one, back = np.unique(h[miss] ^ (check[miss].astype(np.uint64) << np.uint64(32)), return_index=True, return_inverse=True)
-            new = miss[one]
+            order = np.lexsort((check[miss], h[miss]))
+            k, c = h[miss][order], check[miss][order]
+            differ = np.ones(miss.size, bool)
+            differ[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+            back = np.empty(miss.size, np.int64)
+            back[order] = np.cumsum(differ) - 1
+            new = miss[order[differ]]
             if self.filled and self.filled + new.size > _LOAD * (1 << self.bits):
                 self.clear()  # and encode all pieces of this group anew
                 return self._ids(joined, b, start, end)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -13,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from corpusloom.session import ship
 
@@ -23,20 +24,30 @@ SPACE = r"[\x20\x09-\x0D]"
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Ships the package and bounds what one Arrow batch holds, as texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return ship(spark)
 
 
+def release() -> None:
+    """Gives freed memory of a Python worker back, as workers live on and other operators use them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
-    A cluster names it in spark.checkpoint.dir; only where that is unset, as
-    in tests, a temporary folder of this machine is used.
+    A cluster names it in spark.checkpoint.dir; only where that is unset and
+    everything runs in one process, as in tests, a temporary folder of this
+    machine is used.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -85,18 +96,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROW = "__row"
 
 
-def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """The rows as one struct beside the columns an operator needs, so that no other name can clash with its own."""
-    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias(ROW), *(F.col(c) for c in dict.fromkeys((id_col, text_col, *more))))
+def boxed(docs: DataFrame) -> DataFrame:
+    """The rows as one struct, so that no column's name can clash with an operator's own.
+
+    What goes to Python is read out of it (`field`); the struct stays in the JVM.
+    """
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(ROW))
+
+
+def field(name: str) -> Column:
+    """A column of a boxed row."""
+    return F.col(ROW)[name]
+
+
+def fields(names: list[str]) -> list[Column]:
+    return [field(c).alias(c) for c in names]
 
 
 def unboxed(rows: DataFrame) -> DataFrame:
     return rows.select(f"{ROW}.*")
 
 
-def schema(df: DataFrame, keep: list[str], more: str) -> StructType:
-    """The fields of keep, then those of a DDL string."""
-    return StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(more).fields])
+#: The most that is broadcast of a side whose size depends on the data.
+BROADCAST_BYTES = 8 << 20
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """32 bytes that tell boxed rows apart by id and whole text."""
+    own = field(id_col).cast("string")
+    marked = F.when(own.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), own))
+    return F.unhex(F.sha2(F.concat(marked, F.lit("\0"), F.coalesce(field(text_col), F.lit(""))).cast("binary"), 256))
+
+
+def keep_rows(docs: DataFrame, id_col: str, text_col: str, every: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with their columns.
+
+    every and stay have row_key as `key`: a row for each row of docs, and one
+    for each that stays, of a key one at most.  Only the keys of rows that go
+    are sent to the texts: broadcast while they are few, which is counted, else
+    by a join on the key.
+    """
+    marked = every.select("key", F.lit(0).alias("s")).unionAll(stay.select("key", F.lit(1).alias("s")))
+    counted = marked.groupBy("key").agg(F.count_if(F.col("s") == 0).alias("n"), F.count_if(F.col("s") == 1).alias("m"))
+    gone = written(counted.filter("m < n"), "rows-that-go")
+    size, shared = gone.agg(F.count(F.lit(1)), F.count_if(F.col("m") > 0)).first()
+    rows = boxed(docs).withColumn("key", row_key(id_col, text_col))
+    keys = gone.select("key")
+    rest = rows.join(F.broadcast(keys) if 64 * size <= BROADCAST_BYTES else keys.hint("merge"), "key", "left_anti").select(ROW)
+    if shared:  # rows that repeat an id and a text: one of them stays
+        one = rows.join(gone.filter("m > 0").select("key"), "key", "left_semi").groupBy("key").agg(F.first(ROW).alias(ROW))
+        rest = rest.unionAll(one.select(ROW))
+    return unboxed(rest)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -108,13 +158,13 @@ def crc_mod(column: str, m: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m)), F.lit(-1))
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return ["" if x is None else x for x in batch.column(column).to_pylist()]
+def texts(column: pa.Array) -> list[str]:
+    return ["" if x is None else x for x in column.to_pylist()]
 
 
-def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text without decoding it; null is empty."""
-    return ["" .encode() if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]
+    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
 def crc_of(ids: bytes) -> int:

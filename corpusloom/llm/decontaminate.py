@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Each Arrow batch of documents is a shard.  Its words become ranks in the
+A few Arrow batches of documents are a shard.  Its words become ranks in the
 benchmark's sorted vocabulary (other words cannot be part of a match and end
 a suffix), and the suffixes long enough to hold a window are sorted into a
 word-level suffix array.  Every test suffix of the benchmark is located by
@@ -8,7 +8,8 @@ binary search; neighbouring hits on one diagonal join to the longest verbatim
 matches.  A document lies in one shard whole, so nothing is shuffled.
 
 The benchmark enters in blocks of at most BLOCK_BYTES of text, measured
-first, each broadcast by itself; further blocks add to the hits found so far.
+first, one at a time collected, broadcast and let go; further blocks add to
+the hits found so far.
 
 Defined results: null and word-less texts have no words, no hits and are
 clean; an item without words has no windows; items that repeat an item_id
@@ -25,13 +26,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common
 
 WINDOW = 13
-BLOCK_BYTES = 24 << 20
+#: Text of a block; its index takes about thirty times that in a worker.
+BLOCK_BYTES = 8 << 20
+#: Text of a shard, unless a batch has more.
+SHARD_BYTES = 8 << 20
 #: Lower-case A-Z; every other ASCII character outside 0-9a-z separates words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -152,14 +157,21 @@ def _suffixes(items, key: str, window: int) -> Suffixes:
     return _BUILT[key]
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark's (item_id, text) in blocks of a checked size."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    total = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    for b in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield [(r[0] or "", bytes(r[1])) for r in part.collect()]
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+
+def count_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
+    """How many blocks the benchmark's measured size takes."""
+    total = _items(benchmark).agg(F.sum(F.length("text") + 64)).first()[0] or 0
+    return -(-total // block_bytes) or 1
+
+
+def block(benchmark: DataFrame, b: int, n: int) -> list[tuple[str, bytes]]:
+    """The (item_id, text) of one of n blocks, each of a bounded size."""
+    items = _items(benchmark)
+    part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+    return [(r[0] or "", bytes(r[1])) for r in part.collect()]
 
 
 def _runs(cover: np.ndarray) -> list[int]:
@@ -167,70 +179,99 @@ def _runs(cover: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
+_FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_STATE = "hit array<long>, items array<string>"
+
+
+def _shards(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[tuple[list[bytes], list]]:
+    """Texts and states of several batches together, SHARD_BYTES of text or little more, as every test suffix is searched once a shard."""
+    raw, states, size = [], [], 0
+    for text, state in batches:
+        raw += common.raw_texts(text)
+        states += state.to_pylist()
+        size += text.nbytes
+        if size >= SHARD_BYTES:
+            yield raw, states
+            raw, states, size = [], [], 0
+    if raw:
+        yield raw, states
+
+
+def _judge(items: Broadcast, window: int, last: bool):
+    """A column function of (text, state so far): what the block's items add, or at the last block the result."""
+    key = uuid.uuid4().hex
+
+    @F.arrow_udf(_FOUND if last else _STATE)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        suffixes = _suffixes(items, key, window)
+        for raw, states in _shards(batches):
+            shard = Shard(suffixes, raw)
+            cover = shard.cover([s["hit"] if s else [] for s in states])
+            met = [sorted({*(s["items"] if s else ()), *(suffixes.item_ids[i] for i in new)}) for s, new in zip(states, shard.items())]
+            bounds = list(zip(shard.first.tolist(), (shard.first + shard.n_words).tolist()))
+            if not last:
+                yield pa.StructArray.from_arrays([pa.array([_runs(cover[a:b]) for a, b in bounds], pa.list_(pa.int64())), pa.array(met, pa.list_(pa.string()))], ["hit", "items"])
+                continue
+            before = np.concatenate([[0], np.cumsum(cover)])
+            hit = [int(before[b] - before[a]) for a, b in bounds]
+            n = shard.n_words.tolist()
+            columns = [
+                pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(m) for m in met], pa.int64()),
+                pa.array([hashlib.sha256(",".join(m).encode()).hexdigest() for m in met], pa.string()),
+                pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n)], pa.bool_()),
+            ]
+            yield pa.StructArray.from_arrays(columns, ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        common.release()
+
+    return run.asNondeterministic()  # so that it runs once, however often its fields are used
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """The boxed rows and `found`, a struct of _FOUND; texts go to Python, and nothing else of a row."""
+    spark = common.prepare(docs.sparkSession)
+    rows = common.boxed(docs).withColumn("state", F.lit(None).cast(f"struct<{_STATE}>"))
+    text = common.field("text").cast("binary")
+    n = count_blocks(benchmark, block_bytes)
+    for b in range(n):
+        items = spark.sparkContext.broadcast(block(benchmark, b, n))
+        if b == n - 1:
+            return rows.select(common.ROW, _judge(items, window, True)(text, F.col("state")).alias("found"))
+        rows = common.checkpoint(rows.select(common.ROW, _judge(items, window, False)(text, F.col("state")).alias("state")))
+        items.destroy()
+    raise AssertionError("there is at least one block")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id or the columns of keep, n_words, n_hit, n_items, items_sha256, contaminated), one row a document.
 
     contaminated: a word is hit, and at least a twentieth of the words are.
     """
-    spark = common.prepare(docs.sparkSession)
-    keep = keep or ["doc_id"]
-    state = docs.select(*keep, F.col("text").alias("__text"), F.expr("cast(array() as array<long>)").alias("__hit"), F.expr("cast(array() as array<string>)").alias("__items"))
-    all_blocks = list_of_broadcasts(spark, benchmark, block_bytes)
-    for k, items in enumerate(all_blocks):
-        last = k == len(all_blocks) - 1
-
-        def judge(batches: Iterator[pa.RecordBatch], items=items, last=last, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            suffixes = _suffixes(items, key, window)
-            for batch in batches:
-                shard = Shard(suffixes, common.raw_texts(batch, "__text"))
-                cover = shard.cover(batch.column("__hit").to_pylist())
-                met = [sorted({*old, *(suffixes.item_ids[i] for i in new)}) for old, new in zip(batch.column("__items").to_pylist(), shard.items())]
-                columns = [batch.column(c) for c in keep]
-                bounds = list(zip(shard.first.tolist(), (shard.first + shard.n_words).tolist()))
-                if not last:
-                    columns += [batch.column("__text"), pa.array([_runs(cover[a:b]) for a, b in bounds], pa.list_(pa.int64())), pa.array(met, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(columns, [*keep, "__text", "__hit", "__items"])
-                    continue
-                before = np.concatenate([[0], np.cumsum(cover)])
-                hit = [int(before[b] - before[a]) for a, b in bounds]
-                n = shard.n_words.tolist()
-                columns += [
-                    pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(m) for m in met], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(m).encode()).hexdigest() for m in met], pa.string()),
-                    pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n)], pa.bool_()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-        if last:
-            return state.mapInArrow(judge, common.schema(docs, keep, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"))
-        state = common.checkpoint(state.mapInArrow(judge, common.schema(docs, keep, "__text string, __hit array<long>, __items array<string>")))
-    raise AssertionError("there is at least one block")
-
-
-def list_of_broadcasts(spark, benchmark: DataFrame, block_bytes: int) -> list:
-    return [spark.sparkContext.broadcast(b) for b in blocks(benchmark, block_bytes)]
+    return _judged(docs, benchmark, window, block_bytes).select(*common.fields(keep or ["doc_id"]), "found.*")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_words): each longest verbatim match and where it is."""
     spark = common.prepare(docs.sparkSession)
-    out = None
-    for items in list_of_broadcasts(spark, benchmark, block_bytes):
+    out, n = None, count_blocks(benchmark, block_bytes)
+    for b in range(n):
+        items = spark.sparkContext.broadcast(block(benchmark, b, n))
 
         def locate(batches: Iterator[pa.RecordBatch], items=items, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             suffixes = _suffixes(items, key, window)
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
-                rows = [(ids[d], suffixes.item_ids[i], p, j, n) for d, i, p, j, n in Shard(suffixes, common.raw_texts(batch)).matches()]
+                rows = [(ids[d], suffixes.item_ids[i], p, j, n) for d, i, p, j, n in Shard(suffixes, common.raw_texts(batch.column("text"))).matches()]
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "doc_word", "item_word", "n_words"])
 
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(locate, "doc_id long, item_id string, doc_word long, item_word long, n_words long")
+        if n > 1:  # one block at a time is held
+            found = common.written(found, "longest-matches")
+            items.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that are not contaminated, with their columns."""
-    judged = decontaminate(common.boxed(docs), benchmark, keep=[common.ROW], window=window)
-    return common.unboxed(judged.filter(~F.col("contaminated")))
+    return common.unboxed(_judged(docs, benchmark, window, block_bytes).filter(~F.col("found")["contaminated"]).select(common.ROW))

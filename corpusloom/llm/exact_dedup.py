@@ -1,20 +1,23 @@
 """Exact dedup by content sort.
 
-The rows are range-partitioned by (normalised text, salt), the text standing
-for itself by its first HEAD characters and a hash, so that the sampled
-splitters are small however long the texts are.  Sorting each range puts equal
-texts next to each other.
-Within a run of equal (text, salt) the neighbours are compared whole and the
-best row is kept.  The salt, from doc_id, spreads a text with very many
-copies over as many runs as there are partitions, so no copy group gathers in
-one task; what each run found is one row, and the runs of a text are combined
-by its SHA-256.  The text itself moves once.
+The rows are range-partitioned by normalised text, which stands for itself by
+its first HEAD characters and a hash, so that the sampled splitters are small
+however long the texts are.  Sorting each range by the whole text puts equal
+texts next to each other, and neighbours compared whole make up the runs, of
+which the best row is kept.
+
+A text with more copies than a share of a range (counted first, by hash,
+combined before the shuffle) is hot: a salt deals its copies to several runs,
+so that they may lie in several ranges.  There are at most two such texts for
+each partition.  The first rows of hot runs are sorted by the whole text again
+and neighbours compared, which says what run holds the row that stays.  The
+texts move once; SHA-256 is an output and decides nothing.
 
 Defined results: a null text counts as empty; rows with a null doc_id lose
 ties against others; repeated doc_ids are rows of their own, and among equal
-(length, doc_id) exactly one row, the first in the sort, is kept.  Other
-columns of the input stay out.  An empty table gives no rows.  Only DataFrame
-functions are used.
+(length, doc_id) exactly one row is kept.  Other columns of the input stay
+out, whatever their names.  An empty table gives no rows.  A text of any
+length is one row, compared whole.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common
 
 HEAD = 32
+#: Copies of a text that never count as many.
+FEW = 64
 
 
 def normalised(text: Column) -> Column:
@@ -32,51 +37,56 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
 
 
-def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int | None = None) -> DataFrame:
+def _runs(docs: DataFrame, id_col: str, text_col: str, few: int) -> DataFrame:
+    """A row for each row of docs, sorted by content: what its run says, and the text of a hot run's first row."""
+    text = common.field(text_col)
+    rows = common.boxed(docs).select(
+        common.field(id_col).alias("doc_id"), F.char_length(F.coalesce(text, F.lit(""))).alias("n"), common.row_key(id_col, text_col).alias("key"), normalised(text).alias("norm"),
+    ).withColumns({"head": F.substring("norm", 1, HEAD), "hash": F.xxhash64("norm")})
+    share = docs.count() // (2 * common.partitions(docs.sparkSession))
+    hot = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > max(few, share))
+    hot = common.written(hot.select("hash", F.ceil(F.col("copies") / max(few, share)).cast("int").alias("runs")), "hot-texts")
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("runs")).cast("int")
+    dealt = rows.join(F.broadcast(hot), "hash", "left").withColumn("salt", F.when(F.col("runs").isNull(), 0).otherwise(salt))
+    spread = dealt.repartitionByRange("head", "hash", "salt")
+    own = Window.partitionBy("head", "hash", "salt", "norm")
+    order = [F.col("n").desc(), F.col("doc_id").asc_nulls_last()]
+    whole = own.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = spread.withColumns({"place": F.row_number().over(own.orderBy(*order)), "run_keep": F.first("doc_id").over(whole), "run_size": F.count(F.lit(1)).over(whole)})
+    # texts of one hash and salt are told apart by their place in the sort
+    placed = placed.withColumn("run", F.dense_rank().over(Window.partitionBy("head", "hash", "salt").orderBy("norm")))
+    return placed.select(
+        "doc_id", "n", "key", "hash", "salt", "run", "place", "run_keep", "run_size", "head", F.col("runs").isNotNull().alias("hot"),
+        F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.when(F.col("runs").isNotNull() & (F.col("place") == 1), F.col("norm")).alias("norm"),
+    )
+
+
+def _keepers(docs: DataFrame, id_col: str, text_col: str, few: int) -> DataFrame:
+    """(doc_id, key, keep_id, group_size, kept, text_sha256); key is common.row_key."""
+    found = common.written(_runs(docs, id_col, text_col, few), "content-runs")  # ids and digests: what follows sees no text but those of hot runs' first rows
+    run = ["head", "hash", "salt", "run"]
+    first = found.filter("norm is not null")
+    best = Window.partitionBy("hash", "norm").orderBy(F.col("n").desc(), F.col("doc_id").asc_nulls_last(), "salt").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    groups = first.select(*run, F.first("doc_id").over(best).alias("keep_id"), (F.first("salt").over(best) == F.col("salt")).alias("best"), F.sum("run_size").over(best).alias("group_size"))
+    groups = common.written(groups, "hot-runs")  # a few rows for each partition at most
+    out = found.join(F.broadcast(groups), run, "left")
+    hot = F.col("best").isNotNull()
+    return out.select(
+        "doc_id", "key", F.when(hot, F.col("keep_id")).otherwise(F.col("run_keep")).alias("keep_id"), F.coalesce("group_size", "run_size").alias("group_size"),
+        ((F.col("place") == 1) & F.coalesce("best", F.lit(True))).alias("kept"), "text_sha256",
+    )
+
+
+def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
 
     Of equal texts the row with the longest original stays, then the smallest id.
-    runs: into how many runs the copies of one text are dealt; the session's
-    shuffle partitions by default.
+    few: a text with so many copies or fewer is never dealt to several runs.
     """
-    runs = runs or max(16, common.partitions(docs.sparkSession))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"),
-        normalised(F.col(text_col)).alias("norm"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(runs)).cast("int").alias("salt"),
-    ).withColumns({"head": F.substring("norm", 1, HEAD), "hash": F.xxhash64("norm")}).repartitionByRange("head", "hash", "salt")
-    run = Window.partitionBy("head", "hash", "salt", "norm")
-    order = [F.col("n").desc(), F.col("doc_id").asc_nulls_last()]
-    sorted_rows = rows.withColumn("place", F.row_number().over(run.orderBy(*order)))
-    whole = run.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = sorted_rows.select(
-        "doc_id", "n", "salt", "place",
-        F.count(F.lit(1)).over(whole).alias("run_size"),
-        F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
-    )
-    found = common.written(found, "content-runs")  # ids and digests only: what follows never sees the texts
-    heads = found.filter("place = 1")
-    text = Window.partitionBy("text_sha256")
-    best = text.orderBy(F.col("n").desc(), F.col("doc_id").asc_nulls_last(), "salt").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    groups = heads.select(
-        "text_sha256", "salt",
-        F.first("doc_id").over(best).alias("keep_id"),
-        F.first("salt").over(best).alias("keep_salt"),
-        F.sum("run_size").over(best).alias("group_size"),
-    )
-    return (
-        found.join(groups, ["text_sha256", "salt"])
-        .select("doc_id", "keep_id", "group_size", ((F.col("place") == 1) & (F.col("salt") == F.col("keep_salt"))).alias("kept"), "text_sha256")
-    )
+    return _keepers(docs, id_col, text_col, few).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with their columns."""
-    kept = keepers(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    boxed = common.boxed(docs, id_col, text_col)
-    key = {"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__sha": F.sha2(normalised(F.col(text_col)).cast("binary"), 256)}
-    rows = boxed.withColumns(key).join(kept, ["__id", "__sha"], "left_semi")
-    # rows that repeat an id and a text: the longest original stays, as above
-    one = Window.partitionBy("__id", "__sha").orderBy(F.char_length(F.coalesce(F.col(text_col), F.lit(""))).desc())
-    return common.unboxed(rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1"))
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
+    """The rows that stay, with their columns; of rows that repeat an id and a text, any one."""
+    found = _keepers(docs, id_col, text_col, few)
+    return common.keep_rows(docs, id_col, text_col, found.select("key"), found.filter("kept").select("key"))

@@ -36,7 +36,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common
@@ -245,20 +245,32 @@ def fit(docs: DataFrame, usable: Column | None = None, max_train: int = MAX_TRAI
     return Model([(r["text"], r["lang"]) for r in sample], **options)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns of keep, lang_pred and score."""
-    spark = common.prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # bounded by n_grams times n_landmarks
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def predicted(spark: SparkSession, model: Model):
+    """A column function of texts: struct of lang_pred and score.  Nothing else of a row goes to Python."""
+    shared = common.prepare(spark).sparkContext.broadcast(model)  # bounded by n_grams times n_landmarks
+
+    @F.arrow_udf("lang_pred string, score double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            langs, scores = shared.value.predict(batch.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            langs, scores = shared.value.predict(batch.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        common.release()
+
+    return run.asNondeterministic()  # so that it runs once, however often its fields are used
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, common.schema(docs, keep, "lang_pred string, score double"))
+
+def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns of keep, lang_pred and score."""
+    run = predicted(docs.sparkSession, model)
+    return common.boxed(docs).withColumn("__p", run(common.field("text"))).select(*common.fields(keep), "__p.lang_pred", "__p.score")
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows whose language is recognised, with their columns."""
-    if not model.languages:  # nothing was learned: what has a letter stays
+    """The rows whose language is recognised, with their columns.
+
+    Where nothing was learned, rows with a letter stay, though predict() calls them `und`.
+    """
+    if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return common.unboxed(predict(common.boxed(docs), model, [common.ROW]).filter(F.col("lang_pred") != UNKNOWN))
+    run = predicted(docs.sparkSession, model)
+    return common.unboxed(common.boxed(docs).filter(run(common.field("text"))["lang_pred"] != UNKNOWN))

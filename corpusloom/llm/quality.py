@@ -6,7 +6,8 @@ logistic loss.  All trees are flattened into arrays in heap order, so a batch
 of documents walks every tree with a few array operations.
 
 The trees are fitted on the driver, on at most `max_train` labelled rows: those
-with the smallest hashes of their ids.  A row's id, language, source and label
+with the smallest hashes of their ids, and of rows that repeat an id the one with
+the smallest text hash.  A row's id, language, source and label
 are no statistics.
 
 Defined results: null counts as empty, and empty texts are scored like any
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common
@@ -162,11 +163,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Colu
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(common.raw_texts(batch))
+            x = _matrix(common.raw_texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("__label").cast(pa.float64()), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_train small rows
-    data = texts.select("text", F.col("__label").cast("double").alias("__label")).mapInArrow(measure, "y double, x array<double>").limit(2 * max_train).toPandas()
+    # of rows that repeat a doc_id the one with the smallest text hash is learned from, so the bound holds
+    one = texts.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("__h"))
+    texts = texts.withColumn("__h", F.xxhash64("text")).join(F.broadcast(one), ["doc_id", "__h"]).dropDuplicates(["doc_id", "__h"])
+    data = texts.select("text", F.col("__label").cast("double").alias("__label")).mapInArrow(measure, "y double, x array<double>").toPandas()
     if data.empty:
         return Trees(**options)
     x, y = np.array(data["x"].tolist()), data["y"].to_numpy()
@@ -174,18 +178,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Colu
     return Trees(**options).fit(x[order], y[order])
 
 
-def score(docs: DataFrame, model: Trees, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """The columns of keep, score and predicted (1: score >= threshold)."""
-    spark = common.prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # n_trees times 2**depth numbers
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def scored(spark: SparkSession, model: Trees):
+    """A column function of texts: the probability of label 1."""
+    shared = common.prepare(spark).sparkContext.broadcast(model)  # n_trees times 2**depth numbers
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            p = shared.value.predict(_matrix(common.raw_texts(batch, "__text")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
+            yield pa.array(shared.value.predict(_matrix(common.raw_texts(batch))), pa.float64())
+        common.release()
+
+    return run.asNondeterministic()  # so that it runs once, however often it is used
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, common.schema(docs, keep, "score double, predicted int"))
+
+def score(docs: DataFrame, model: Trees, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """The columns of keep, score and predicted (1: score >= threshold)."""
+    rows = common.boxed(docs).withColumn("__p", scored(docs.sparkSession, model)(common.field("text")))
+    return rows.select(*common.fields(keep), F.col("__p").alias("score"), (F.col("__p") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score well enough, with their columns."""
-    return common.unboxed(score(common.boxed(docs), model, [common.ROW], threshold).filter("predicted = 1"))
+    return common.unboxed(common.boxed(docs).filter(scored(docs.sparkSession, model)(common.field("text")) >= threshold))

@@ -4,19 +4,20 @@ A bit of a fingerprint is 1 if it is set in over half the XXH64 hashes of a
 text's word shingles.  Equal fingerprints collapse first, by an aggregation
 that combines before its shuffle.
 
-Distinct fingerprints are then linked.  Each has a table of its Hamming
-distances to reference fingerprints (pivots); by the triangle inequality a
-pair whose tables differ by more than the radius at any pivot is no link, and
-only pairs that pass are compared bit by bit.  Pivots over all 64 bits alone
-discard about half the pairs each but cannot say where to look, so pairs to
-be tested are those that agree in two of six bit blocks: of six blocks at
-most `radius` = 4 can hold a differing bit, so every link agrees in two.  A
+Distinct fingerprints are then linked.  A table of the Hamming distances of
+each to N_PIVOTS reference fingerprints (pivots) is computed once and goes
+with it; by the triangle inequality a pair whose tables differ by more than
+the radius at any pivot is no link, and only pairs that pass are compared bit
+by bit.  Pivots over all 64 bits cannot say alone where to look (README has
+figures), so pairs to be tested are those that agree in two of six bit
+blocks: of six blocks at most `radius` = 4 can hold a differing bit, so every
+link agrees in two.  A
 bucket is one choice of two blocks and their bits.  Large buckets are cut
 into chunks by a hash, and each pair of chunks is a task of bounded size, so
 a bucket that holds a large share of all rows is spread too.
 
-In a bucket the links are followed breadth-first with a shrinking set of
-fingerprints not yet reached, and only the edges of the resulting trees leave
+In a bucket, sorted by the first pivot's distance, links are followed with a
+shrinking set of fingerprints not yet reached, and only the edges of the resulting trees leave
 the task; groups of copies are never expanded into pairs.
 
 Defined results: texts without words have fingerprint zero and are linked
@@ -31,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common
@@ -69,14 +70,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The columns of keep and fp, the fingerprint as a signed long."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fingerprinted(spark: SparkSession, shingle: int = SHINGLE, seed: int = SEED):
+    """A column function of binary texts: the fingerprint as a signed long.  Nothing else of a row goes to Python."""
+    common.prepare(spark)
+
+    @F.arrow_udf("long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in common.raw_texts(batch, "__text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64))], [*keep, "fp"])
+            fp = np.array([fingerprint(t, shingle, seed) for t in common.raw_texts(batch)], np.uint64)
+            yield pa.array(fp.view(np.int64))
+        common.release()
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, common.schema(docs, keep, "fp long"))
+    return run
 
 
 def blocks(n: int = N_BLOCKS) -> list[int]:
@@ -89,16 +94,22 @@ def pivots(n: int = N_PIVOTS) -> np.ndarray:
     return common.mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def trees(fp: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges of trees that span the links among distinct fingerprints."""
+def pivot_table(fp: str = "fp") -> Column:
+    """The distances of a fingerprint to all pivots, one byte each."""
+    return F.concat(*(F.unhex(F.lpad(F.hex(F.bit_count(F.col(fp).bitwiseXOR(F.lit(int(p))))), 2, "0")) for p in pivots().view(np.int64)))
+
+
+def survive(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs of pivot tables' rows differ by at most radius at every pivot; others are no links."""
+    return np.maximum(a, b).__isub__(np.minimum(a, b)).max(axis=1) <= radius
+
+
+def trees(fp: np.ndarray, table: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Edges of trees that span the links among distinct fingerprints; table: their distances to the pivots."""
     n = fp.size
-    if n < 2:
-        return []
-    if n == 2:
-        return [(0, 1)] if int(np.bitwise_count(fp[0] ^ fp[1])) <= radius else []
-    table = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int16)
     order = np.argsort(table[:, 0], kind="stable")
     fp, table = fp[order], table[order]
+    first = table[:, 0].astype(np.int64)
     left = np.arange(n)
     edges = []
     queue: list[int] = []
@@ -107,12 +118,9 @@ def trees(fp: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
             queue.append(int(left[0]))
             left = left[1:]
         at = queue.pop()
-        a, b = np.searchsorted(table[left, 0], (table[at, 0] - radius, table[at, 0] + radius + 1)) if left.size > 512 else (0, left.size)
+        a, b = np.searchsorted(first[left], (first[at] - radius, first[at] + radius + 1))  # only these can pass at the first pivot
         near = left[a:b]
-        for p in range(1, table.shape[1]):  # largest coordinate difference
-            if near.size < 32:
-                break
-            near = near[np.abs(table[near, p] - table[at, p]) <= radius]
+        near = near[survive(table[near], table[at][None, :], radius)]
         near = near[np.bitwise_count(fp[near] ^ fp[at]) <= radius]
         if near.size:
             queue += near.tolist()
@@ -121,7 +129,7 @@ def trees(fp: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return edges
 
 
-def _pairs_of_rows(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(key: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of one sorted run of buckets, small ones side by side and large ones as trees."""
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(key)))
@@ -129,22 +137,18 @@ def _pairs_of_rows(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
     small = size <= 16
     group = np.repeat(np.arange(size.size), size)
     ok = np.repeat(small, size)
-    piv = pivots()
     for k in range(1, int(size[small].max(initial=1))):
         a = np.flatnonzero(ok[:-k] & ok[k:] & (group[:-k] == group[k:]))
         if not a.size:
             break
+        a = a[survive(table[a], table[a + k], radius)]
         x, y = fp[a], fp[a + k]
-        near = np.ones(a.size, bool)
-        for p in piv[:4]:  # tables of a few pivots suffice for few rows
-            near &= np.abs(np.bitwise_count(x ^ p).astype(np.int16) - np.bitwise_count(y ^ p)) <= radius
-        x, y = x[near], y[near]
         link = (np.bitwise_count(x ^ y) <= radius) & (x != y)
         us.append(x[link])
         vs.append(y[link])
     for g in np.flatnonzero(~small).tolist():
-        own = np.unique(fp[first[g] : first[g] + size[g]])
-        e = np.array(trees(own, radius), np.int64).reshape(-1, 2)
+        own, at = np.unique(fp[first[g] : first[g] + size[g]], return_index=True)
+        e = np.array(trees(own, table[first[g] + at], radius), np.int64).reshape(-1, 2)
         us.append(own[e[:, 0]])
         vs.append(own[e[:, 1]])
     none = np.zeros(0, np.uint64)
@@ -152,74 +156,86 @@ def _pairs_of_rows(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nda
 
 
 def link(distinct: DataFrame, radius: int = RADIUS, n_blocks: int = N_BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """(u, v): edges that connect distinct fingerprints fp as their links within radius do."""
+    """(u, v): edges that connect distinct fingerprints as their links within radius do; distinct has fp and its pivot_table as `table`."""
     agree = n_blocks - radius
     if agree < 1:
         raise ValueError("n_blocks must exceed radius")
     masks = [sum(m) for m in combinations(blocks(n_blocks), agree)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     key = F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("b"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(signed)]))
-    rows = distinct.select("fp", key.alias("k")).select("k.b", "k.bits", "fp")
+    rows = distinct.select("fp", "table", key.alias("k")).select("k.b", "k.bits", "fp", "table")
     # buckets beyond one chunk, with the number of chunks they are cut into; counted before the shuffle
     large = rows.groupBy("b", "bits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk).select("b", "bits", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
     cut = rows.join(large, ["b", "bits"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
     # every pair of chunks, and so every pair of rows, meets once
-    dealt = cut.select("b", "bits", "fp", "own", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("with")).select(
-        "b", "bits", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "fp"
+    dealt = cut.select("b", "bits", "fp", "table", "own", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("with")).select(
+        "b", "bits", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "fp", "table"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 5), np.int64)
+        rest = None
         for batch in batches:
-            rows = np.concatenate([rest, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("b", "bits", "lo", "hi", "fp")], 1)])
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("b", "bits", "lo", "hi", "fp")], 1)
+            table = np.frombuffer(b"".join(batch.column("table").to_pylist()), np.uint8).reshape(len(rows), -1)
+            if rest is not None:
+                rows, table = np.concatenate([rest[0], rows]), np.concatenate([rest[1], table])
             differ = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1))
             end = int(differ[-1]) + 1 if differ.size else 0  # the last bucket may go on
-            rest = rows[end:]
+            rest = rows[end:], table[end:]
             if end:
-                yield pairs(rows[:end])
-        if len(rest):
-            yield pairs(rest)
+                yield pairs(rows[:end], table[:end])
+        if rest is not None:
+            yield pairs(*rest)
 
-    def pairs(rows: np.ndarray) -> pa.RecordBatch:
-        u, v = _pairs_of_rows(rows[:, :4], np.ascontiguousarray(rows[:, 4]).view(np.uint64), radius)
+    def pairs(rows: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+        u, v = _links(rows[:, :4], np.ascontiguousarray(rows[:, 4]).view(np.uint64), table, radius)
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     bucket = ["b", "bits", "lo", "hi"]
     return dealt.repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: the id (and the columns of keep), fp, component_id.
+def _grouped(rows: DataFrame, id_col: str, radius: int) -> DataFrame:
+    """(fp, n, least, root) of each distinct fingerprint of rows: how many rows, the smallest id, the group's root."""
+    counted = rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n"))
+    distinct = common.written(counted.withColumn("table", pivot_table()), "simhash-distinct")
+    roots = components(link(distinct.select("fp", "table"), radius))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
 
-    component_id is the smallest id that links reach, the row's own included.
-    """
-    common.prepare(docs.sparkSession)
-    keep = keep or [id_col]
-    return _grouped(common.written(fingerprints(docs, keep, shingle, seed), "simhash"), id_col, radius)
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row per document: the id, fp, component_id.
 
-def _grouped(rows: DataFrame, id_col: str, radius: int) -> DataFrame:
-    """The rows, which have a fingerprint fp, and component_id."""
-    distinct = common.written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    roots = components(link(distinct.select("fp"), radius))
-    groups = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    component_id is the smallest id that links reach, the row's own included.
+    """
+    spark = docs.sparkSession
+    text = common.field("text").cast("binary")
+    rows = common.written(common.boxed(docs).select(common.field(id_col).alias(id_col), fingerprinted(spark, shingle, seed)(text).alias("fp")), "simhash")
+    groups = _grouped(rows, id_col, radius)
     least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = groups.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(*rows.columns, "component_id")
+    named = common.written(groups.join(least, "root").select("fp", "n", "component_id"), "simhash-named")
+    # fingerprints of very many rows, two for each partition at most, go to their rows; other rows go to their fingerprints
+    share = max(1000, rows.count() // (2 * common.partitions(spark)))
+    hot = F.broadcast(named.filter(F.col("n") > share).select("fp", "component_id"))
+    few = rows.join(hot, "fp", "left_anti").join(named.select("fp", "component_id"), "fp")
+    return few.unionByName(rows.join(hot, "fp")).select(id_col, "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each group of linked documents, that of the smallest id, with its columns."""
-    common.prepare(docs.sparkSession)
-    boxed = common.boxed(docs).withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = common.written(fingerprints(boxed, [common.ROW, id_col, "__id"], shingle), "simhash-rows")
-    found = _grouped(rows.select(id_col, "__id", "fp"), id_col, radius)
-    # the row of the smallest id; of rows that repeat it, the smallest fingerprint
-    own = F.when(F.col(id_col).eqNullSafe(F.col("component_id")), F.struct("__id", "fp"))
-    kept = found.groupBy("component_id").agg(F.min(own).alias("k")).select("k.*")
-    rows = rows.join(kept, ["__id", "fp"], "left_semi")
-    one = Window.partitionBy("__id", "fp").orderBy(F.col(common.ROW)["text"])
-    return common.unboxed(rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1"))
+    """One row of each group of linked documents, that of the smallest id, with its columns.
+
+    Rows without an id come after all others; of rows that repeat the smallest
+    id, the one with the smallest fingerprint stays.
+    """
+    spark = docs.sparkSession
+    text = common.field("text").cast("binary")
+    rows = common.boxed(docs).select(
+        common.field(id_col).alias("id"), common.row_key(id_col, "text").alias("key"), fingerprinted(spark, shingle)(text).alias("fp")
+    )
+    rows = common.written(rows, "simhash-rows")  # ids, keys and fingerprints; no text
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "key")).alias("first"))
+    best = _grouped(rows, "id", radius).select("fp", "root").join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return common.keep_rows(docs, id_col, "text", rows.select("key"), best.select("first.key"))
 
 
 def hex_digits(fp: str) -> Column:

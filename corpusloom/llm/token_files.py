@@ -7,7 +7,7 @@ it.  Reading decodes the shards and needs no shuffle; what lies before a
 partition comes from a sum by partition, one small row each.
 
 Null texts count as empty and have the end id alone.  Rows with equal doc_id
-keep their own places, in order of their text.  Rows without doc_id come
+keep their own places, in order of their text, and may lie in several ranges.  Rows without doc_id come
 first.  A document is never split between shards, however long.  Other
 columns of the input are ignored; an empty table gives no rows.
 """
@@ -46,7 +46,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID,
             )
 
         for batch in batches:
-            for doc, code in zip(batch.column("doc_id").to_pylist(), tok.encode(common.texts(batch))):
+            for doc, code in zip(batch.column("doc_id").to_pylist(), tok.encode(common.texts(batch.column("text")))):
                 n = len(code) // 4 + 1
                 ids.append(doc)
                 sizes.append(n)
@@ -58,9 +58,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID,
                     ids, sizes, raw, total = [], [], [], 0
         if ids:
             yield flush()
+        common.release()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(encode, _SHARD)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, 32).alias("head"))
+    ordered = rows.repartitionByRange("doc_id", "head").sortWithinPartitions("doc_id", "text")
+    return ordered.select("doc_id", "text").mapInArrow(encode, _SHARD)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:

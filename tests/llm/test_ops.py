@@ -77,10 +77,10 @@ def brute_exact():
     return groups, best, norm
 
 
-@pytest.mark.parametrize("runs", [1, 3, 64])
-def test_exact_dedup(docs, runs):
+@pytest.mark.parametrize("few", [1, 2, 64])
+def test_exact_dedup(docs, few):
     groups, best, norm = brute_exact()
-    out = exact_dedup.keepers(docs, runs=runs)
+    out = exact_dedup.keepers(docs, few=few)
     want = sorted(((i, best[norm(t)][3], len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in ROWS), key=repr)
     assert got(out, "doc_id", "keep_id", "group_size", "text_sha256") == want
     assert out.filter("kept").count() == len(groups)
@@ -97,6 +97,25 @@ def test_exact_dedup_rows(docs, empty):
     assert exact_dedup.keepers(empty).count() == 0 and exact_dedup.deduplicate(empty).count() == 0
 
 
+def test_one_text_in_most_rows(spark):
+    """A text with nine tenths of all rows lies in several ranges and runs."""
+    rows = [(i, "c o p y" + " " * (i % 7)) for i in range(900)] + [(900 + i, f"text {i}") for i in range(100)] + [(None, "copy")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    runs = exact_dedup._runs(docs, "doc_id", "text", 1).filter("hot").select("salt", "run", "place").distinct().collect()
+    assert len({r["salt"] for r in runs}) > 3 and sum(r["place"] == 1 for r in runs) == len({r["salt"] for r in runs})
+    out = exact_dedup.keepers(docs, few=1)
+    copies = out.filter("group_size = 950").collect()
+    assert len(copies) == 950 and {r["keep_id"] for r in copies} == {6} and [r["doc_id"] for r in copies if r["kept"]] == [6]
+    assert out.filter("group_size = 1 and kept").count() == 100
+    assert sorted(r["doc_id"] for r in exact_dedup.deduplicate(docs, few=1).collect()) == [6, *range(900, 1000)]
+
+
+def test_rows_that_go_are_joined_if_many(docs, monkeypatch):
+    few = got(exact_dedup.deduplicate(docs), *docs.columns)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert got(exact_dedup.deduplicate(docs), *docs.columns) == few
+
+
 # ---- SimHash
 
 
@@ -140,6 +159,29 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
 
 
+def test_pivot_tables_decide_what_is_compared(monkeypatch):
+    """Without the tables more pairs are compared bit by bit, and the links are the same."""
+    rng = random.Random(5)
+    key = np.repeat(np.arange(300), 10)[:, None]
+    fp = np.array([rng.getrandbits(64) for _ in range(len(key))], np.uint64)
+    fp[1::10] = fp[::10] ^ np.uint64(6)
+    table = np.bitwise_count(fp[:, None] ^ simhash.pivots()[None, :]).astype(np.uint8)
+    seen = []
+
+    def spy(a, b, radius, real=simhash.survive):
+        out = real(a, b, radius)
+        seen.append((out.size, int(out.sum())))
+        return out
+
+    monkeypatch.setattr(simhash, "survive", spy)
+    links = simhash._links(key, fp, table, 4)
+    met, passed = map(sum, zip(*seen))
+    assert met == 300 * 45 and 300 <= passed < met / 10
+    monkeypatch.setattr(simhash, "survive", lambda a, b, radius: np.ones(len(a), bool))
+    again = simhash._links(key, fp, table, 4)
+    assert sorted(zip(*links)) == sorted(zip(*again)) and len(links[0]) == 300
+
+
 @pytest.mark.parametrize("chunk", [3, 50, 4096])
 def test_simhash_links_in_dense_buckets(spark, chunk):
     rng = random.Random(3)
@@ -147,6 +189,9 @@ def test_simhash_links_in_dense_buckets(spark, chunk):
     near = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(100)} | {0, (1 << 64) - 1}
     fps = sorted(near)
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    df = df.withColumn("table", simhash.pivot_table())
+    for r in df.limit(20).collect():
+        assert list(r["table"]) == [(int(p) ^ r["fp"] % (1 << 64)).bit_count() for p in simhash.pivots()]
     edges = [(r["u"] % (1 << 64), r["v"] % (1 << 64)) for r in simhash.link(df, chunk=chunk).collect()]
     assert all((u ^ v).bit_count() <= 4 for u, v in edges)
     place = {f: i for i, f in enumerate(fps)}
@@ -335,6 +380,13 @@ def test_packing(docs, empty, tokenizer):
     out = packing.pack(docs, tokenizer).collect()
     assert len({r["sequence_id"] for r in out}) == len(out) and all(r["offset"] == 0 for r in out)
     assert all(r["length"] & (r["length"] - 1) == 0 and r["length"] <= 1024 for r in out)
+    batches = {}
+    for r in out:
+        batches.setdefault(r["batch_id"], []).append(r)
+    for b in batches.values():  # one length, sequences that follow each other
+        assert len({r["length"] for r in b}) == 1 and [r["sequence_id"] for r in b] == list(range(b[0]["sequence_id"], b[0]["sequence_id"] + len(b)))
+        assert sum(r["length"] for r in b) <= packing.BATCH_IDS
+    assert len(batches) < len(out) / 2
     whole = {}
     for r in out:
         assert crc(np.frombuffer(r["ids"], "<u4")) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
