@@ -24,11 +24,11 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Slots of the table, 2 to this power; a full table is emptied.
-TABLE_BITS = 21
+TABLE_BITS = 20
 #: Longer pieces are encoded each time.
 PIECE_BYTES = 48
 #: Texts are encoded in groups of about so many characters, to bound what a group needs.
-GROUP_CHARS = 300_000
+GROUP_CHARS = 200_000
 _PROBES = 16
 _LOAD = 0.7
 
@@ -83,6 +83,7 @@ class CachedBPE:
     """Encodes texts to little-endian uint32 id bytes, equal to ``Tokenizer.encode``."""
 
     def __init__(self, path: str, bits: int | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread its own memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

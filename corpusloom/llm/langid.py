@@ -237,7 +237,7 @@ def fit(docs: DataFrame, usable: Column | None = None, max_train: int = MAX_TRAI
         return Model([], **options)
     each = max(1, max_train // len(counts))
     # rows with small hashes, about four times as many as needed, so that the ranking sees a bounded number
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (4.0 * each + 50) / counts[r["lang"]]), not r["short"]) for r in found], "lang string, share double, only_long boolean")
+    shares = docs.sparkSession.createDataFrame(pa.table({"lang": [r["lang"] for r in found], "share": [min(1.0, (4.0 * each + 50) / counts[r["lang"]]) for r in found], "only_long": [not r["short"] for r in found]}))
     some = rows.join(F.broadcast(shares), "lang").filter(~F.col("long") | F.col("only_long")).filter(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
     some = some.withColumn("text", F.when(F.col("long"), F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, max_chars)).otherwise(F.col("text")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1 << 30)), "id", "text"))

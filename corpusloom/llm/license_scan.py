@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ class Templates:
         self.shingles: dict[str, list[int]] = {}
         self.keys: dict[str, list[int]] = {}
         if texts:
-            df = spark.createDataFrame(sorted(texts.items()), "id string, text string").withColumn("h", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))).withColumn("s", F.array_distinct(_shingles(F.col("h"))))
+            df = spark.createDataFrame(pa.table({"id": sorted(texts), "text": [texts[k] for k in sorted(texts)]})).withColumn("h", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))).withColumn("s", F.array_distinct(_shingles(F.col("h"))))
             least = F.array(*(F.array_min(F.transform("s", lambda h: F.struct(_seeded(h, b).alias("o"), h.alias("h"))))["h"] for b in range(BANDS)))
             for r in df.select("id", "s", least.alias("k")).collect():
                 self.shingles[r["id"]], self.keys[r["id"]] = r["s"], r["k"]
