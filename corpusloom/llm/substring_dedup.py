@@ -1,7 +1,7 @@
 """Substring dedup with automata of repeated phrases.
 
-Documents are dealt by a hash of doc_id into units, and each unit is a shard
-of the automata.
+Documents are dealt by a hash of doc_id and text into units of about UNIT_BYTES of text, and each
+unit is a shard of the automata.
 
 1. A unit hashes its 13-word windows and sends each distinct window once, with
    the smallest doc_id that holds it there, to the window shard of its hash,
@@ -9,25 +9,30 @@ of the automata.
    documents share is one entry a unit, so nothing grows with its copies.
 2. A window shard confirms which windows a smaller document in another unit
    holds, and answers each block with one bit an entry.
-3. The unit's confirmed windows join to passages.  The passages, cut into
-   overlapping pieces of at most PIECE words so that the states stay few and
-   the matches at a word are bounded, are compiled into Aho-Corasick automata
-   over word codes, at most STATES words each.  Its documents run through
-   them, and the words of every occurrence that a smaller document precedes go.
+3. The unit's confirmed windows join to passages.  The distinct passages, cut
+   into pieces of at most PIECE words so that the states stay few and the
+   matches at a word are bounded, are compiled into Aho-Corasick automata of
+   about STATES letters each.  Every document of the unit runs through them
+   (all but words that no passage has), and the words that go are those of the occurrences they find of a passage
+   that a smaller document precedes; nothing else says where words go.
 
-Windows are judged on the input.  What a match removes is also checked
-against the confirmed windows' positions.
+Windows are judged on the input and known by 64-bit hashes; of N windows a
+share of about N / 2**64 meets another by chance.
 
 Defined results: null texts have no words; documents without doc_id count as
 larger than all others; rows that repeat a doc_id do not remove each other's
-words; an empty table gives no rows.
+words; an empty table gives no rows.  Columns but doc_id and text are not
+read.  A unit is in memory at a time: UNIT_BYTES of text on average, more only
+for a text that is longer itself or a (doc_id, text) that repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import compress
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +42,12 @@ from corpusloom.llm import common
 
 WINDOW = 13
 PIECE = 32
-STATES = 1_000_000
+STATES = 2_000_000
+UNIT_BYTES = 8 << 20
+#: Text whose windows a window shard gets.
+SHARD_BYTES = 16 << 20
+#: A word is some letters of so many kinds, since a state's edges are searched one after the other.
+_KINDS = 64
 _NO_ID = np.iinfo(np.int64).max
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -124,68 +134,95 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {({'int32': 'int', 'int64': 'long', 'binary': 'binary', 'string': 'string'})[str(f.type)]}" for f in schema)
 
 
-def _passages(go: np.ndarray, unit: Unit, limit: np.ndarray) -> list[tuple[int, int, int]]:
-    """(first word, words, limit) of pieces that cover each run of removable windows; go and limit by word position."""
+def _passages(go: np.ndarray, unit: Unit, limit: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(first word, words, limit) of pieces that make up each run of removable windows; go and limit by word position."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], go, [False]]).astype(np.int8)))
-    out, span = [], PIECE - unit.window + 1
+    span = PIECE - unit.window + 1
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
         # windows a..b-1; a run may pass from one document to the next
         while a < b:
             e = min(b, a + span, int(unit.first[unit.row[a]] + unit.n_words[unit.row[a]]) - unit.window + 1)
-            out.append((a, e - a + unit.window - 1, int(limit[a:e].max())))
+            yield a, e - a + unit.window - 1, int(limit[a:e].max())
             a = e
-    return out
 
 
-def _locate(unit: Unit, found: list[bool]) -> np.ndarray:
-    """Which words occurrences of confirmed passages cover; found: by distinct window, a smaller document elsewhere has it."""
-    import ahocorasick
+def _spelled(code: np.ndarray, names: int) -> tuple[str, int]:
+    """Word codes below `names` in letters, and how many letters each has; the letters of each place in a word are others than those of the next."""
+    n = 1
+    while _KINDS**n < names:
+        n += 1
+    letters = np.empty((code.size, n), np.uint32)
+    for k in range(n):
+        letters[:, k] = 0x100 + k * _KINDS + code // _KINDS**k % _KINDS
+    return letters.tobytes().decode("utf-32-le"), n
+
+
+def _stretches(unit: Unit, known: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(first word, end, rank of its document) of all stretches of known words that can hold a window."""
+    n = known.size
+    if not n:
+        return
+    new = np.ones(n + 1, bool)
+    new[1:-1] = unit.row[1:] != unit.row[:-1]
+    before, after = np.concatenate([[False], known[:-1]]), np.concatenate([known[1:], [False]])
+    first, end = np.flatnonzero(known & (new[:-1] | ~before)), np.flatnonzero(known & (new[1:] | ~after)) + 1
+    long = end - first >= unit.window
+    yield from zip(first[long].tolist(), end[long].tolist(), unit.rank[unit.row[first[long]]].tolist())
+
+
+def _automata(pieces: Iterator[tuple[int, int, int]], text: str, letters: int) -> Iterator[ahocorasick.Automaton]:
+    """Automata of the distinct pieces; each gives (words, limit) at the end of an occurrence."""
+    machine, used = ahocorasick.Automaton(), 0
+    for a, m, top in pieces:
+        # a passage that is known already has the same limit, as it has the same windows
+        if machine.add_word(text[letters * a : letters * (a + m)], (m, top)):
+            used += letters * m
+        if used >= STATES:
+            machine.make_automaton()
+            yield machine
+            machine, used = ahocorasick.Automaton(), 0
+    if used:
+        machine.make_automaton()
+        yield machine
+
 
-    n, w = unit.words.size, unit.window
-    cover = np.zeros(n + 1, np.int64)
+def _locate(unit: Unit, found: np.ndarray) -> np.ndarray:
+    """Which words are in occurrences of confirmed passages; found: by distinct window, a smaller document elsewhere has it."""
+    n = unit.words.size
     limit_of = np.where(found, -1, unit.least)  # a document of a higher rank loses the window
-    rank = unit.rank[unit.row[unit.at]]
-    mine = rank > limit_of[unit.run]
-    go = np.zeros(n, bool)
-    limit = np.zeros(n, np.int64)
+    mine = unit.rank[unit.row[unit.at]] > limit_of[unit.run]
+    go, limit = np.zeros(n, bool), np.zeros(n, np.int64)
     go[unit.at[mine]] = True
     limit[unit.at[mine]] = limit_of[unit.run[mine]]
-    if not mine.any():
-        return go
-    letters = (unit.words & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    rows = np.unique(unit.row[unit.at[mine]])
-    pieces = _passages(go, unit, limit)
-    start = 0
-    while start < len(pieces):
-        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        used, size, bound = 0, [], []
-        while start < len(pieces) and used < STATES:
-            a, m, top = pieces[start]
-            if machine.add_word(tuple(letters[a : a + m].tolist()), len(size)):
-                used += m
-            size.append(m)  # a known passage takes the new number, and its bound is the same
-            bound.append(top)
-            start += 1
-        machine.make_automaton()
-        for r in rows.tolist():
-            a = int(unit.first[r])
-            text = tuple(letters[a : a + int(unit.n_words[r])].tolist())
-            k = int(unit.rank[r])
-            for end, i in machine.iter(text):
-                if bound[i] < k:
-                    cover[a + end + 1 - size[i]] += 1
-                    cover[a + end + 1] -= 1
-    windows = np.zeros(n + 1, np.int64)
-    windows[: n] += go
-    windows[w:] -= go[: n + 1 - w]
-    return (np.cumsum(cover)[:n] > 0) & (np.cumsum(windows)[:n] > 0)
+    edge = np.zeros(n + 1, np.int64)
+    if mine.any():
+        pieces = list(_passages(go, unit, limit))
+        part = np.zeros(n + 1, np.int64)
+        for a, m, _ in pieces:
+            part[a] += 1
+            part[a + m] -= 1
+        names = np.unique(unit.words[np.cumsum(part)[:n] > 0])
+        code = np.minimum(np.searchsorted(names, unit.words), names.size - 1)
+        text, letters = _spelled(code, names.size)
+        # a word of no passage would put an automaton back to its start, so the stretches between such words run through it
+        stretches = list(_stretches(unit, names[code] == unit.words))
+        for machine in _automata(iter(pieces), text, letters):
+            for a, z, k in stretches:
+                for end, (size, top) in machine.iter(text[letters * a : letters * z]):
+                    if top < k:
+                        e = a + end // letters + 1
+                        edge[e - size] += 1
+                        edge[e] -= 1
+    return np.cumsum(edge)[:n] > 0
 
 
 def _run(docs: DataFrame, window: int, texts: bool) -> DataFrame:
     spark = common.prepare(docs.sparkSession)
-    parts = common.partitions(spark)
-    # two units for each partition, one after the other, as a unit's windows take several times its text in memory
-    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2 * parts)).cast("int")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # two units for each partition at least, one after the other, as a unit's windows take several times its text in memory
+    units = max(2 * common.partitions(spark), -(-size // UNIT_BYTES))
+    parts = max(common.partitions(spark), -(-size // SHARD_BYTES))
+    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(units)).cast("int")
     rows = docs.select(unit.alias("unit"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:

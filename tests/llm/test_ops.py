@@ -269,6 +269,37 @@ def test_small_automata(docs, monkeypatch):
     few = substring_dedup._locate(u, np.zeros(u.hash.size, bool))
     monkeypatch.setattr(substring_dedup, "STATES", 10**9)
     assert (few == substring_dedup._locate(u, np.zeros(u.hash.size, bool))).all() and few.any()
+    # every document runs through the automata, and nothing but their matches removes a word
+    seen, real = [], substring_dedup._automata
+
+    class Spy:
+        def __init__(self, machine):
+            self.machine = machine
+
+        def iter(self, text):
+            seen.append(text)
+            return self.machine.iter(text)
+
+    monkeypatch.setattr(substring_dedup, "_automata", lambda *a: map(Spy, real(*a)))
+    assert (few == substring_dedup._locate(u, np.zeros(u.hash.size, bool))).all()
+    loses = {r for r, a, n in zip(range(len(ROWS)), u.first, u.n_words) if few[a : a + n].any()}
+    assert len(seen) > len(loses)  # also those that hold a passage first
+    monkeypatch.setattr(substring_dedup, "_automata", lambda *a: iter(()))
+    assert not substring_dedup._locate(u, np.zeros(u.hash.size, bool)).any()
+
+
+@pytest.mark.parametrize("unit_bytes", [1, 3000])
+def test_units_by_size(docs, monkeypatch, unit_bytes):
+    monkeypatch.setattr(substring_dedup, "UNIT_BYTES", unit_bytes * 20)
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 20_000)
+    assert got(substring_dedup.digests(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings()
+
+
+def test_words_in_letters():
+    words = np.arange(5000, dtype=np.uint64) * np.uint64(7919)
+    text, n = substring_dedup._spelled(np.unique(words, return_inverse=True)[1], 5000)
+    assert n == 3 and len({text[i : i + n] for i in range(0, len(text), n)}) == 5000
+    assert all(len(set(text[k::n])) <= 64 for k in range(n)) and not set(text[0::n]) & set(text[1::n])
 
 
 # ---- decontamination
