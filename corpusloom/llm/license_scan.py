@@ -19,8 +19,10 @@ parameter, and what is made from them (their shingles and band keys) is
 bounded by their text, checked against MAX_TEMPLATE_CHARS.
 
 Defined results: null and word-less texts match nothing and have no row;
-repeated documents are scanned each by itself; without templates the result
-is empty.
+repeated documents are scanned each by itself; without templates, or with
+templates without words only, the result is empty.  Other columns of the input
+are ignored.  A text of any length is scanned whole, and what is made of it
+grows with its length.
 """
 
 from __future__ import annotations
@@ -59,9 +61,9 @@ def _template_words(text: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
-def _shingles(hashes: Column) -> Column:
-    """Hashes of SHINGLE consecutive words, from the words' hashes."""
-    return F.when(F.size(hashes) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(hashes) - (SHINGLE - 1)), lambda i: F.xxhash64(*(F.element_at(hashes, i + j) for j in range(SHINGLE))))).otherwise(F.array().cast("array<long>"))
+def _shingles(hashes: Column, n: int = SHINGLE) -> Column:
+    """Hashes of n consecutive words, from the words' hashes."""
+    return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(1), F.size(hashes) - (n - 1)), lambda i: F.xxhash64(*(F.element_at(hashes, i + j) for j in range(n))))).otherwise(F.array().cast("array<long>"))
 
 
 def _seeded(h: Column, band: int) -> Column:
@@ -75,17 +77,20 @@ class Templates:
     def __init__(self, spark, texts: dict[str, str]):
         if sum(map(len, texts.values())) > MAX_TEMPLATE_CHARS:
             raise ValueError("templates exceed MAX_TEMPLATE_CHARS; scan in several calls")
-        texts = {k: t for k, t in texts.items() if len(_template_words(t)) >= SHINGLE}
+        self.size = {k: min(SHINGLE, n) for k, t in texts.items() if (n := len(_template_words(t)))}
         self.shingles: dict[str, list[int]] = {}
         self.keys: dict[str, list[int]] = {}
-        if texts:
-            df = spark.createDataFrame(pa.table({"id": sorted(texts), "text": [texts[k] for k in sorted(texts)]})).withColumn("h", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))).withColumn("s", F.array_distinct(_shingles(F.col("h"))))
+        for size in sorted(set(self.size.values())):
+            own = {k: texts[k] for k, n in self.size.items() if n == size}
+            df = spark.createDataFrame(pa.table({"id": sorted(own), "text": [own[k] for k in sorted(own)]})).withColumn("h", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))
+            df = df.withColumn("s", F.array_distinct(_shingles(F.col("h"), size)))
             least = F.array(*(F.array_min(F.transform("s", lambda h: F.struct(_seeded(h, b).alias("o"), h.alias("h"))))["h"] for b in range(BANDS)))
             for r in df.select("id", "s", least.alias("k")).collect():
                 self.shingles[r["id"]], self.keys[r["id"]] = r["s"], r["k"]
-        self.classes: dict[int, list[str]] = {}
+        #: Names by (words of a shingle, size class).
+        self.classes: dict[tuple[int, int], list[str]] = {}
         for k, s in self.shingles.items():
-            self.classes.setdefault(len(s).bit_length() - 1, []).append(k)
+            self.classes.setdefault((self.size[k], len(s).bit_length() - 1), []).append(k)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = CONTAINMENT) -> DataFrame:
@@ -98,27 +103,27 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     if not made.shingles:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id")).limit(0).selectExpr("doc_id", "'' as template", "0 as window_start", "0 as first_word", "cast(0 as double) as containment")
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(_words(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w)).alias("h"))
-    signed = hashed.select("doc_id", _shingles(F.col("h")).alias("s"))
+    signed = hashed.select("doc_id", *(_shingles(F.col("h"), n).alias(f"s{n}") for n in sorted({n for n, _ in made.classes})))
     windows = []
-    for c, names in sorted(made.classes.items()):
-        step = 2 << c
+    for (size, c), names in sorted(made.classes.items()):
+        step, s = 2 << c, F.col(f"s{size}")
         keys = sorted({h for t in names for h in made.keys[t]})
-        at = F.filter(F.transform("s", lambda h, i: F.when(h.isin(keys), i)), lambda i: i.isNotNull())
+        at = F.filter(F.transform(s, lambda h, i: F.when(h.isin(keys), i)), lambda i: i.isNotNull())
         # each place is in two windows; the last window reaches the end
-        last = F.greatest(F.lit(0), F.ceil((F.size("s") - 2 * step) / step)).cast("int")
+        last = F.greatest(F.lit(0), F.ceil((F.size(s) - 2 * step) / step)).cast("int")
         place = lambda i, back: F.greatest(F.lit(0), F.least(F.floor(i / step).cast("int") - back, last))
         number = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(place(i, 0), place(i, 1)))))
-        windows.append(F.transform(number, lambda w: F.struct(F.lit(c).alias("c"), (w * step).alias("start"), F.lit(2 * step).alias("n"))))
-    # a document without any of the templates' smallest shingles has no window to sign
-    rows = signed.select("doc_id", "s", F.explode(F.concat(*windows)).alias("w")).select("doc_id", "w.c", F.col("w.start").alias("window_start"), F.slice("s", F.col("w.start") + 1, F.col("w.n")).alias("x"))
+        windows.append(F.transform(number, lambda w: F.struct(F.lit(size).alias("size"), F.lit(c).alias("c"), (w * step).alias("window_start"), F.slice(s, w * step + 1, F.lit(2 * step)).alias("x"))))
+    # a document without any of the templates' smallest shingles has no window to sign; a row has its own window's shingles only
+    rows = signed.select("doc_id", F.explode(F.concat(*windows)).alias("w")).select("doc_id", "w.*")
     rows = rows.withColumn("k", F.array(*(F.array_min(F.transform("x", lambda h: F.struct(_seeded(h, b).alias("o"), h.alias("h"))))["h"] for b in range(BANDS))))
     found = []
-    for c, names in sorted(made.classes.items()):
+    for (size, c), names in sorted(made.classes.items()):
         for t in names:
             own, mine = made.shingles[t], F.array(*map(F.lit, made.keys[t]))
             met = F.exists(F.zip_with("k", mine, lambda a, b: a == b), lambda e: e)
             held = F.size(F.array_intersect("x", F.lit(own))) / float(len(own))
             first = F.col("window_start") + F.array_min(F.filter(F.transform("x", lambda h, i: F.when(h.isin(own), i)), lambda i: i.isNotNull()))
-            found.append(F.when((F.col("c") == c) & met, F.struct(F.lit(t).alias("template"), "window_start", first.cast("int").alias("first_word"), held.alias("containment"))))
+            found.append(F.when((F.col("size") == size) & (F.col("c") == c) & met, F.struct(F.lit(t).alias("template"), "window_start", first.cast("int").alias("first_word"), held.alias("containment"))))
     verified = F.filter(F.array(*found), lambda f: f.isNotNull() & (f["containment"] >= least))
     return rows.select("doc_id", F.explode(verified).alias("f")).select("doc_id", "f.*")

@@ -98,19 +98,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+
 def _license_sql() -> str:
     from corpusloom.llm import license_scan
 
     rows = ", ".join(f"('{k}', '{t.replace(chr(39), chr(39) * 2)}')" for k, t in sorted(license_scan.TEMPLATES.items()))
-    shingle = "array_to_string(ws[i : i + 4], ' ')"
     words = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
     return f"""
-with t as (select id, {words.format("text")} as ws from (values {rows}) v(id, text)),
-own as (select distinct id, {shingle} as sh from (select id, ws, unnest(range(1, len(ws) - 3)) as i from t where len(ws) >= 5)),
+with t as (select id, ws, least(5, len(ws)) as m from (select id, {words.format("text")} as ws from (values {rows}) v(id, text)) where len(ws) > 0),
+own as (select distinct id, m, array_to_string(ws[i : i + m - 1], ' ') as sh from (select *, unnest(range(1, len(ws) - m + 2)) as i from t)),
 size as (select id, count(*) as n, (2 * power(2, floor(log2(count(*)))))::bigint as step from own group by 1),
-d as (select row_number() over () as r, doc_id, {words.format("coalesce(text, '')")} as ws from documents),
-s as (select r, doc_id, len(ws) - 4 as total, i - 1 as pos, {shingle} as sh from (select *, unnest(range(1, len(ws) - 3)) as i from d where len(ws) >= 5)),
-hit as (select r, doc_id, id, n, step, pos, sh, greatest(0, ceil((total - 2 * step) / step::double))::bigint as last from s join own using (sh) join size using (id)),
+d as (select row_number() over () as r, doc_id, m, {words.format("coalesce(text, '')")} as ws from documents, (select distinct m from t)),
+s as (select r, doc_id, m, len(ws) - m + 1 as total, i - 1 as pos, array_to_string(ws[i : i + m - 1], ' ') as sh from (select *, unnest(range(1, len(ws) - m + 2)) as i from d where len(ws) >= m)),
+hit as (select r, doc_id, id, n, step, pos, sh, greatest(0, ceil((total - 2 * step) / step::double))::bigint as last from s join own using (m, sh) join size using (id)),
 win as (select distinct r, doc_id, id, n, step, pos, sh, greatest(0, least(pos // step - back, last)) as w from hit, (values (0), (1)) b(back))
 select doc_id, id as template, (w * step)::int as window_start, min(pos)::int as first_word, count(distinct sh) / n::double as containment
 from win where pos >= w * step and pos < w * step + 2 * step group by r, doc_id, id, n, step, w having count(distinct sh) / n::double >= {license_scan.CONTAINMENT}

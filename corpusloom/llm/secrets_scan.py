@@ -4,20 +4,23 @@ All of it is DataFrame functions.  A text is matched where it lies; positions
 follow from the pieces between matches, as the SQL functions return no
 offsets.
 
-Battery: a token is a run of 20 or more base64 characters that is no plain
-word.  Its encoding is inferred (hex, base32, base36, base64) and three tests
-take it as uniform over that alphabet: chi-squared of the character counts,
-runs above and below the middle of the alphabet, and lag-1 serial
-correlation.  The smallest of the three p-values times three is the token's
-p.  Tokens of text have p near 0, random ones are spread evenly, so within
-each encoding and length class the count above one half tells how many are
-random, and the smallest cut is taken at which the share of others above it
-is at most `fdr`.  Short tokens, whose tests are weak, thus need a higher cut
-or are not reported at all.  The counts are a few rows; the tokens stay with
-their documents.
+Battery: a token is a run of 20 or more base64 characters; shorter ones are
+never judged, as no test says anything of them.  Its encoding is inferred
+(decimal, hex, letters of one case, base32, base36, letters, base64) and three
+tests take it as uniform over that alphabet: chi-squared of the character
+counts, runs above and below the middle of the alphabet, and lag-1 serial
+correlation.  The token's p is 1 - (1 - smallest)**3, which for a random token
+is about uniform.  Tokens of text have p near 0, so within each encoding and
+length class the count above one half tells how many are random, and the
+smallest cut below one half is taken at which the share of others above it is
+at most `fdr`.  Short tokens, whose tests are weak, thus need a higher cut,
+and a class in which no cut keeps the bound is not reported.  The counts are a
+few rows; the tokens stay with their documents.
 
 Defined results: null texts are empty and have no spans; battery spans never
-overlap pattern spans; repeated documents are judged each by itself.
+overlap pattern spans; repeated documents are judged each by itself; columns
+but doc_id and text are ignored; an empty table gives no rows.  A text of any
+length is scanned whole, in proportion to its length and matches.
 """
 
 from __future__ import annotations
@@ -34,32 +37,52 @@ KINDS = (
     ("hex", r"[0-9a-f]{32,}", 0, 32),  # the maximal runs of [0-9a-f]+ that are long enough
 )
 RANDOM = "random"
+#: Matches whose spans are built together.
+_BLOCK = 128
 _RUN = "[A-Za-z0-9+/_-]"
 _TOKEN = rf"(?<!{_RUN}){_RUN}{{20,}}"
 _SPAN = "array<struct<start:int,k:int,end:int,n:int,t:string>>"
-_ALPHABET = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "0123456789abcdefghijklmnopqrstuvwxyz", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+_ALPHABET = {10: "0123456789", 16: "0123456789abcdef", 26: "abcdefghijklmnopqrstuvwxyz", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "0123456789abcdefghijklmnopqrstuvwxyz", 52: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 FDR = 0.05
-_CUTS = (0.001, 0.003, 0.01, 0.03, 0.1, 0.2, 0.3, 0.4, 0.5)
+_CUTS = (0.001, 0.003, 0.01, 0.03, 0.1, 0.2, 0.3, 0.4)
+#: The p-values above are taken for random tokens' alone; no cut lies there.
+_SURE = 0.5
 #: Length classes start here.
 _LENGTHS = (20, 24, 32, 48, 64)
 
 
 def _matches(text: Column, pattern: str, group: int, least: int, k: int) -> Column:
-    """The spans of leftmost non-overlapping matches whose group is long enough."""
+    """The spans of leftmost non-overlapping matches whose group is long enough.
+
+    Offsets are sums of the lengths before; they are summed by blocks, so that
+    the work is in proportion to the matches, however many a text has.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("p"), whole.alias("m"), value.alias("v"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    steps = F.transform(
+        F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("p"), whole.alias("m"), value.alias("v")),
+        lambda s: F.struct(F.char_length(s["p"]).alias("gap"), F.char_length(s["m"]).alias("n"), s["v"].alias("v")),
+    )
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / _BLOCK).cast("int")), lambda b: F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)))
+    none = F.array().cast("array<int>")
+
+    def before(totals: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(totals, zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
 
     def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + F.char_length(s["p"])
-        end = start + F.char_length(s["m"])
-        span = F.struct(start.alias("start"), F.lit(k).alias("k"), end.alias("end"), F.char_length(s["v"]).alias("n"), s["v"].alias("t"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span).cast(_SPAN)).alias("out"))
+        start = acc["at"] + s["gap"]
+        span = F.struct(start.alias("start"), F.lit(k).alias("k"), (start + s["n"]).alias("end"), F.char_length(s["v"]).alias("n"), s["v"].alias("t"))
+        return F.struct((start + s["n"]).alias("at"), F.concat(acc["out"], F.array(span).cast(_SPAN)).alias("out"))
 
-    found = F.aggregate(steps, zero, step)["out"]
+    def spans(bs: Column) -> Column:
+        at = before(F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda a, s: a + s["gap"] + s["n"])))
+        each = F.zip_with(bs, at, lambda b, a: F.aggregate(b, F.struct(a.alias("at"), F.array().cast(_SPAN).alias("out")), step)["out"])
+        return F.filter(F.flatten(each), lambda s: s["n"] >= least)
+
+    found = F.element_at(F.transform(F.array(blocks), spans), 1)  # binds the blocks, so that they are made once
     # most texts have none: one search decides
-    return F.when(text.rlike(pattern), F.filter(found, lambda s: s["n"] >= least)).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
 
 def _tail(z: Column) -> Column:
@@ -88,7 +111,7 @@ def _battery(size: Column, codes: Column) -> Column:
     spread = F.greatest(F.aggregate(codes, F.lit(0.0), lambda s, c: s + (c - mean) * (c - mean)), F.lit(1e-9))
     lag = F.aggregate(pairs, F.lit(0.0), lambda s, i: s + (F.element_at(codes, i) - mean) * (F.element_at(codes, i - 1) - mean))
     p_serial = F.lit(2.0) * _tail(F.abs(lag / spread) * F.sqrt(n))
-    return F.when((high == 0) | (low == 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.lit(3.0) * F.least(p_chi, p_runs, p_serial)))
+    return F.when((high == 0) | (low == 0), F.lit(0.0)).otherwise(F.lit(1.0) - F.pow(F.lit(1.0) - F.least(F.lit(1.0), p_chi, p_runs, p_serial), F.lit(3.0)))
 
 
 def _length_class(n: Column) -> Column:
@@ -106,14 +129,19 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     found = docs.select("doc_id", text.alias("text"))
     found = found.select("doc_id", F.array_sort(F.concat(*(_matches(F.col("text"), p, g, n, k) for k, (_, p, g, n) in enumerate(KINDS)))).alias("base"), _matches(F.col("text"), _TOKEN, 0, 20, len(KINDS)).alias("tokens"))
-    plain = r"^[A-Z]?[a-z]+$|^[A-Z]+$|^[_-]+$|^[0-9]+$|^[a-zA-Z]+([-_/+][a-zA-Z]+)*$"
-    tokens = F.filter("tokens", lambda s: ~s["t"].rlike(plain) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    size = lambda t: F.when(t.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(t.rlike("^[A-Z2-7]+$"), 32).when(t.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), 36).otherwise(64)
+    tokens = F.filter("tokens", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+    def size(t: Column) -> Column:
+        one_case = lambda letters, n, out: out.when(t.rlike(f"^([{letters}]+|[{letters.upper()}]+)$"), n)
+        return one_case("0-9a-z", 36, one_case("a-z", 26, one_case("0-9a-f", 16, F.when(t.rlike("^[0-9]+$"), 10))).when(t.rlike("^[A-Z2-7]+$"), 32)).when(t.rlike("^[A-Za-z]+$"), 52).otherwise(64)
+
     sized = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), size(s["t"]).alias("size"), s["t"].alias("t")))
 
     def code(t: Column, a: Column) -> Column:
-        letters = F.split(F.when(a.isin(16, 36), F.lower(t)).otherwise(F.translate(t, "-_", "+/")), "")
-        alphabet = F.when(a == 16, _ALPHABET[16]).when(a == 32, _ALPHABET[32]).when(a == 36, _ALPHABET[36]).otherwise(_ALPHABET[64])
+        letters = F.split(F.when(a.isin(16, 26, 36), F.lower(t)).otherwise(F.translate(t, "-_", "+/")), "")
+        alphabet = F.lit("")
+        for n, x in _ALPHABET.items():
+            alphabet = F.when(a == n, x).otherwise(alphabet)
         return F.transform(F.filter(letters, lambda c: c != ""), lambda c: F.instr(alphabet, c) - 1)
 
     coded = F.transform(sized, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["size"].alias("size"), code(s["t"], s["size"]).alias("codes")))
@@ -134,12 +162,12 @@ def _above(s: Column, cut: dict[int, float]) -> Column:
 
 
 def _cuts(light: DataFrame, fdr: float) -> dict[int, float]:
-    """The cut of each encoding and length class; at most 4 * len(_LENGTHS) entries."""
+    """The cut of each encoding and length class, none where no cut will do; at most len(_ALPHABET) * len(_LENGTHS) entries."""
     token = light.select(F.explode("tokens").alias("s")).select("s.class", "s.p")
-    counts = token.groupBy("class").agg(*(F.count_if(F.col("p") > c).alias(f"n{i}") for i, c in enumerate(_CUTS))).collect()
+    counts = token.groupBy("class").agg(F.count_if(F.col("p") > _SURE).alias("sure"), *(F.count_if(F.col("p") > c).alias(f"n{i}") for i, c in enumerate(_CUTS))).collect()
     out = {}
     for r in counts:
-        random = r[f"n{len(_CUTS) - 1}"] / (1 - _CUTS[-1])
+        random = r["sure"] / (1 - _SURE)
         for i, c in enumerate(_CUTS):
             above = r[f"n{i}"]
             if above and above - random * (1 - c) <= fdr * above:
