@@ -37,11 +37,11 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
 
 
-def _runs(docs: DataFrame, id_col: str, text_col: str, few: int) -> DataFrame:
+def _runs(docs: DataFrame, id_col: str, text_col: str, few: int, keyed: bool = False) -> DataFrame:
     """A row for each row of docs, sorted by content: what its run says, and the text of a hot run's first row."""
     text = common.field(text_col)
     rows = common.boxed(docs).select(
-        common.field(id_col).alias("doc_id"), F.char_length(F.coalesce(text, F.lit(""))).alias("n"), common.row_key(id_col, text_col).alias("key"), normalised(text).alias("norm"),
+        common.field(id_col).alias("doc_id"), F.char_length(F.coalesce(text, F.lit(""))).alias("n"), (common.row_key(id_col, text_col) if keyed else F.lit(None).cast("binary")).alias("key"), normalised(text).alias("norm"),
     ).withColumns({"head": F.substring("norm", 1, HEAD), "hash": F.xxhash64("norm")})
     share = docs.count() // (2 * common.partitions(docs.sparkSession))
     hot = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > max(few, share))
@@ -61,9 +61,9 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, few: int) -> DataFrame:
     )
 
 
-def _keepers(docs: DataFrame, id_col: str, text_col: str, few: int) -> DataFrame:
-    """(doc_id, key, keep_id, group_size, kept, text_sha256); key is common.row_key."""
-    found = common.written(_runs(docs, id_col, text_col, few), "content-runs")  # ids and digests: what follows sees no text but those of hot runs' first rows
+def _keepers(docs: DataFrame, id_col: str, text_col: str, few: int, keyed: bool = False) -> DataFrame:
+    """(doc_id, key, keep_id, group_size, kept, text_sha256); key is common.row_key, or null if it is of no use."""
+    found = common.written(_runs(docs, id_col, text_col, few, keyed), "content-runs")  # ids and digests: what follows sees no text but those of hot runs' first rows
     run = ["head", "hash", "salt", "run"]
     first = found.filter("norm is not null")
     best = Window.partitionBy("hash", "norm").orderBy(F.col("n").desc(), F.col("doc_id").asc_nulls_last(), "salt").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -88,5 +88,5 @@ def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
     """The rows that stay, with their columns; of rows that repeat an id and a text, any one."""
-    found = _keepers(docs, id_col, text_col, few)
+    found = _keepers(docs, id_col, text_col, few, keyed=True)
     return common.keep_rows(docs, id_col, text_col, found.select("key"), found.filter("kept").select("key"))
