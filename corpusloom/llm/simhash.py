@@ -166,7 +166,8 @@ def link(distinct: DataFrame, radius: int = RADIUS, n_blocks: int = N_BLOCKS, ch
     rows = distinct.select("fp", "table", key.alias("k")).select("k.b", "k.bits", "fp", "table")
     # buckets beyond one chunk, with the number of chunks they are cut into; counted before the shuffle
     large = rows.groupBy("b", "bits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk).select("b", "bits", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
-    cut = rows.join(large, ["b", "bits"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
+    large = common.written(large, "large-buckets")
+    cut = rows.join(F.broadcast(large) if 64 * large.count() <= common.BROADCAST_BYTES else large, ["b", "bits"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
     # every pair of chunks, and so every pair of rows, meets once
     dealt = cut.select("b", "bits", "fp", "table", "own", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("with")).select(
         "b", "bits", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "fp", "table"
