@@ -76,12 +76,13 @@ class _Builder(HTMLParser):
     def __init__(self, drop: frozenset[str]):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
-        self.drop, self.inside = drop, 0
+        self.drop, self.dropped = drop, {self.root: False}  # of open nodes, whether they or one around them are dropped
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in _VOID:
+            self.dropped[node] = self.dropped[self.at] or tag in self.drop
             self.at = node
 
     def handle_startendtag(self, tag, attrs):
@@ -95,12 +96,8 @@ class _Builder(HTMLParser):
             self.at = n.parent
 
     def handle_data(self, data):
-        n = self.at
-        while n is not None:
-            if n.tag in self.drop:
-                return
-            n = n.parent
-        self.at.children.append(data)
+        if not self.dropped[self.at]:
+            self.at.children.append(data)
 
 
 def parse(html: str | None, drop: frozenset[str] = _DROP) -> Node:

@@ -28,36 +28,41 @@ def hashing_provider(size: int = SIZE) -> Callable[[list[str]], np.ndarray]:
     """Signed feature hashing of lower-cased words, unit length; words-less texts give zeros."""
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), size), np.float32)
-        for r, t in enumerate(texts):
-            for w in _WORDS.findall(t.lower()):
-                h = zlib.crc32(w.encode())
-                out[r, (h >> 1) % size] += 1 if h & 1 else -1
+        found = [_WORDS.findall(t.lower()) for t in texts]
+        number: dict[str, int] = {}
+        code = np.fromiter((number.setdefault(w, len(number)) for ws in found for w in ws), np.int64)
+        h = np.fromiter((zlib.crc32(w.encode()) for w in number), np.int64, len(number))[code]  # each word once a batch
+        at = np.repeat(np.arange(len(texts)), list(map(len, found))) * size + (h >> 1) % size
+        out = np.bincount(at, np.where(h & 1, 1.0, -1.0), len(texts) * size).reshape(-1, size).astype(np.float32)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, n, out=out, where=n > 0)
 
     return embed
 
 
-def embed(docs: DataFrame, text: str, provider: Callable[[list[str]], np.ndarray] | None = None, size: int = SIZE, batch: int = 128, column: str = "embedding") -> DataFrame:
-    """Adds the vectors.  Blank texts count as one space; a batch that fails gets zeros."""
+def embed(docs: DataFrame, text: str, provider: Callable[[list[str]], np.ndarray] | None = None, size: int = SIZE, batch: int = 128, column: str = "embedding", error: str | None = None) -> DataFrame:
+    """Adds the vectors.  Blank texts count as one space; a batch that fails gets zeros, and its error in the column `error` if that is named."""
     ship(docs.sparkSession)
     provider = provider or hashing_provider(size)
 
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("vector array<float>, error string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            out = []
+            out, errors = [], []
             texts = [t if isinstance(t, str) and t.strip() else " " for t in s]
             for k in range(0, len(texts), batch):
                 some = texts[k : k + batch]
                 try:
                     out += list(np.asarray(provider(some), np.float32))
-                except Exception:  # noqa: BLE001  whatever the provider raises
+                    errors += [None] * len(some)
+                except Exception as e:  # noqa: BLE001  whatever the provider raises
                     out += list(np.zeros((len(some), size), np.float32))
-            yield pd.Series(out, index=s.index)
+                    errors += [f"{type(e).__name__}: {e}"] * len(some)
+            yield pd.DataFrame({"vector": out, "error": pd.Series(errors, dtype=object)})
 
-    return docs.withColumn(column, run(F.col(text)))
+    found = docs.withColumn("__found", run.asNondeterministic()(F.col(text)))  # so that it runs once
+    columns = {column: F.col("__found")["vector"]} | ({error: F.col("__found")["error"]} if error else {})
+    return found.withColumns(columns).drop("__found")
 
 
 def zeros(size: int = SIZE) -> Column:

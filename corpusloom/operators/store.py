@@ -37,13 +37,23 @@ def get_or_create(df: DataFrame, order: str, **values) -> DataFrame:
     return found.select(*new.columns).withColumn("__n", F.lit(0)).unionByName(new.withColumn("__n", F.lit(1))).orderBy("__n").limit(1).drop("__n")
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str, now: Column | None = None) -> DataFrame:
-    """New rows replace those of equal key; updated_at is set where it is a column."""
+def upsert(existing: DataFrame, new: DataFrame, key: str, now: Column | None = None, order: Column | None = None) -> DataFrame:
+    """New rows replace those of equal key; updated_at is set where it is a column.
+
+    Of new rows that repeat a key the last counts: by `order`, else as they come.
+    """
+    new = last_of_each(new, key, order)
     if now is not None and "updated_at" in existing.columns:
         new = new.withColumn("updated_at", now)
     return existing.join(new, key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def last_of_each(df: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """The last row of each key: by `order`, and among equals as the rows come."""
+    ranked = df.withColumns({"__o": F.lit(0) if order is None else order, "__i": F.monotonically_increasing_id()})
+    return latest(ranked, [key], F.col("__o").desc_nulls_last(), F.col("__i").desc()).drop("__o", "__i")
+
+
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row for each key, the first in order."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")

@@ -105,7 +105,8 @@ def merge(primary: DataFrame, fallback: DataFrame, k: int) -> DataFrame:
     """Primary hits, the fallback's for what is missing, best first."""
     missing = F.lit(k) - F.coalesce(F.col("n"), F.lit(0))
     n = primary.agg(F.count(F.lit(1)).alias("n"))
-    rest = fallback.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id"))).join(F.broadcast(n)).filter(F.col("__r") <= missing).drop("__r", "n")
+    # no more than k rows of the fallback can be of use, so the numbering is of k rows
+    rest = fallback.orderBy(F.desc("score"), "vec_id").limit(k).withColumn("__r", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id"))).join(F.broadcast(n)).filter(F.col("__r") <= missing).drop("__r", "n")
     return primary.unionByName(rest).orderBy(F.desc("score"), "vec_id").limit(k)
 
 

@@ -13,6 +13,8 @@ from corpusloom.functions import urls as U
 from corpusloom.functions import vectors as V
 from corpusloom.operators import cache, chunk, clean, datasets, embed, rag, reports, store, vector_store
 from corpusloom.plans import flows
+from corpusloom.session import shared_path
+from corpusloom.sources import readers, writers
 from corpusloom.sources.adapters import articles, embedded, table
 from corpusloom.streaming import flows as streams
 
@@ -242,15 +244,12 @@ def chunk_paragraphs_3(spark, d):
     return chunk.explode(docs(spark, d), chunk.paragraph_groups(F.expr(DOUBLED)), ["doc_id"])
 
 
-@query(f"select doc_id, unnest(o) as chunk from (select doc_id, list_transform(list_filter(p, lambda s: length(s) > 100 and length(s) <= 1000), lambda s: s) as o from (select doc_id, {S_PARAGRAPHS} as p from documents))")
-def raw_text_sections(spark, d):
-    rows = docs(spark, d).select("doc_id", F.explode(chunk.raw_sections(F.expr(DOUBLED), most=1_000_000)).alias("chunk"))
-    return rows.filter(F.char_length("chunk") <= 1000)
+S_SECTIONS = f"select doc_id, unnest(list_filter(p, lambda s: length(s) > 100)) as s from (select doc_id, {S_PARAGRAPHS} as p from documents)"
 
 
-@query(f"select doc_id, unnest(o) as chunk from (select doc_id, case when length(s) > 1000 then {s_pack_words('s', 799)} else [s] end as o from (select doc_id, unnest(list_filter(p, lambda s: length(s) > 100)) as s from (select doc_id, {S_PARAGRAPHS} as p from documents)))")
-def raw_text_sections_split(spark, d):
-    """All sections, long ones split; raw_text_sections has only those that need no split."""
+@query(f"select doc_id, unnest(case when length(s) > 1000 then {s_pack_words('s', 799)} else [s] end) as chunk from ({S_SECTIONS})")
+def raw_text_sections(spark, d):
+    """All sections, long ones split by words."""
     return docs(spark, d).select("doc_id", F.explode(chunk.raw_sections(F.expr(DOUBLED))).alias("chunk"))
 
 
@@ -271,17 +270,50 @@ def chunk_recursive(spark, d):
     return chunk.python_chunks(docs(spark, d), "text", ["doc_id"], "recursive", size=800, overlap=200)
 
 
-@query()
+def s_after(mark: str) -> str:
+    """Where the last mark of the window ends, if it holds one."""
+    return f"case when strpos(reverse(w), reverse({mark})) > 0 then a + length(w) - strpos(reverse(w), reverse({mark})) + 1 end"
+
+
+def s_walk(then: str) -> str:
+    """The separator walk; then: the next start, from start a and end z of a text of n characters."""
+    marks = ", ".join(s_after(m) for m in ("'. '", "'! '", "'? '", "chr(10) || chr(10)"))
+    step = f"select doc_id, i, a, n, case when a + 1000 < n then coalesce({marks}, a + 1000) else a + 1000 end as z from (select x.*, substring(text, a + 1, 1000) as w from x join documents using (doc_id))"
+    return f"""
+with recursive long as (select doc_id, length(text) as n from documents where length(text) > 1000),
+v as (
+  select doc_id, i, a, n, z from (with x as (select doc_id, 0 as i, 0::bigint as a, n from long) {step})
+  union all
+  select doc_id, i, a, n, z from (with x as (select doc_id, i + 1 as i, {then} as a, n from v where {then} < n) {step})
+)
+select doc_id, i::int as chunk_index, c as chunk, null::varchar as error from (select doc_id, i, {s_strip('substring(text, a + 1, z - a)')} as c from v join documents using (doc_id)) where c <> ''
+union all select doc_id, 0, text, null from documents where length(text) between 1 and 1000
+"""
+
+
+@query(s_walk("case when z >= n then n when z - 200 > a then z - 200 else z end"))
 def chunk_walk(spark, d):
     return chunk.python_chunks(docs(spark, d), "text", ["doc_id"], "walk", size=1000, overlap=200)
 
 
-@query()
+@query(s_walk("greatest(a + 1, z - 200)"))
 def chunk_walk_compat(spark, d):
     return chunk.python_chunks(docs(spark, d), "text", ["doc_id"], "walk", size=1000, overlap=200, compat=True)
 
 
-@query()
+S_BREAK = f"(line like '#%' or {s_strip('line')} = '')"
+
+
+@query(f"""
+with l as (
+  select doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line
+  from (select doc_id, string_split('# ' || replace({DOUBLED}, chr(10) || chr(10), chr(10) || chr(10) || '## '), chr(10)) as ls from documents)
+), g as (select *, sum(case when {S_BREAK} then 1 else 0 end) over (partition by doc_id order by i) as g from l),
+s as (select doc_id, g, {s_strip("string_agg(line, chr(10) order by i)")} as c from g where {s_strip('line')} <> '' group by doc_id, g)
+select doc_id, (row_number() over (partition by doc_id order by g) - 1)::int as chunk_index, c as chunk,
+  case when c like '#%' then {s_strip("regexp_replace(split_part(c, chr(10), 1), '^#+', '')")} else left(split_part(c, chr(10), 1), 100) end as title
+from s where length(c) > 50
+""")
 def heading_sections(spark, d):
     rows = docs(spark, d).select("doc_id", F.regexp_replace(F.concat(F.lit("# "), F.expr(DOUBLED)), "\n\n", "\n\n## ").alias("t"))
     parts = chunk.explode(rows, chunk.heading_sections(F.col("t")), ["doc_id"])
@@ -863,6 +895,97 @@ def instruction_dataset(spark, d):
     return flows.instructions(docs(spark, d), "text", keep="doc_id").select("doc_id", "piece", "instruction", "output", "split")
 
 
+# ---- what is written and read back
+
+
+PAIRS = "select 'Document ' || doc_id as instruction, text as output from documents"
+
+
+def pairs(spark, d) -> DataFrame:
+    return docs(spark, d).select(F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("instruction"), F.col("text").alias("output"))
+
+
+@query("select doc_id::varchar as id, source as platform, text as content from documents")
+def collection_round_trip(spark, d):
+    """JSON arrays, eight of them, read as one collection."""
+    path = shared_path(spark, "collection")
+    rows = docs(spark, d).select((F.col("doc_id") % 8).alias("part"), F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("platform"), F.col("text").alias("content")).alias("r"))
+    rows.groupBy("part").agg(F.to_json(F.collect_list("r")).alias("value")).repartition(8, "part").write.partitionBy("part").text(path)
+    return readers.collection(spark, f"{path}/*/*.txt", "id string, platform string, content string")
+
+
+@query("select doc_id::varchar as id from documents where false")
+def collection_missing(spark, d):
+    return readers.collection(spark, shared_path(spark, "no-such-file"), "id string")
+
+
+@query(PAIRS)
+def pairs_json_round_trip(spark, d):
+    path = shared_path(spark, "pairs-json")
+    writers.pairs(pairs(spark, d), path)
+    return spark.read.schema("instruction string, output string").json(path)
+
+
+@query(PAIRS)
+def pairs_csv_round_trip(spark, d):
+    path = shared_path(spark, "pairs-csv")
+    writers.pairs(pairs(spark, d), path, "csv")
+    return spark.read.schema("instruction string, output string").option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+@query(f"select instruction, '' as input, output from ({PAIRS})")
+def pairs_alpaca_round_trip(spark, d):
+    path = shared_path(spark, "pairs-alpaca")
+    writers.pairs(pairs(spark, d), path, "alpaca")
+    return spark.read.schema("instruction string, input string, output string").json(path)
+
+
+@query("select 'Document ' || doc_id as instruction, text as output, case when doc_id % 10 = 0 then 'test' else 'train' end as split from documents")
+def dataset_round_trip(spark, d):
+    """Both splits written, read and joined to one instruction set."""
+    path = shared_path(spark, "dataset")
+    rows = docs(spark, d).select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("instruction"), F.col("text").alias("output"))
+    writers.dataset(rows.withColumn("split", F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train")).drop("doc_id"), path)
+    return readers.instruction_sets(spark.read.parquet(f"{path}/split=train"), spark.read.parquet(f"{path}/split=test"))
+
+
+@query("select vec_id, 'c' || (vec_id % 3) as collection, len(embedding)::int as size, embedding[1]::double as first from embeddings where vec_id % 5 <> 0")
+def vectors_round_trip(spark, d):
+    """Two appends to the same collections; rows without a vector stay out."""
+    path = shared_path(spark, "vectors")
+    rows = embedded(spark, d).select("vec_id", F.when(F.col("vec_id") % 5 != 0, F.col("embedding")).alias("embedding"), F.concat(F.lit("c"), (F.col("vec_id") % 3).cast("string")).alias("collection"))
+    writers.append_vectors(rows.filter("vec_id % 2 = 0"), path)
+    writers.append_vectors(rows.filter("vec_id % 2 = 1"), path)
+    return spark.read.parquet(path).select("vec_id", "collection", F.size("embedding").alias("size"), F.col("embedding")[0].cast("double").alias("first"))
+
+
+@query("select doc_id, lang from documents where doc_id % 2 = 1")
+def overwrite_and_clear(spark, d):
+    """A collection is written, cleared, and written anew."""
+    path, rows = shared_path(spark, "rewritten"), docs(spark, d).select("doc_id", "lang")
+    writers.overwrite(rows, path)
+    writers.clear(spark.read.parquet(path).limit(0), path)
+    left = spark.read.parquet(path).count()
+    writers.overwrite(rows.filter("doc_id % 2 = 1"), path)
+    return spark.read.parquet(path).filter(F.lit(left == 0))
+
+
+@query("select source as domain, count(*) as total, count(*) filter (doc_id % 2 = 0) as successful from documents group by 1")
+def report_round_trip(spark, d):
+    path = shared_path(spark, "report")
+    writers.report(docs(spark, d).groupBy(F.col("source").alias("domain")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("doc_id") % 2 == 0).alias("successful")), path)
+    return spark.read.schema("domain string, total long, successful long").json(path)
+
+
+@query("select trim(x) as question from (select unnest(string_split(text, chr(10))) as x from benchmark) where trim(x) <> ''")
+def questions_round_trip(spark, d):
+    """A question on each line, with blank lines between."""
+    path = shared_path(spark, "questions")
+    lines = table(spark, d, "benchmark").select(F.explode(F.array(F.concat(F.lit("  "), "text"), F.lit("  "))).alias("value"))
+    lines.write.text(path)
+    return readers.questions(spark, path)
+
+
 # ---- event windows
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_MADE: list[tuple[SparkSession, str]] = []
 
 
 def build(app: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,6 +32,29 @@ def build(app: str = "corpusloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; it goes when the application ends.
+
+    The folder is spark.checkpoint.dir; where that is unset, the warehouse of a
+    cluster, or a temporary folder if all runs in one process.
+    """
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        folder = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-shared")
+    path = f"{(folder or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _MADE:
+        with contextlib.suppress(Exception):  # the session may be gone
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the Python workers, once an application."""
     sc = spark.sparkContext

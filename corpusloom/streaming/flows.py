@@ -34,19 +34,18 @@ def transform(stream: DataFrame, column: str, rule: Callable[[Column], Column])
     return stream.withColumn(column, rule(F.col(column)))
 
 
-def upsert_batches(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """Each batch's last row for a key replaces the stored one; a batch that is run again changes nothing.
+def upsert_batches(stream: DataFrame, path: str, key: str, checkpoint: str, order: Column | None = None):
+    """Each batch's last row for a key (by `order`, such as the event time) replaces the stored one; a batch that is run again changes nothing.
 
     Every batch writes a new version of the table, path/v=<batch>; read the
     newest by latest_version().
     """
-    from corpusloom.operators.store import upsert
+    from corpusloom.operators.store import last_of_each, upsert
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
         old = latest_version(spark, path, below=n)
-        (new if old is None else upsert(old, new, key)).write.mode("overwrite").parquet(f"{path}/v={n}")
+        (last_of_each(batch, key, order) if old is None else upsert(old, batch, key, order=order)).write.mode("overwrite").parquet(f"{path}/v={n}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

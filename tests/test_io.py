@@ -93,6 +93,9 @@ def test_store(spark):
     twice = store.upsert(once, new, "id", F.lit("now"))
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, twice.collect()), key=str)
     assert {r["id"]: r["updated_at"] for r in once.collect()} == {1: None, 3: "x", 2: "now", 9: "now"}
+    twins = spark.createDataFrame([(2, "first", "1"), (2, "last", "2"), (2, "mid", "0"), (7, "n", None)], df.schema).coalesce(1)
+    assert {r["id"]: r["k"] for r in store.upsert(df, twins, "id").collect()} == {1: "a", 2: "mid", 3: None, 7: "n"}
+    assert {r["id"]: r["k"] for r in store.upsert(df, twins, "id", order=F.col("updated_at")).collect()} == {1: "a", 2: "last", 3: None, 7: "n"}
     assert store.get_or_create(df.withColumn("id", F.col("id").cast("string")), "id", k="a").collect()[0]["id"] == "1"
     assert len(store.get_or_create(df.withColumn("id", F.col("id").cast("string")), "id", k="zz").collect()[0]["id"]) == 32
 
@@ -106,6 +109,8 @@ def test_embed_failures_and_blanks(spark):
     df = spark.createDataFrame([(1, "abc"), (2, None), (3, "bad")], "i int, t string").coalesce(1)
     got = {r["i"]: list(r["embedding"]) for r in embed.embed(df, "t", provider, size=2, batch=1).collect()}
     assert got == {1: [3.0, 1.0], 2: [1.0, 1.0], 3: [0.0, 0.0]}
+    errors = embed.embed(df, "t", provider, size=2, batch=1, error="why").collect()
+    assert {r["i"]: r["why"] for r in errors} == {1: None, 2: None, 3: "RuntimeError: no model"}
     unit = embed.embed(df, "t").select(V.norm(F.col("embedding")).alias("n"), "i").collect()
     assert {r["i"]: round(r["n"], 5) for r in unit} == {1: 1.0, 2: 0.0, 3: 1.0}
     meta = embed.with_metadata(spark.createDataFrame([({"embedding_size": "7"},), (None,)], "metadata map<string,string>"), "m", 384, 256).collect()

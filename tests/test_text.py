@@ -149,7 +149,7 @@ def test_long_sections_are_split(spark):
 def test_no_section_is_lost(spark, data):
     from corpusloom import queries as q
 
-    found = sorted((r["doc_id"], r["chunk"]) for r in q.QUERIES["raw_text_sections_split"](spark, data).collect())
+    found = sorted((r["doc_id"], r["chunk"]) for r in q.QUERIES["raw_text_sections"](spark, data).collect())
     texts = q.docs(spark, data).select("doc_id", "text").collect()
     assert any(len(s) > 1000 for r in texts for s in r["text"].split("\n"))
     assert found == sorted((r["doc_id"], c) for r in texts for c in py_sections(r["text"].replace("\n", "\n\n")))
