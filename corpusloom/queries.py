@@ -377,6 +377,51 @@ def vector_many_queries(spark, d):
     return hits.withColumn("score", F.round("score", 4))
 
 
+def s_many(score: str, k: int = 5, where: str = "true") -> str:
+    """The k best rows for every query vector; score of e and q."""
+    ranked = f"select q.vec_id as query_id, e.vec_id, {score} as s, row_number() over (partition by q.vec_id order by round({score}, 12) desc, e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id % 50 = 0) q where {where}"
+    return f"select query_id, vec_id, round(s, 4) + 0.0 as score, rank::int as rank from ({ranked}) where rank <= {k}"
+
+
+def many(spark, d, rows: DataFrame, least: float = -1e300, **options) -> DataFrame:
+    queries = embedded(spark, d).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = vector_store.search_many(rows, queries, **options).filter(F.col("score") >= least)
+    return hits.withColumn("score", F.round("score", 4) + 0.0)
+
+
+@query(s_many("list_dot_product(e.embedding::double[], q.embedding::double[])"))
+def vector_many_queries_dot(spark, d):
+    return many(spark, d, embedded(spark, d), metric="dot")
+
+
+@query(s_many("-list_distance(e.embedding::double[], q.embedding::double[])"))
+def vector_many_queries_l2(spark, d):
+    return many(spark, d, embedded(spark, d), metric="euclid")
+
+
+@query(s_many("list_cosine_similarity(e.embedding::double[], q.embedding::double[])", 7, "e.label < 5"))
+def vector_many_queries_filtered(spark, d):
+    return many(spark, d, embedded(spark, d).filter("label < 5"), k=7)
+
+
+@query(s_many("list_cosine_similarity(e.embedding::double[], q.embedding::double[])", 20).replace("where rank <= 20", "where rank <= 20 and s >= 0.3"))
+def vector_many_queries_threshold(spark, d):
+    """The best of each query that reach a least score."""
+    return many(spark, d, embedded(spark, d), k=20, least=0.3)
+
+
+@query("select * from (values ('text-embedding-3-large', 3072), ('text-embedding-3-small', 1536), ('text-embedding-ada-002', 1536), ('another-model', 1536)) v(model, size)")
+def embedding_dimensions(spark, d):
+    names = ("text-embedding-3-large", "text-embedding-3-small", "text-embedding-ada-002", "another-model")
+    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(n).alias("model"), F.lit(embed.dimension(n)).alias("size")) for n in names))))
+
+
+@query("select doc_id from documents where source = 'src1'")
+def platform_equality(spark, d):
+    """Rows of one platform, by the collection's own lookup."""
+    return store.find_all(articles(spark, d), platform="src1").select("doc_id")
+
+
 @query(f"with p as (select vec_id, {S_COS} as s from embeddings where label < 5 and {S_COS} >= 0.3 order by s desc, vec_id limit 10), f as (select vec_id, {S_COS} as s from embeddings where label >= 5 order by s desc, vec_id limit 10) select vec_id, round(s, 4) as score from (select * from p union all select vec_id, s from (select *, row_number() over (order by s desc, vec_id) as r from f) where r <= 10 - (select count(*) from p)) order by s desc, vec_id limit 10")
 def hybrid_merge(spark, d):
     e, q = embedded(spark, d), q0(spark, d)
