@@ -103,10 +103,11 @@ class Unit:
         for x in self.table.column("text"):
             yield b"" if not x.is_valid else x.as_buffer().to_pybytes()
 
-    def cuts(self, shards: int) -> np.ndarray:
-        """Where the sorted windows pass from one window shard to the next."""
-        edges = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
-        return np.concatenate([[0], np.searchsorted(self.hash, edges), [self.hash.size]])
+    def shards(self, n: int) -> Iterator[tuple[int, int, int]]:
+        """(shard, first, end) of the sorted windows of each of n window shards that has some."""
+        of = (self.hash >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if of.size else np.zeros(0, np.int64)
+        yield from zip(of[first].astype(np.int64).tolist(), first.tolist(), np.append(first[1:], of.size).tolist())
 
 
 def _squeeze(x: np.ndarray) -> bytes:
@@ -227,12 +228,8 @@ def _run(docs: DataFrame, window: int, texts: bool) -> DataFrame:
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         u = Unit(table, window)
-        cuts = u.cuts(parts)
         out = []
-        for s in range(parts):
-            a, b = int(cuts[s]), int(cuts[s + 1])
-            if a == b:
-                continue
+        for s, a, b in u.shards(parts):
             gap = np.diff(u.hash[a:b], prepend=np.uint64(0))
             ids, rank = np.unique(u.least[a:b], return_inverse=True)
             kind = np.uint16 if ids.size < 1 << 16 else np.uint32
@@ -260,11 +257,10 @@ def _run(docs: DataFrame, window: int, texts: bool) -> DataFrame:
     def remove(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         schema = _TEXTS if texts else _RESULT
         u = Unit(table, window)
-        cuts = u.cuts(parts)
         found = np.zeros(u.hash.size, bool)
-        for s, bits in zip(answers.column("shard").to_pylist(), answers.column("bits").to_pylist()):
-            a, b = int(cuts[s]), int(cuts[s + 1])
-            found[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        bits = dict(zip(answers.column("shard").to_pylist(), answers.column("bits").to_pylist()))
+        for s, a, b in u.shards(parts):
+            found[a:b] = np.unpackbits(np.frombuffer(bits[s], np.uint8), count=b - a).astype(bool)
         gone = _locate(u, found)
         ids, removed, kept = u.table.column("doc_id"), [], []
         for t, a, n in zip(u.texts(), u.first.tolist(), u.n_words.tolist()):
