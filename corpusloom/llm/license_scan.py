@@ -14,9 +14,10 @@ shingle that is smallest there, so only windows around such shingles are
 signed.  Every window retrieved is then compared exactly: the share of the
 template's distinct shingles that the window holds.
 
-All of it is DataFrame functions without a shuffle; the templates are a
-parameter, and what is made from them (their shingles and band keys) is
-bounded by their text, checked against MAX_TEMPLATE_CHARS.
+All of it is DataFrame functions without a shuffle.  The templates are a
+parameter and become rows: a table of band keys that windows are joined to by
+(class, band, key), and one of shingles for the comparison.  Both are broadcast
+and bounded by MAX_TEMPLATES and MAX_TEMPLATE_CHARS, which are checked.
 
 Defined results: null and word-less texts match nothing and have no row;
 repeated documents are scanned each by itself; without templates, or with
@@ -39,6 +40,7 @@ SHINGLE = 5
 BANDS = 48
 CONTAINMENT = 0.8
 MAX_TEMPLATE_CHARS = 1_000_000
+MAX_TEMPLATES = 2_000
 #: Public license notices and permission texts.
 TEMPLATES = {
     "apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
@@ -75,8 +77,8 @@ class Templates:
     """Shingles, size classes and band keys; made by the same expressions as the documents' shingles."""
 
     def __init__(self, spark, texts: dict[str, str]):
-        if sum(map(len, texts.values())) > MAX_TEMPLATE_CHARS:
-            raise ValueError("templates exceed MAX_TEMPLATE_CHARS; scan in several calls")
+        if sum(map(len, texts.values())) > MAX_TEMPLATE_CHARS or len(texts) > MAX_TEMPLATES:
+            raise ValueError("templates exceed MAX_TEMPLATE_CHARS or MAX_TEMPLATES; scan in several calls")
         self.size = {k: min(SHINGLE, n) for k, t in texts.items() if (n := len(_template_words(t)))}
         self.shingles: dict[str, list[int]] = {}
         self.keys: dict[str, list[int]] = {}
@@ -92,6 +94,18 @@ class Templates:
         for k, s in self.shingles.items():
             self.classes.setdefault((self.size[k], len(s).bit_length() - 1), []).append(k)
 
+    def bands(self, spark) -> DataFrame:
+        """(size, c, band, key, template): BANDS rows a template."""
+        rows = [(n, c, b, h, t) for (n, c), names in self.classes.items() for t in names for b, h in enumerate(self.keys[t])]
+        kinds = {"size": pa.int32(), "c": pa.int32(), "band": pa.int32(), "key": pa.int64(), "template": pa.string()}
+        return spark.createDataFrame(pa.table({n: pa.array(v, kinds[n]) for n, v in zip(kinds, zip(*rows))}))
+
+    def whole(self, spark) -> DataFrame:
+        """(template, keys, own): band keys and distinct shingles, a row a template."""
+        longs = pa.list_(pa.int64())
+        names = sorted(self.shingles)
+        return spark.createDataFrame(pa.table({"template": names, "keys": pa.array([self.keys[t] for t in names], longs), "own": pa.array([self.shingles[t] for t in names], longs)}))
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = CONTAINMENT) -> DataFrame:
     """(doc_id, template, window_start, first_word, containment): a row for each window that holds a template.
@@ -107,8 +121,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     windows = []
     for (size, c), names in sorted(made.classes.items()):
         step, s = 2 << c, F.col(f"s{size}")
-        keys = sorted({h for t in names for h in made.keys[t]})
-        at = F.filter(F.transform(s, lambda h, i: F.when(h.isin(keys), i)), lambda i: i.isNotNull())
+        keys = ", ".join(f"{h}L" for h in sorted({h for t in names for h in made.keys[t]}))
+        at = F.expr(f"filter(transform(s{size}, (h, i) -> case when h in ({keys}) then i end), i -> i is not null)")
         # each place is in two windows; the last window reaches the end
         last = F.greatest(F.lit(0), F.ceil((F.size(s) - 2 * step) / step)).cast("int")
         place = lambda i, back: F.greatest(F.lit(0), F.least(F.floor(i / step).cast("int") - back, last))
@@ -117,13 +131,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     # a document without any of the templates' smallest shingles has no window to sign; a row has its own window's shingles only
     rows = signed.select("doc_id", F.explode(F.concat(*windows)).alias("w")).select("doc_id", "w.*")
     rows = rows.withColumn("k", F.array(*(F.array_min(F.transform("x", lambda h: F.struct(_seeded(h, b).alias("o"), h.alias("h"))))["h"] for b in range(BANDS))))
-    found = []
-    for (size, c), names in sorted(made.classes.items()):
-        for t in names:
-            own, mine = made.shingles[t], F.array(*map(F.lit, made.keys[t]))
-            met = F.exists(F.zip_with("k", mine, lambda a, b: a == b), lambda e: e)
-            held = F.size(F.array_intersect("x", F.lit(own))) / float(len(own))
-            first = F.col("window_start") + F.array_min(F.filter(F.transform("x", lambda h, i: F.when(h.isin(own), i)), lambda i: i.isNotNull()))
-            found.append(F.when((F.col("size") == size) & (F.col("c") == c) & met, F.struct(F.lit(t).alias("template"), "window_start", first.cast("int").alias("first_word"), held.alias("containment"))))
-    verified = F.filter(F.array(*found), lambda f: f.isNotNull() & (f["containment"] >= least))
-    return rows.select("doc_id", F.explode(verified).alias("f")).select("doc_id", "f.*")
+    # windows meet templates by band; a pair that meets in several bands is taken from the first
+    near = rows.select("*", F.posexplode("k").alias("band", "key")).join(F.broadcast(made.bands(spark)), ["size", "c", "band", "key"])
+    met = near.join(F.broadcast(made.whole(spark)), "template").filter(F.array_position(F.zip_with("k", "keys", lambda a, b: a == b), True) == F.col("band") + 1)
+    held = met.withColumn("common", F.array_intersect("x", "own"))  # in the order of x
+    held = held.withColumn("containment", F.size("common") / F.size("own")).filter(F.col("containment") >= least)
+    first = F.col("window_start") + F.array_position("x", F.col("common")[0]) - 1
+    return held.select("doc_id", "template", "window_start", first.cast("int").alias("first_word"), "containment")

@@ -123,6 +123,19 @@ def test_licenses_of_every_length(spark):
     assert {n for _, n, *_ in mine} >= {"all", "two", "one", "four"}
 
 
+def test_many_license_templates(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    templates = {f"t{i}": " ".join(rng.choices(words, k=rng.choice([3, 9, 30, 90, 400]))) for i in range(400)}
+    rows = [(i // 2, " ".join([*rng.choices(words, k=rng.randint(0, 900)), templates[f"t{rng.randrange(400)}"], *rng.choices(words, k=20)])) for i in range(60)]
+    rows += rows[:5]  # repeated rows are scanned each by itself
+    out = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates)
+    mine = sorted((r["doc_id"], r["template"], r["window_start"], r["first_word"], round(r["containment"], 9)) for r in out.collect())
+    assert mine == sorted(x for row in rows for x in brute_licenses([row], templates))
+    with pytest.raises(ValueError):
+        license_scan.scan(out, {str(i): "a license" for i in range(license_scan.MAX_TEMPLATES + 1)})
+
+
 # ---- quality
 
 
