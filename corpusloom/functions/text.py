@@ -31,6 +31,11 @@ def collapse(c: Column) -> Column:
     return F.trim(single_spaces(c))
 
 
+def iso(at: Column) -> Column:
+    """A time as YYYY-MM-DDTHH:MM:SS; which time is the caller's, as in tests."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

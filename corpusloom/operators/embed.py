@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,17 +25,17 @@ def dimension(model: str) -> int:
 
 
 def hashing_provider(size: int = SIZE) -> Callable[[list[str]], np.ndarray]:
-    """Signed feature hashing of lower-cased words, unit length; words-less texts give zeros."""
+    """Signed feature hashing of lower-cased words by the first 32 bits of their MD5, unit length; word-less texts give zeros."""
 
     def embed(texts: list[str]) -> np.ndarray:
         found = [_WORDS.findall(t.lower()) for t in texts]
         number: dict[str, int] = {}
         code = np.fromiter((number.setdefault(w, len(number)) for ws in found for w in ws), np.int64)
-        h = np.fromiter((zlib.crc32(w.encode()) for w in number), np.int64, len(number))[code]  # each word once a batch
+        h = np.fromiter((int.from_bytes(hashlib.md5(w.encode()).digest()[:4]) for w in number), np.int64, len(number))[code]  # each word once a batch
         at = np.repeat(np.arange(len(texts)), list(map(len, found))) * size + (h >> 1) % size
-        out = np.bincount(at, np.where(h & 1, 1.0, -1.0), len(texts) * size).reshape(-1, size).astype(np.float32)
-        n = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, n, out=out, where=n > 0)
+        out = np.bincount(at, np.where(h & 1, 1.0, -1.0), len(texts) * size).reshape(-1, size)
+        n = np.sqrt((out**2).sum(axis=1, keepdims=True))
+        return np.divide(out, n, out=out, where=n > 0).astype(np.float32)
 
     return embed
 

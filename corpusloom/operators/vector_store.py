@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusloom.functions import vectors as V
-from corpusloom.session import ship
+from corpusloom.session import shared_path, ship
 
 PAYLOAD_MB = 30.0
 
@@ -121,6 +121,26 @@ def route(payload: Column, limit_mb: float = PAYLOAD_MB) -> Column:
     return F.when(payload < limit_mb, "primary").otherwise("local")
 
 
+def with_positions(table: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """Adds position, a row's place from 0 by id, as of vectors in a flat index.
+
+    A range sort and one count a partition; no row passes through a single task.
+    """
+    spark = table.sparkSession
+    path = shared_path(spark, "positions")
+    table.repartitionByRange(id_col).sortWithinPartitions(id_col).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("__part", F.shiftright("__at", 33))
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"))
+    place = F.col("before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(before), "__part").withColumn("position", place).drop("__part", "__at", "before")
+
+
+def at_positions(table: DataFrame, positions: list[int]) -> DataFrame:
+    """The rows of with_positions at these places; places beyond the table, or below zero, have none."""
+    return table.filter(F.col("position").isin(positions))
+
+
 def by_chunk_id(table: DataFrame, value, column: str = "chunk_id") -> DataFrame:
     return table.filter(F.col(column) == value).limit(1)
 

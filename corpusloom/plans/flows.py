@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text as T
-from corpusloom.operators import chunk, clean, datasets, embed, rag, store, vector_store
+from corpusloom.operators import chunk, clean, datasets, embed, rag, store, strategies, vector_store
 
 
 def ingest(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 800, overlap: int = 200, stored: DataFrame | None = None) -> DataFrame:
     """Clean, split recursively, embed; chunks already stored by content are left out."""
-    cleaned = docs.select(doc_id, T.clean_web(F.col(text)).alias("clean"))
-    chunks = chunk.with_ids(chunk.python_chunks(cleaned, "clean", [doc_id], "recursive", size=size, overlap=overlap).filter(F.col("chunk").isNotNull()), doc_id)
+    return ingest_by(docs, text, doc_id, chunk_options={"size": size, "overlap": overlap}, stored=stored)
+
+
+def ingest_by(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cleaner: str = "web", chunker: str = "recursive", embedder: str = "hashing", chunk_options: dict | None = None, dimension: int = embed.SIZE, stored: DataFrame | None = None) -> DataFrame:
+    """The same by strategies' names."""
+    cleaned = docs.select(doc_id, strategies.find(strategies.CLEANERS, cleaner)(F.col(text)).alias("clean"))
+    chunks = chunk.with_ids(strategies.chunked(cleaned, "clean", [doc_id], chunker, **(chunk_options or {})), doc_id)
     if stored is not None:
         chunks = store.not_seen(chunks, stored, "content_hash")
-    return embed.embed(chunks, "chunk")
+    return embed.embed(chunks, "chunk", strategies.find(strategies.EMBEDDERS, embedder)(dimension), dimension)
 
 
 def features(names: DataFrame, users: DataFrame, articles: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -26,7 +30,10 @@ def features(names: DataFrame, users: DataFrame, articles: DataFrame, size: int
 
 
 def ask(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """questions (query_id, question) answered from embedded chunks (vec_id, chunk, embedding)."""
+    """questions (query_id, question) answered from embedded chunks (vec_id, chunk, embedding).
+
+    The chunks are read twice, for the search and for the hits' texts: give a written table.
+    """
     queries = embed.embed(questions, "question")
     hits = vector_store.search_many(chunks, queries.select("query_id", "embedding"), k)
     found = hits.join(chunks.select("vec_id", F.col("chunk").alias("text")), "vec_id")

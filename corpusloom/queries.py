@@ -11,7 +11,7 @@ from corpusloom.functions import html as H
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
 from corpusloom.functions import vectors as V
-from corpusloom.operators import cache, chunk, clean, datasets, embed, rag, reports, store, vector_store
+from corpusloom.operators import cache, chunk, clean, datasets, embed, rag, reports, store, strategies, vector_store
 from corpusloom.plans import flows
 from corpusloom.session import shared_path
 from corpusloom.sources import readers, writers
@@ -440,9 +440,20 @@ def mock_embed_384(spark, d):
     return docs(spark, d).select("doc_id", embed.zeros().alias("e")).select("doc_id", F.size("e").alias("size"), F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"))
 
 
-@query()
+@query(f"""
+with w as (select doc_id, ('0x' || substr(md5(unnest(regexp_extract_all(lower(coalesce(text, '')), '[{W}]+'))), 1, 8))::bigint as h from documents),
+c as (select doc_id, (h >> 1) % 384 as slot, sum(case when h & 1 = 1 then 1 else -1 end) as v from w group by 1, 2),
+n as (select doc_id, sqrt(sum(v * v)) as n from c group by 1),
+e as (select doc_id, list((case when n > 0 then coalesce(v, 0) / n else 0 end)::float order by slot) as embedding
+      from documents cross join (select unnest(range(384)) as slot) s left join c using (doc_id, slot) left join n using (doc_id) group by 1)
+select doc_id, embedding, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm from e""")
 def embed_hashing(spark, d):
-    return embed.embed(docs(spark, d).select("doc_id", "text"), "text").select("doc_id", "embedding", V.norm(F.col("embedding")).alias("norm"))
+    return embed.embed(docs(spark, d).select("doc_id", "text"), "text").select("doc_id", "embedding", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("select vec_id, (row_number() over (order by vec_id) - 1)::bigint as position, len(embedding) as size from embeddings")
+def vector_positions(spark, d):
+    return vector_store.with_positions(table(spark, d, "embeddings")).select("vec_id", "position", F.size("embedding").alias("size"))
 
 
 @query("select n, round(m, 4) as mean_bytes, round(m * n / 1048576, 6) as payload_mb, case when m * n / 1048576 < 30 then 'primary' else 'local' end as store from (select (select count(*) from documents) as n, (select avg(strlen('{\"doc_id\":' || doc_id || ',\"source\":\"' || source || '\",\"lang\":\"' || lang || '\"}')) from (select * from documents order by doc_id limit 5)) as m)")
@@ -698,7 +709,20 @@ def page_links(spark, d):
     return rows.select("page_id", H.absolute(F.col("h"), F.col("url")).alias("link")).distinct()
 
 
-@query()
+def s_html_text(tag: str) -> str:
+    """The strings of an element that does not nest, each stripped, on lines of their own; the entities that the pages have."""
+    parts = f"regexp_split_to_array(regexp_extract(html, '(?s)<{tag}>(.*?)</{tag}>', 1), '<[^>]*>')"
+    out = f"array_to_string(list_filter(list_transform({parts}, lambda s: {s_strip('s')}), lambda s: s <> ''), chr(10))"
+    for entity, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{letter}')"
+    return out
+
+
+def s_article(title: str, content: str) -> str:
+    return f"select page_id, title, content, length(content)::int as content_length from (select page_id, {title} as title, {content} as content from pages)"
+
+
+@query(s_article(s_html_text("title"), s_html_text("article")))
 def html_selectors(spark, d):
     from corpusloom.session import ship
 
@@ -892,7 +916,7 @@ def html_feed_posts(spark, d):
     return table(spark, d, "pages").select("page_id", F.inline(H.extract_feed(F.concat(post, F.lit('<div class="feed-shared-update-v2">empty</div>')))))
 
 
-@query()
+@query(s_article(s_html_text("h1"), f"substr({s_html_text('article')}, 1, 5000)"))
 def html_fallback(spark, d):
     from corpusloom.session import ship
 
@@ -930,12 +954,21 @@ def rag_result_struct(spark, d):
 
 @query()
 def rag_end_to_end(spark, d):
-    chunks = flows.ingest(docs(spark, d)).withColumn("vec_id", F.xxhash64("chunk_id"))
+    path = shared_path(spark, "chunks")
+    writers.overwrite(flows.ingest(docs(spark, d)).withColumn("vec_id", F.xxhash64("chunk_id")), path)
+    chunks = spark.read.parquet(path)
     questions = table(spark, d, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     return flows.ask(questions, chunks, 3).select("query_id", "context_documents", F.size("sources").alias("sources"))
 
 
-@query()
+S_EXTRACTS = s_explode(f"select doc_id, case when length(t) < 50 then []::varchar[] when length(t) <= 2000 then [t] else {s_pack(s_sentences('t'), 50, 2000)} end as o from (select doc_id, {s_prose('text')} as t from documents)")
+S_KEY = "doc_id || ':' || piece || ':' || p.instruction"
+
+
+@query(f"""
+select doc_id, piece, p.instruction as instruction, p.output as output, case when ('0x' || substr(md5('42' || {S_KEY}), 1, 8))::bigint < 429496729 then 'test' else 'train' end as split
+from (select doc_id, piece, unnest(case when {S_LONG} >= 2 then {S_PAIRS} else [{{'instruction': {s_lit(datasets.GENERIC)}, 'output': {s_summary('e')}}}] end) as p
+      from (select doc_id, chunk_index as piece, chunk as e from ({S_EXTRACTS})))""")
 def instruction_dataset(spark, d):
     return flows.instructions(docs(spark, d), "text", keep="doc_id").select("doc_id", "piece", "instruction", "output", "split")
 
@@ -1038,3 +1071,35 @@ def questions_round_trip(spark, d):
 def event_windows(spark, d):
     w = streams.windows(table(spark, d, "events"))
     return w.withColumns({"total": F.round("total", 4), "start": F.col("start").cast("timestamp_ntz")})
+
+
+# ---- predicates, times and strategies by name
+
+
+LEAST = (10, 20, 50, 100)
+
+
+@query(f"select n as least, doc_id from documents, (values {', '.join(f'({n})' for n in LEAST)}) v(n) where length({s_strip('text')}) > n")
+def length_thresholds(spark, d):
+    long_enough = F.array_compact(F.array(*(F.when(F.char_length(T.strip(F.col("text"))) > n, n) for n in LEAST)))
+    return docs(spark, d).select(F.explode(long_enough).alias("least"), "doc_id")
+
+
+@query("select doc_id, source from documents where source = (select min(source) from documents)")
+def platform_equality(spark, d):
+    rows = docs(spark, d)
+    return store.find_all(rows.select("doc_id", "source"), source=rows.agg(F.min("source")).first()[0])
+
+
+@query("select doc_id, strftime(timestamp '2024-05-06 07:08:09', '%Y-%m-%dT%H:%M:%S') as crawled_at from documents")
+def iso_timestamps(spark, d):
+    return docs(spark, d).select("doc_id", T.iso(F.lit("2024-05-06 07:08:09").cast("timestamp")).alias("crawled_at"))
+
+
+S_FIXED = s_explode(f"select doc_id, case when length(t) <= 500 then [t] else list_transform({s_fixed('t', 500, 50)}, lambda x: nullif(x, '')) end as o from (select doc_id, {s_prose('text')} as t from documents)")
+
+
+@query(f"select * from ({S_FIXED}) where chunk is not null")
+def strategies_by_name(spark, d):
+    rows = docs(spark, d).select("doc_id", strategies.find(strategies.CLEANERS, "prose")(F.col("text")).alias("t"))
+    return strategies.chunked(rows, "t", ["doc_id"], "fixed", size=500, overlap=50)

@@ -3,11 +3,12 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import html as H
 from corpusloom.functions import vectors as V
-from corpusloom.operators import cache, embed, store, vector_store
+from corpusloom.operators import cache, embed, store, strategies, vector_store
 from corpusloom.sources import readers, schemas, writers
 from corpusloom.streaming import flows as streams
 
@@ -193,3 +194,51 @@ def test_command_line(capsys):
 
     main(["list"])
     assert "clean_ing" in capsys.readouterr().out
+
+
+def test_command_line_flows(spark, data, tmp_path, capsys):
+    from corpusloom.__main__ import main
+
+    docs, chunks = f"{data}/documents.parquet", str(tmp_path / "chunks")
+    main(["ingest", docs, chunks, "--chunker", "fixed"])
+    n = spark.read.parquet(chunks).count()
+    main(["ingest", docs, chunks, "--chunker", "fixed"])  # all are there
+    assert n == spark.read.parquet(chunks).count() > 0
+    main(["ingest", docs, chunks, "--chunker", "fixed", "--no-cache"])
+    assert spark.read.parquet(chunks).count() == n
+    (tmp_path / "q.txt").write_text("What is it?\n\nWhere is that?\n")
+    main(["ask", chunks, str(tmp_path / "q.txt"), str(tmp_path / "answers"), "-k", "2"])
+    assert [r["context_documents"] for r in spark.read.json(str(tmp_path / "answers")).collect()] == [2, 2]
+    main(["ask", chunks, str(tmp_path / "one"), "--question", "What is it?"])
+    assert spark.read.json(str(tmp_path / "one")).count() == 1
+    main(["extract", f"{data}/pages.parquet", str(tmp_path / "pages")])
+    assert spark.read.parquet(str(tmp_path / "pages")).filter("content <> ''").count() > 0
+    main(["pairs", docs, str(tmp_path / "pairs"), "--format", "alpaca"])
+    assert set(spark.read.json(str(tmp_path / "pairs")).columns) == {"instruction", "input", "output"}
+    rows = [("a", "https://x", "github", "2020-01-01 00:00:00", 5), ("b", "https://y", "article", "2020-01-01 00:00:00", 6)]
+    table = spark.createDataFrame(rows, "cache_key string, url string, content_type string, cached_at string, bytes long")
+    table.withColumn("cached_at", F.to_timestamp("cached_at")).write.parquet(str(tmp_path / "cache"))
+    main(["cache", "clear", str(tmp_path / "cache"), "--type", "github", "--out", str(tmp_path / "left")])
+    assert [r["cache_key"] for r in spark.read.parquet(str(tmp_path / "left")).collect()] == ["b"]
+    main(["cache", "stats", str(tmp_path / "left")])
+    assert "https://y" in capsys.readouterr().out
+    for wrong in (["ask", chunks], ["cache", "clear", chunks]):
+        with pytest.raises(SystemExit):
+            main(wrong)
+
+
+def test_strategies_and_positions(spark):
+    df = spark.createDataFrame([(1, "One. Two."), (2, None)], "doc_id long, t string")
+    for name in (*strategies.COLUMN_CHUNKERS, *strategies.PYTHON_CHUNKERS):
+        assert {r["doc_id"] for r in strategies.chunked(df.fillna(""), "t", ["doc_id"], name).collect()} <= {1, 2}
+    with pytest.raises(ValueError):
+        strategies.find(strategies.CLEANERS, "no such")
+    with pytest.raises(ValueError):
+        strategies.register(strategies.COLUMN_CHUNKERS, "recursive", strategies.COLUMN_CHUNKERS["fixed"])
+    made = dict(strategies.CLEANERS)
+    strategies.register(made, "upper", F.upper)
+    assert strategies.find(made, "upper") is F.upper
+    rows = vector_store.with_positions(spark.createDataFrame([(i * 7 % 50, [1.0]) for i in range(50)], "vec_id long, embedding array<float>"))
+    assert all(r["vec_id"] == r["position"] for r in rows.collect())
+    assert {r["vec_id"] for r in vector_store.at_positions(rows, [0, 49, 50, -1]).collect()} == {0, 49}
+    assert vector_store.with_positions(rows.drop("position").limit(0)).count() == 0
