@@ -107,6 +107,45 @@ def test_recursive_bounds(text, size, overlap):
     assert len(re.sub(r"\s", "", "".join(pieces))) >= len(re.sub(r"\s", "", text))
 
 
+def py_recursive(t, size, overlap, separators):
+    if len(t) <= size or not t.strip():
+        return [t.strip()] if t.strip() else []
+    k = min(i for i, x in enumerate(separators) if x in t)
+    cut = separators[k]
+    parts = re.findall(rf"(?s).*?{re.escape(cut)}|.+", t) if cut else list(t)
+    wide = [bool(cut) and len(p) > size for p in parts]
+    out, i = [], 0
+    while i < len(parts):
+        if wide[i]:
+            out += py_recursive(parts[i], size, overlap, separators[k + 1 :] or ("",))
+            i += 1
+            continue
+        j = max(j for j in range(i + 1, len(parts) + 1) if not any(wide[i:j]) and sum(map(len, parts[i:j])) <= size)
+        out.append("".join(parts[i:j]).strip())
+        if j == len(parts):
+            break
+        i = j if wide[j] else min(m for m in range(i + 1, j + 1) if sum(map(len, parts[m:j])) <= overlap and sum(map(len, parts[m : j + 1])) <= size)
+    return [x for x in out if x]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab .\n", max_size=300), st.integers(5, 60), st.integers(0, 20))
+def test_recursive_by_indices(text, size, overlap):
+    overlap = min(overlap, size - 1)
+    assert chunk.recursive(text, size, overlap) == py_recursive(text, size, overlap, chunk.SEPARATORS)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab.,é \n", max_size=200), st.integers(2, 20), st.integers(0, 10))
+def test_token_windows_and_two_stage(text, size, overlap):
+    overlap = min(overlap, size - 1)
+    spans = [m.span() for m in re.finditer(r"\w+|[^\w\s]", text)]
+    starts = [a for a in range(0, max(1, len(spans)), size - overlap) if a == 0 or a + overlap < len(spans)] if spans else []
+    want = [text[spans[a][0] : spans[min(a + size, len(spans)) - 1][1]] for a in starts]
+    assert chunk.token_windows(text, size, overlap) == want
+    assert chunk.two_stage(text, 30, size, overlap) == [w for p in py_recursive(text, 30, 0, chunk.SEPARATORS) for w in chunk.token_windows(p, size, overlap)]
+
+
 def test_python_chunks_isolate_errors(spark):
     df = spark.createDataFrame([(1, "abc def"), (2, None), (3, "")], "doc_id long, t string")
     got = {(r["doc_id"], r["chunk"]) for r in chunk.python_chunks(df, "t", ["doc_id"]).collect()}
