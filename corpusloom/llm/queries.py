@@ -85,6 +85,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_license_scan": op2_license_scan,
@@ -96,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 
@@ -159,5 +167,21 @@ with d as (
   from d window w as (partition by text_sha256 order by n desc, doc_id)
 )
 select doc_id, keep_id, group_size::bigint as group_size, place = 1 as kept, text_sha256 from r
+""",
+    "op13_hard_negatives": """
+with v as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), s as (
+  select a.r as a, a.vec_id as anchor_id, a.label = b.label as same, b.r, b.vec_id, coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0)::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.r <> b.r
+), p as (
+  select a, anchor_id, vec_id as positive_id, r, score as positive_score from s where same qualify row_number() over (partition by a order by score desc, vec_id) <= 5
+), n as (
+  select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.a, p.r order by s.score desc, s.vec_id) as rank
+  from p join s using (a) where not s.same and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
+)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5
 """,
 }
