@@ -104,6 +104,10 @@ class CachedBPE:
         self.at, self.n = np.zeros(n, np.int32), np.zeros(n, np.uint8)  # a short piece has PIECE_BYTES ids at most
         self.pool, self.used, self.filled = np.zeros(1 << 16, np.uint32), 0, 0
 
+    @staticmethod
+    def cut(b: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return cut(b, first)
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -134,7 +138,7 @@ class CachedBPE:
         b = np.frombuffer(joined, np.uint8)
         length = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
         first = np.cumsum(length) - length
-        start = cut(b, first)
+        start = self.cut(b, first)
         end = np.append(start[1:], b.size)
         piece = np.searchsorted(start, first)  # the first piece of each text
         end[np.append(piece[1:], start.size) - 1] -= 1  # without the zero byte
