@@ -91,6 +91,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.digests(common.table(spark, sf_dir, "documents"), tokenizer(), tokenizer("piece_bpe_32k.model"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import jaccard_join
+
+    return jaccard_join.similar_groups(common.table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import hard_negatives
 
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_token_alignment": op11_token_alignment,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_hard_negatives": op13_hard_negatives,
 }
 

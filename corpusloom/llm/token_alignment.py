@@ -228,7 +228,7 @@ class _Docs:
         self.n_groups[doc] += pairs.size
 
 
-def _align(a: Side, b: Side, own: Aligner, texts: list[str], keep: bool) -> tuple[np.ndarray, np.ndarray, _Docs]:
+def _align(a: Side, b: Side, own: Aligner, texts: list[str], keep: bool, tokens: int = SLICE) -> tuple[np.ndarray, np.ndarray, _Docs]:
     spaced = [" " + x if x else "" for x in texts]
     ids_a, ids_b = a.ids(spaced), b.ids(spaced)
     good = [bool(x) and a.spells(ids_a[k], raw := x.encode()) and b.spells(ids_b[k], raw) for k, x in enumerate(spaced)]
@@ -244,7 +244,7 @@ def _align(a: Side, b: Side, own: Aligner, texts: list[str], keep: bool) -> tupl
     doc_end = ea[np.cumsum(n_a[some]) - 1]  # each text's end on the line
     at = bt = 0
     while at < ia.size:
-        size = SLICE
+        size = tokens
         while True:
             z = min(ia.size, at + size)
             y = int(np.searchsorted(eb, ea[z - 1], "right"))
@@ -264,7 +264,7 @@ def _align(a: Side, b: Side, own: Aligner, texts: list[str], keep: bool) -> tupl
     return n_a, n_b, out
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False, tokens: int = SLICE) -> DataFrame:
     """Rows of two kinds: texts (pair is null) with their groups and links, and partial counts of pairs (pair, n).
 
     links holds a text's links in order, eight bytes each, little-endian: A's
@@ -283,7 +283,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
         for batch in batches:
             texts = common.texts(batch.column("text"))
-            n_a, n_b, found = _align(a, b, own, texts, keep_groups)
+            n_a, n_b, found = _align(a, b, own, texts, keep_groups, tokens)
             yield _rows(
                 len(texts), row=pa.array(range(row, row + len(texts)), pa.int64()), doc_id=batch.column("doc_id"), n_a=pa.array(n_a), n_b=pa.array(n_b), n_groups=pa.array(found.n_groups), n_links=pa.array(found.n_groups),
                 groups_sha256=pa.array([x.hexdigest() if x else "" for x in found.sha]), links=pa.array([np.concatenate(x).tobytes() if x else b"" for x in found.links], pa.binary()),
@@ -312,10 +312,10 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return counts.withColumn("b", b).join(F.broadcast(most), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def digests(docs: DataFrame, path_a: str, path_b: str, top: int = TOP) -> DataFrame:
+def digests(docs: DataFrame, path_a: str, path_b: str, top: int = TOP, tokens: int = SLICE) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one row a text."""
     spark = docs.sparkSession
-    aligned = common.written(align(docs, path_a, path_b), "aligned", compression="zstd")
+    aligned = common.written(align(docs, path_a, path_b, tokens=tokens), "aligned", compression="zstd")
     counts = common.written(pair_counts(aligned), "pair-counts")
     table = counts.orderBy(F.desc("n"), "pair").limit(top).toArrow()
     order = np.argsort(table.column("pair").to_numpy())

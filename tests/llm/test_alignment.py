@@ -92,11 +92,10 @@ def test_whole_table(spark, data, models):
 
 
 @pytest.mark.parametrize("top, size", [(1 << 19, 1 << 18), (40, 7), (0, 64)])
-def test_odd_texts_rare_pairs_and_small_slices(spark, models, monkeypatch, top, size):
-    monkeypatch.setattr(ta, "SLICE", size)
+def test_odd_texts_rare_pairs_and_small_slices(spark, models, top, size):
     rows = odd_rows()
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, pair int, row int").repartition(3)
-    assert result(ta.digests(df, q.tokenizer(), q.tokenizer("piece_bpe_32k.model"), top)) == brute(models, rows)
+    assert result(ta.digests(df, q.tokenizer(), q.tokenizer("piece_bpe_32k.model"), top, size)) == brute(models, rows)
 
 
 def test_empty_table(spark):
