@@ -111,17 +111,18 @@ class _Sets:
     def __init__(self, seed: int, shingle: int, bits: int, twice: frozenset[int]):
         self.seed, self.shingle, self.bits, self.twice, self.seen = seed, shingle, bits, twice, set()
 
-    def new(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for text in common.raw_texts(batch.column("text")):
+    def new(self, batch: pa.RecordBatch, takes: Callable[[int, int | None], bool] = lambda s, i: True) -> Iterator[tuple[int, np.ndarray, int | None]]:
+        """The name, tokens and row id of each set that is taken and was not seen before."""
+        for text, i in zip(common.raw_texts(batch.column("text")), batch.column("id").to_pylist()):
             tokens = shingle_set(text, self.seed, self.shingle)
             if tokens.size:
                 hi, lo = digest(tokens, self.seed, self.bits)
                 sid = lo if hi in self.twice else hi
-                if sid not in self.seen:
+                if sid not in self.seen and takes(sid, i):
                     if len(self.seen) >= SEEN:
                         self.seen.clear()
                     self.seen.add(sid)
-                    yield sid, tokens
+                    yield sid, tokens, i
 
 
 def _merged(parts: DataFrame, op: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -180,7 +181,7 @@ def _entries(docs: DataFrame, seed: int, shingle: int, bits: int, threshold: int
         own = _Sets(seed, shingle, bits, twice)
         for batch in batches:
             token, sid, place = [], [], []
-            for s, tokens in own.new(batch):
+            for s, tokens, _ in own.new(batch):
                 count = cells[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 p = prefix(tokens.size, threshold)
                 first = np.lexsort((tokens, count))[:p]
@@ -192,7 +193,7 @@ def _entries(docs: DataFrame, seed: int, shingle: int, bits: int, threshold: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, sid, place)], ["token", "sid", "place"])
         common.release()
 
-    return docs.select("text").mapInArrow(run, "token long, sid long, place long")
+    return docs.mapInArrow(run, "token long, sid long, place long")
 
 
 def _lists(entries: DataFrame, spark: SparkSession) -> DataFrame:
@@ -230,38 +231,43 @@ def _may(n: Column, pos: Column, m: Column, at: Column, t: int) -> Column:
     return (100 + t) * F.least(n - pos, m - at) >= t * (n + m)
 
 
-def _wanted(lists: DataFrame) -> np.ndarray:
-    """A filter of fixed size that holds the sets of lists; others pass it by chance."""
+def _wanted(named: DataFrame) -> np.ndarray:
+    """A filter of fixed size that holds rows (sid, least): sets and the row that stands for each; others pass it by chance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for at, bit in _bits(batch.column("sid").to_numpy()):
+            for at, bit in _bits(batch.column("sid").to_numpy(), batch.column("least").to_numpy(zero_copy_only=False)):
                 np.bitwise_or.at(cells, at, bit)
         part, some = _parts(cells)
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(some, pa.binary())], ["part", "cells"])
 
-    return _merged(lists.select("sid").mapInArrow(run, "part int, cells binary"), np.bitwise_or)
+    return _merged(named.select("sid", F.coalesce("least", F.lit(0)).alias("least")).mapInArrow(run, "part int, cells binary"), np.bitwise_or)
 
 
-def _bits(sid: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    x = common.mix(np.ascontiguousarray(sid).view(np.uint64))
+def _bits(sid: np.ndarray, row: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    x = common.mix(common.mix(sid.astype(np.int64).view(np.uint64)) ^ row.astype(np.int64).view(np.uint64))
     cut = [(x >> np.uint64(s)) & np.uint64((1 << (SKETCH_BITS + 5)) - 1) for s in (0, 32)]
     return [((c >> np.uint64(5)).astype(np.int64), np.uint32(1) << (c & np.uint64(31)).astype(np.uint32)) for c in cut]
 
 
-def _members(docs: DataFrame, seed: int, shingle: int, bits: int, sent) -> DataFrame:
-    """(sid, tokens): the whole sets that the filter lets pass, each once."""
+def _members(docs: DataFrame, sets: DataFrame, wanted: DataFrame, seed: int, shingle: int, bits: int, twice: frozenset[int]) -> DataFrame:
+    """(sid, tokens): the whole sets of wanted (sid), written, each once; a few others may be among them."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((_wanted(sets.join(wanted, "sid", "left_semi")), twice))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, twice = sent.value
         own = _Sets(seed, shingle, bits, twice)
         for batch in batches:
-            got = [(s, x) for s, x in own.new(batch) if all((cells[at] & bit).all() for at, bit in _bits(np.array([s])))]
+            got = [(s, x) for s, x, i in own.new(batch, lambda s, i: all((cells[at] & bit).all() for at, bit in _bits(np.array([s]), np.array([i or 0]))))]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int64()), pa.array([x.tobytes() for _, x in got], pa.binary())], ["sid", "tokens"])
         common.release()
 
-    return docs.select("text").mapInArrow(run, "sid long, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    found = common.written(docs.mapInArrow(run, "sid long, tokens binary"), "shingle-members")
+    if found.count() > found.select("sid").distinct().count():  # rows that repeat an id and a text
+        found = common.written(found.groupBy("sid").agg(F.first("tokens").alias("tokens")), "shingle-members")
+    return found
 
 
 @F.arrow_udf(LongType())
@@ -279,6 +285,9 @@ def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(x, s, d, link): the symmetric difference of each pair's whole sets, and whether it passes."""
+    some = pairs.select(F.col("x").alias("sid")).unionAll(pairs.select(F.col("s").alias("sid"))).distinct()
+    if 16 * some.count() <= common.BROADCAST_BYTES:
+        sets = sets.join(F.broadcast(some), "sid", "left_semi")
     left, right = sets.select(F.col("sid").alias("x"), F.col("tokens").alias("a")), sets.select(F.col("sid").alias("s"), F.col("tokens").alias("b"))
     both = pairs.join(left, "x").join(right, "s")
     total = (F.octet_length("a") + F.octet_length("b")).cast("long") / F.lit(8)
@@ -383,11 +392,16 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     near = lists.select("token", "sid", "n", "pos", F.explode(F.array("cls", F.col("cls") + 1)).alias("cls")).join(leaders, ["token", "cls"])
     stars = near.filter((F.col("sid") != F.col("lead.sid")) & _may(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), threshold))
     stars = stars.select(F.col("sid").alias("x"), F.col("lead.sid").alias("s")).distinct()
-    want = spark.sparkContext.broadcast((_wanted(lists), frozenset(twice)))
-    members = common.written(_members(texts, seed, shingle, bits, want), "shingle-members")
+    stars = common.written(stars, "leader-pairs")
+    twice = frozenset(twice)
+    both = lambda p: p.select(F.col("x").alias("sid")).unionAll(p.select(F.col("s").alias("sid"))).distinct()
+    members = _members(texts, sets, both(stars), seed, shingle, bits, twice)
     answers = common.written(_verified(stars, members, threshold), "answers")
     first = answers.filter("link").select(F.col("x").alias("u"), F.col("s").alias("v"))
-    rest = _remaining(lists, leaders, answers, components(first), threshold, chunk)
+    rest = common.written(_remaining(lists, leaders, answers, components(first), threshold, chunk), "remaining-pairs")
+    more = both(rest).join(members.select("sid"), "sid", "left_anti")
+    if not more.isEmpty():  # sets that met no leader
+        members = members.unionByName(_members(texts, sets, more, seed, shingle, bits, twice).join(members.select("sid"), "sid", "left_anti"))
     more = common.written(_verified(rest, members, threshold), "more-answers").filter("link").select(F.col("x").alias("u"), F.col("s").alias("v"))
     return rows, sets, first.unionByName(more)
 
