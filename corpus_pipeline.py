@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go; learns from the rows' own lang."""
+    """Documents that the model refuses go: no letter, claimed by no language, or surely of another language than they state; learns from the rows' own lang."""
     return langid.keep_known(docs, langid.fit(docs))
 
 

@@ -71,17 +71,16 @@ def _clean() -> None:
             drop_written(spark, path)
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts the lineage at a copy in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes a table in the shared folder, which cuts the lineage, and reads it back."""
+    return kept(df, name, **options)[0]
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes a table in the shared folder and reads it back."""
+def kept(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """The same with its path, for drop_written."""
     path = scratch(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def drop_written(spark: SparkSession, path: str) -> None:

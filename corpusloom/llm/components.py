@@ -3,7 +3,8 @@
 Alternating large-star and small-star steps (Kiveris et al., 2014).  A step
 takes the smallest neighbour of each node, which aggregates before the
 shuffle, and joins it back to the edges, where adaptive execution may split a
-hub's partition.  Each round is cut by a checkpoint in the shared folder.
+hub's partition.  Each round is a table in the shared folder, and the one
+before it goes.
 """
 
 from __future__ import annotations
@@ -34,12 +35,15 @@ def _digest(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root) for every node of an edge (u, v); root is the smallest node reachable."""
-    now = common.checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
+    spark = edges.sparkSession
+    now, path = common.kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges")
     seen = _digest(now)
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = common.checkpoint(_star(_star(now, True), False))
+        done = path
+        now, path = common.kept(_star(_star(now, True), False), "edges")
+        common.drop_written(spark, done)
         before, seen = seen, _digest(now)
         if seen == before:
             break

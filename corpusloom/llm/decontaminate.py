@@ -229,16 +229,29 @@ def _judge(items: Broadcast, window: int, last: bool):
 def _judged(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
     """The boxed rows and `found`, a struct of _FOUND; texts go to Python, and nothing else of a row."""
     spark = common.prepare(docs.sparkSession)
-    rows = common.boxed(docs).withColumn("state", F.lit(None).cast(f"struct<{_STATE}>"))
+    rows = common.boxed(docs)
     text = common.field("text").cast("binary")
+    none = F.lit(None).cast(f"struct<{_STATE}>")
     n = count_blocks(benchmark, block_bytes)
+    if n == 1:
+        items = spark.sparkContext.broadcast(block(benchmark, 0, 1))
+        return rows.select(common.ROW, _judge(items, window, True)(text, none).alias("found"))
+    # of each block only what it finds is kept, by the text's digest; the texts are read again for the next
+    key = F.unhex(F.sha2(F.coalesce(text, F.lit(b"")), 256)).alias("key")
+    path = common.scratch(spark, "benchmark-hits")
     for b in range(n):
         items = spark.sparkContext.broadcast(block(benchmark, b, n))
-        if b == n - 1:
-            return rows.select(common.ROW, _judge(items, window, True)(text, F.col("state")).alias("found"))
-        rows = common.checkpoint(rows.select(common.ROW, _judge(items, window, False)(text, F.col("state")).alias("state")))
+        found = rows.select(key, _judge(items, window, False)(text, none).alias("state")).filter(F.size("state.items") > 0)
+        found.select("key", F.lit(b).alias("block"), "state").dropDuplicates(["key", "block"]).write.mode("append").parquet(path)
         items.destroy()
-    raise AssertionError("there is at least one block")
+    met = spark.read.schema(f"key binary, block int, state struct<{_STATE}>").parquet(path)
+    # n entries a text at most
+    met = met.groupBy("key").agg(F.flatten(F.collect_list("state.hit")).alias("hit"), F.array_distinct(F.flatten(F.collect_list("state.items"))).alias("items"))
+    met = common.written(met.select("key", F.struct("hit", "items").alias("state")), "benchmark-states")
+    size = met.agg(F.sum(32 + 8 * F.size("state.hit") + F.aggregate("state.items", F.lit(0), lambda n, x: n + 24 + F.octet_length(x)))).first()[0] or 0
+    joined = rows.withColumn("key", key).join(F.broadcast(met) if size <= common.BROADCAST_BYTES else met.hint("merge"), "key", "left")
+    nothing = spark.sparkContext.broadcast([])
+    return joined.select(common.ROW, _judge(nothing, window, True)(text, F.col("state")).alias("found"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

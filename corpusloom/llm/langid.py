@@ -42,6 +42,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common
 
 UNKNOWN = "und"
+#: keep_known: texts of so many letters are refused if their claim is below LEAST; another language than stated is believed from SURE on.
+JUDGED = 20
+LEAST = 0.1
+SURE = 0.8
 NGRAMS = (1, 2, 3)
 MAX_TRAIN = 1600
 MAX_CHARS = 20_000
@@ -211,19 +215,24 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Languages and scores; a score is the sigmoid of the best margin."""
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """The same, and how far the text's own grams lift the best language above what it has without any."""
+        langs, scores, claims = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not self.languages:
-            return langs, scores
+            return langs, scores, claims
         if "tables" not in self.__dict__:
             self.tables = _Tables(self.index, self.sizes)
         for a in range(0, len(texts), 256):
             some = [(i, u) for i, t in enumerate(texts[a : a + 256], a) if (u := self.known(t)) is not None]
             if not some:
                 continue
-            f = (self.presence([u for _, u in some]) @ self.landmarks) @ self.weights + self.middle
-            for (i, _), k, m in zip(some, f.argmax(axis=1).tolist(), f.max(axis=1).tolist()):
-                langs[i], scores[i] = self.languages[k], 1.0 / (1.0 + float(np.exp(-3.0 * m)))
-        return langs, scores
+            own = (self.presence([u for _, u in some]) @ self.landmarks) @ self.weights
+            f = own + self.middle
+            for (i, _), k, m, c in zip(some, f.argmax(axis=1).tolist(), f.max(axis=1).tolist(), own.max(axis=1).tolist()):
+                langs[i], scores[i], claims[i] = self.languages[k], 1.0 / (1.0 + float(np.exp(-3.0 * m))), c
+        return langs, scores, claims
 
 
 def fit(docs: DataFrame, usable: Column | None = None, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS, id_col: str = "doc_id", **options) -> Model:
@@ -246,14 +255,14 @@ def fit(docs: DataFrame, usable: Column | None = None, max_train: int = MAX_TRAI
 
 
 def predicted(spark: SparkSession, model: Model):
-    """A column function of texts: struct of lang_pred and score.  Nothing else of a row goes to Python."""
+    """A column function of texts: struct of lang_pred, score and claim.  Nothing else of a row goes to Python."""
     shared = common.prepare(spark).sparkContext.broadcast(model)  # bounded by n_grams times n_landmarks
 
-    @F.arrow_udf("lang_pred string, score double")
+    @F.arrow_udf("lang_pred string, score double, claim double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            langs, scores = shared.value.predict(batch.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+            langs, scores, claims = shared.value.judge(batch.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(claims, pa.float64())], ["lang_pred", "score", "claim"])
         common.release()
 
     return run.asNondeterministic()  # so that it runs once, however often its fields are used
@@ -265,12 +274,25 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return common.boxed(docs).withColumn("__p", run(common.field("text"))).select(*common.fields(keep), "__p.lang_pred", "__p.score")
 
 
-def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, lang_col: str = "lang", wanted: tuple[str, ...] | None = None, least: float = LEAST, sure: float = SURE, letters: int = JUDGED) -> DataFrame:
     """The rows whose language is recognised, with their columns.
 
-    Where nothing was learned, rows with a letter stay, though predict() calls them `und`.
+    A row goes if its text has no letter; if it has at least `letters` letters
+    and no language claims it (the best claim is below `least`); if it states
+    a language that was learned and the model is sure of another (score at
+    least `sure`); or if its language is none of `wanted`.  Shorter texts say
+    too little to be refused for their score.  Where nothing was learned, rows
+    with a letter stay, though predict() calls them `und`.
     """
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     run = predicted(docs.sparkSession, model)
-    return common.unboxed(common.boxed(docs).filter(run(common.field("text"))["lang_pred"] != UNKNOWN))
+    rows = common.boxed(docs).withColumn("__p", run(common.field("text")))
+    lang, score = F.col("__p.lang_pred"), F.col("__p.score")
+    own = common.field(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
+    foreign = (F.col("__p.claim") < least) & (F.char_length(F.regexp_replace(common.field("text"), r"[^\p{L}]", "")) >= letters)
+    other = F.coalesce(own.isin(model.languages) & (own != lang), F.lit(False)) & (score >= sure)
+    stay = (lang != UNKNOWN) & ~foreign & ~other
+    if wanted is not None:
+        stay = stay & lang.isin(list(wanted))
+    return common.unboxed(rows.filter(stay).select(common.ROW))

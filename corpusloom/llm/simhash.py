@@ -11,8 +11,10 @@ the radius at any pivot is no link, and only pairs that pass are compared bit
 by bit.  Pivots over all 64 bits cannot say alone where to look (README has
 figures), so pairs to be tested are those that agree in two of six bit
 blocks: of six blocks at most `radius` = 4 can hold a differing bit, so every
-link agrees in two.  A
-bucket is one choice of two blocks and their bits.  Large buckets are cut
+link agrees in two.  The more fingerprints, the more blocks: three of seven,
+and so on up to six of ten, chosen by their measured number so that a bucket
+stays small.  A
+bucket is one choice of such blocks and their bits.  Large buckets are cut
 into chunks by a hash, and each pair of chunks is a task of bounded size, so
 a bucket that holds a large share of all rows is spread too.
 
@@ -27,6 +29,7 @@ gives one row; an empty table gives none.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -41,7 +44,8 @@ from corpusloom.llm.components import components
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-N_BLOCKS = 6
+#: Fingerprints that one is tested against by chance, on average, at most; more blocks are taken as fingerprints grow in number.
+PAIRS = 2.0
 N_PIVOTS = 16
 CHUNK = 4096
 
@@ -84,7 +88,7 @@ def fingerprinted(spark: SparkSession, shingle: int = SHINGLE, seed: int = SEED)
     return run
 
 
-def blocks(n: int = N_BLOCKS) -> list[int]:
+def blocks(n: int) -> list[int]:
     """Masks that cut 64 bits into n blocks."""
     edges = [64 * k // n for k in range(n + 1)]
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
@@ -155,8 +159,18 @@ def _links(key: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int) -> t
     return np.concatenate([none, *us]), np.concatenate([none, *vs])
 
 
-def link(distinct: DataFrame, radius: int = RADIUS, n_blocks: int = N_BLOCKS, chunk: int = CHUNK) -> DataFrame:
+def block_count(n: int, radius: int = RADIUS, most: float = PAIRS) -> int:
+    """The fewest blocks with which n random fingerprints are tested against at most `most` others each; six beyond the radius at most."""
+    for agree in range(2, 6):
+        blocks = radius + agree
+        if n * math.comb(blocks, agree) <= most * 2.0 ** (64 * agree // blocks):
+            return blocks
+    return radius + 6
+
+
+def link(distinct: DataFrame, radius: int = RADIUS, n_blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(u, v): edges that connect distinct fingerprints as their links within radius do; distinct has fp and its pivot_table as `table`."""
+    n_blocks = n_blocks or block_count(distinct.count(), radius)
     agree = n_blocks - radius
     if agree < 1:
         raise ValueError("n_blocks must exceed radius")

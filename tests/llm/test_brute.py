@@ -302,3 +302,76 @@ def test_awkward_rows(spark):
     bench = spark.createDataFrame([("x", "no such words here")], "item_id string, text string")
     clean = decontaminate.clean(df, bench)
     assert clean.columns == df.columns and clean.count() == len(ROWS)
+
+
+# ---- language filter
+
+
+def test_language_filter_follows_the_model(spark, data):
+    """Foreign and mislabelled texts go, short and unlabelled ones stay, and a wrong model changes the result."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    base = docs.filter("lang is not null and length(text) between 200 and 5000").orderBy("doc_id").limit(40).collect()
+    wrong = {"en": "de", "de": "fr", "fr": "es", "es": "en"}
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in base]
+    rows += [(10_000 + r["doc_id"], r["text"], wrong[r["lang"]]) for r in base] + [(20_000 + r["doc_id"], r["text"], None) for r in base]
+    rows += [(90001, "12 34 --", "en"), (90002, None, "en"), (90003, "", None), (90004, "Да", None), (90005, "Это совсем другой язык, которого здесь никто не знает и не учил.", None), (90006, "Re.", "en"), (90007, base[0]["text"], "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.keep_known(df, model).collect()}
+    langs, scores, claims = model.judge([t for _, t, _ in rows])
+    for (i, t, lang), found, score, claim in zip(rows, langs, scores, claims):
+        n = sum(c.isalpha() for c in t or "")
+        stay = n > 0 and not (n >= 20 and claim < 0.1) and not (lang in model.languages and lang != found and score >= 0.8)
+        assert (i in kept) == stay, (i, lang, found, score)
+    assert {90004, 90006, 90007} <= kept and not {90001, 90002, 90003, 90005} & kept
+    assert sum(r["doc_id"] in kept for r in base) >= 39 and sum(10_000 + r["doc_id"] in kept for r in base) <= 10 and sum(20_000 + r["doc_id"] in kept for r in base) == 40
+    swapped = langid.fit(docs.withColumn("lang", F.create_map(*(F.lit(x) for p in wrong.items() for x in p))[F.col("lang")]))
+    assert {r["doc_id"] for r in langid.keep_known(df, swapped).collect()} != kept
+    assert {r["doc_id"] for r in langid.keep_known(df, model, wanted=("de",)).collect()} < kept
+
+
+# ---- simhash blocks
+
+
+def test_blocks_grow_with_the_fingerprints(spark):
+    assert [simhash.block_count(n) for n in (0, 50_000, 500_000, 10**7, 10**10, 10**15)] == [6, 6, 7, 8, 10, 10]
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    fps = sorted({f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for f in base for _ in range(4)})
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").withColumn("table", simhash.pivot_table())
+
+    def roots(edges):
+        up = {f: f for f in fps}
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for u, v in edges:
+            up[max(find(u), find(v))] = min(find(u), find(v))
+        return [find(f) for f in fps]
+
+    want = roots([(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if (a ^ b).bit_count() <= 4])
+    for n in (6, 7, 8, 10):
+        assert roots([(r["u"] % (1 << 64), r["v"] % (1 << 64)) for r in simhash.link(df, n_blocks=n).collect()]) == want
+
+
+def test_benchmark_blocks_leave_no_copies(spark, tmp_path_factory):
+    """Several blocks keep digests and hits only."""
+    import os
+
+    from corpusloom.llm import common
+
+    def shared():
+        root = common.shared_dir(spark).removeprefix("file://")
+        return sum(os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(root) for x in names)
+
+    words = [f"w{k}" for k in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(words[(i * 7 + k) % 400] for k in range(20)) + " " + f"x{i} " * 2000) for i in range(300)], "doc_id long, text string")
+    bench = spark.createDataFrame([(f"b{k}", " ".join(words[k * 20 : k * 20 + 15])) for k in range(20)], "item_id string, text string")
+    one = sorted(map(tuple, decontaminate.decontaminate(docs, bench).collect()))
+    before = shared()
+    assert sorted(map(tuple, decontaminate.decontaminate(docs, bench, block_bytes=500).collect())) == one
+    assert shared() - before < 300_000  # the texts have over a megabyte

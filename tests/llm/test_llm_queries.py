@@ -81,7 +81,15 @@ def test_pipeline(spark, data, table):
 
     import corpus_pipeline as p
 
-    kept = {i: t for i, t in table.items() if t and any(c.isalpha() for c in t)}
+    from corpusloom.llm import langid
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    stated, model = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}, langid.fit(docs)
+    kept = {}
+    for (i, t), lang, score, claim in zip(table.items(), *model.judge(list(table.values()))):
+        n = sum(c.isalpha() for c in t or "")
+        if n and not (n >= 20 and claim < 0.1) and not (stated[i] in model.languages and stated[i] != lang and score >= 0.8):
+            kept[i] = t
     groups = {}
     for i, t in kept.items():
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((-len(t), i))
