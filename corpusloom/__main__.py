@@ -7,7 +7,10 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom import queries
+from corpusloom import (
+    index_queries,  # noqa: F401  registers its queries
+    queries,
+)
 from corpusloom.functions import html, urls
 from corpusloom.operators import cache, strategies
 from corpusloom.plans import flows
