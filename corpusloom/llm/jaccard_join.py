@@ -285,11 +285,11 @@ def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(x, s, d, link): the symmetric difference of each pair's whole sets, and whether it passes."""
-    some = pairs.select(F.col("x").alias("sid")).unionAll(pairs.select(F.col("s").alias("sid"))).distinct()
-    if 16 * some.count() <= common.BROADCAST_BYTES:
-        sets = sets.join(F.broadcast(some), "sid", "left_semi")
-    left, right = sets.select(F.col("sid").alias("x"), F.col("tokens").alias("a")), sets.select(F.col("sid").alias("s"), F.col("tokens").alias("b"))
-    both = pairs.join(left, "x").join(right, "s")
+    sent = F.broadcast(pairs) if 32 * pairs.count() <= common.BROADCAST_BYTES else pairs
+    # each side goes to its pairs, and the sides meet by pair, so a leader of many pairs is no key
+    left = sets.select(F.col("sid").alias("x"), F.col("tokens").alias("a")).join(sent, "x")
+    right = sets.select(F.col("sid").alias("s"), F.col("tokens").alias("b")).join(sent, "s")
+    both = left.join(right, ["x", "s"])
     total = (F.octet_length("a") + F.octet_length("b")).cast("long") / F.lit(8)
     out = both.select("x", "s", total.cast("long").alias("total"), _overlap("a", "b").alias("o"))
     return out.select("x", "s", (F.col("total") - 2 * F.col("o")).alias("d"), (100 * F.col("o") >= threshold * (F.col("total") - F.col("o"))).alias("link"))
