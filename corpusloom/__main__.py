@@ -59,9 +59,15 @@ def _ingest(spark: SparkSession, a: argparse.Namespace) -> None:
     docs = spark.read.parquet(a.documents)
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(a.out)
     there = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm)
-    stored = spark.read.parquet(a.out) if there and not a.no_cache else None
-    chunks = flows.ingest_by(docs, cleaner=a.cleaner, chunker=a.chunker, stored=stored)
-    chunks.write.mode("overwrite" if stored is None else "append").parquet(a.out)
+    stored = spark.read.parquet(a.out) if there else None
+    chunks = flows.ingest_by(docs, cleaner=a.cleaner, chunker=a.chunker, stored=None if a.no_cache else stored)
+    if stored is None or not a.no_cache:
+        chunks.write.mode("append").parquet(a.out)
+        return
+    # the chunks of these documents are replaced, those of others stay
+    path = shared_path(spark, "ingested")
+    chunks.unionByName(stored.join(docs.select("doc_id").distinct(), "doc_id", "left_anti"), allowMissingColumns=True).write.parquet(path)
+    writers.overwrite(spark.read.parquet(path), a.out)
 
 
 def _ask(spark: SparkSession, a: argparse.Namespace) -> None:

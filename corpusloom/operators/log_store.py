@@ -140,6 +140,7 @@ class Log:
             if self._done(m, writer, batch):
                 return False  # another run of the batch was quicker; its files are this one's equals
             m.version += 1
+            m.key = self.key
             if used:
                 m.deltas.append([name, m.version, size, used])
                 m.schema = self._widened(m.schema, columns)

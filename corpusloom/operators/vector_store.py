@@ -56,7 +56,7 @@ def search_many(table: DataFrame, queries: DataFrame, k: int = 5, metric: str =
     n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     blocks = max(1, math.ceil(n * (width or 1) * 8 / (most_mb * (1 << 20))))
     schema = StructType([StructField(query_col, queries.schema[query_col].dataType), table.schema[id_col], StructField("score", DoubleType())])
-    out = None
+    path = shared_path(spark, "hits") if blocks > 1 else ""
     for b in range(blocks):
         some = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_col), F.lit(blocks)) == b)
         rows = [r for r in some.select(query_col, "embedding").collect() if r[1] is not None]
@@ -83,8 +83,12 @@ def search_many(table: DataFrame, queries: DataFrame, k: int = 5, metric: str =
                 yield pa.RecordBatch.from_arrays([pa.array([name] * v.size, target[0]), pa.array(w, target[1]), pa.array(v)], schema.names)
 
         target = [to_arrow_type(f.dataType) for f in schema.fields]
-        found = table.select(id_col, "embedding").mapInArrow(best, schema)
-        out = found if out is None else out.unionByName(found)
+        out = table.select(id_col, "embedding").mapInArrow(best, schema)
+        if blocks > 1:  # one block at a time is held
+            out.write.mode("append").parquet(path)
+            shared.destroy()
+    if blocks > 1:
+        out = spark.read.schema(schema).parquet(path)
     w = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -14,7 +14,7 @@ def ingest(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: in
 
 
 def ingest_by(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cleaner: str = "web", chunker: str = "recursive", embedder: str = "hashing", chunk_options: dict | None = None, dimension: int = embed.SIZE, stored: DataFrame | None = None) -> DataFrame:
-    """The same by strategies' names."""
+    """The same by strategies' names.  Texts that a chunker fails on have no chunks; ingest_errors has them."""
     cleaned = docs.select(doc_id, strategies.find(strategies.CLEANERS, cleaner)(F.col(text)).alias("clean"))
     chunks = chunk.with_ids(strategies.chunked(cleaned, "clean", [doc_id], chunker, **(chunk_options or {})), doc_id)
     if stored is not None:
@@ -22,6 +22,14 @@ def ingest_by(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", clean
     return embed.embed(chunks, "chunk", strategies.find(strategies.EMBEDDERS, embedder)(dimension), dimension)
 
 
+def ingest_errors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cleaner: str = "web", chunker: str = "recursive", chunk_options: dict | None = None) -> DataFrame:
+    """(doc_id, error): the texts that the chunker failed on."""
+    cleaned = docs.select(doc_id, strategies.find(strategies.CLEANERS, cleaner)(F.col(text)).alias("clean"))
+    if chunker not in strategies.PYTHON_CHUNKERS:  # columns do not fail
+        return cleaned.select(doc_id, F.lit(None).cast("string").alias("error")).limit(0)
+    return chunk.python_chunks(cleaned, "clean", [doc_id], chunker, **(chunk_options or {})).filter(F.col("error").isNotNull()).select(doc_id, "error")
+
+
 def features(names: DataFrame, users: DataFrame, articles: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     """Authors' articles, cleaned, split and embedded."""
     docs = clean.feature_documents(store.author_articles(names, users, articles))

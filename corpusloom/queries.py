@@ -25,6 +25,8 @@ ORACLES: dict[str, str] = {}
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is there already")
         QUERIES[f.__name__] = f
         if oracle:
             ORACLES[f.__name__] = oracle
@@ -416,12 +418,6 @@ def embedding_dimensions(spark, d):
     return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(n).alias("model"), F.lit(embed.dimension(n)).alias("size")) for n in names))))
 
 
-@query("select doc_id from documents where source = 'src1'")
-def platform_equality(spark, d):
-    """Rows of one platform, by the collection's own lookup."""
-    return store.find_all(articles(spark, d), platform="src1").select("doc_id")
-
-
 @query(f"with p as (select vec_id, {S_COS} as s from embeddings where label < 5 and {S_COS} >= 0.3 order by s desc, vec_id limit 10), f as (select vec_id, {S_COS} as s from embeddings where label >= 5 order by s desc, vec_id limit 10) select vec_id, round(s, 4) as score from (select * from p union all select vec_id, s from (select *, row_number() over (order by s desc, vec_id) as r from f) where r <= 10 - (select count(*) from p)) order by s desc, vec_id limit 10")
 def hybrid_merge(spark, d):
     e, q = embedded(spark, d), q0(spark, d)

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import os
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -32,17 +33,25 @@ def build(app: str = "corpusloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; it goes when the application ends.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, for checkpoints and written tables.
 
-    The folder is spark.checkpoint.dir; where that is unset, the warehouse of a
-    cluster, or a temporary folder if all runs in one process.
+    A cluster names it in spark.checkpoint.dir; only where that is unset and
+    everything runs in one process, as in tests, a temporary folder of this
+    machine is used.
     """
     conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-shared")
-    path = f"{(folder or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-shared")
+    return path
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _MADE.append((spark, path))
     return path
 
@@ -60,12 +69,14 @@ def ship(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         root = os.path.dirname(os.path.abspath(__file__))
-        target = os.path.join(tempfile.mkdtemp(), "corpusloom.zip")
+        folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        target = os.path.join(folder, "corpusloom.zip")
         with zipfile.ZipFile(target, "w") as z:
-            for folder, _, names in os.walk(root):
+            for at, _, names in os.walk(root):
                 for name in names:
                     if name.endswith(".py"):
-                        full = os.path.join(folder, name)
+                        full = os.path.join(at, name)
                         z.write(full, os.path.relpath(full, os.path.dirname(root)))
         sc.addPyFile(target)
         _SHIPPED.add(sc.applicationId)

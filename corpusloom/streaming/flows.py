@@ -34,26 +34,28 @@ def transform(stream: DataFrame, column: str, rule: Callable[[Column], Column])
     return stream.withColumn(column, rule(F.col(column)))
 
 
-def upsert_batches(stream: DataFrame, path: str, key: str, checkpoint: str, order: Column | None = None):
+def upsert_batches(stream: DataFrame, path: str, key: str, checkpoint: str, order: Column | None = None, name: str = "stream", compact_every: int = 20):
     """Each batch's last row for a key (by `order`, such as the event time) replaces the stored one; a batch that is run again changes nothing.
 
-    Every batch writes a new version of the table, path/v=<batch>; read the
-    newest by latest_version().
+    A batch adds its own rows to a log (operators.log_store), which is folded
+    every `compact_every` batches, and what is then of no use goes.  Read the
+    table by latest_version().
     """
-    from corpusloom.operators.store import last_of_each, upsert
+    from corpusloom.operators.log_store import Log
 
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        old = latest_version(spark, path, below=n)
-        (last_of_each(batch, key, order) if old is None else upsert(old, batch, key, order=order)).write.mode("overwrite").parquet(f"{path}/v={n}")
+        log = Log(batch.sparkSession, path, key)
+        if log.write(batch, order, name, n) and n % compact_every == compact_every - 1:
+            log.compact()
+            log.vacuum()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_version(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/v=*")
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
-    versions = [int(s.getPath().getName()[2:]) for s in found]
-    versions = [v for v in versions if below is None or v < below]
-    return spark.read.parquet(f"{path}/v={max(versions)}") if versions else None
+def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest rows of a log; None before the first batch."""
+    from corpusloom.operators.log_store import Log
+
+    log = Log(spark, path, "")
+    m = log.manifest()
+    return Log(spark, path, m.key).read() if m.schema else None
