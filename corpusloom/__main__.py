@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import (
     index_queries,  # noqa: F401  registers its queries
+    ingest_queries,  # noqa: F401  registers its queries
     queries,
 )
 from corpusloom.functions import html, urls

@@ -42,7 +42,9 @@ FEED_LINK = ["a[href*='/posts/']", "a[href*='/activity/']"]
 FEED_TIME = ["[data-test-id='post-timestamp']"]
 FEED_SITE = "https://www.linkedin.com"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_DROP = frozenset(("script", "style", "nav", "footer", "header"))
+#: Page furniture that is no content.
+FURNITURE = ("script", "style", "nav", "footer", "header")
+_DROP = frozenset(FURNITURE)
 _PART = re.compile(r"([a-zA-Z][\w-]*)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(\*?=)[\"']?([^\]\"']*)[\"']?\]")
 
 
@@ -168,6 +170,56 @@ def extract_article(html: pd.Series, platform: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([extract(h, p) for h, p in zip(html, platform)], columns=["title", "content", "content_length"])
 
 
+#: Where crawled articles have their parts, and what stands for a missing title.
+CRAWLED = {"medium": {"title": "h1.pw-post-title", "subtitle": "h2.pw-subtitle-paragraph"}, "linkedin": {"title": SELECTORS["linkedin"]["title"], "content": [*SELECTORS["linkedin"]["content"][:3], ".feed-shared-text"]}}
+UNTITLED = "LinkedIn Post"
+
+
+def sole_string(n: Node | None) -> str | None:
+    """The string of an element that has one child alone, itself a string or such an element."""
+    while n is not None and len(n.children) == 1:
+        if isinstance(n.children[0], str):
+            return n.children[0]
+        n = n.children[0]
+    return None
+
+
+_CRAWLED = StructType()
+for _name in ("Title", "Subtitle", "Content", "language"):
+    _CRAWLED = _CRAWLED.add(_name, "string")
+_CRAWLED = _CRAWLED.add("skipped", "boolean")
+
+
+def crawled(html: str | None, platform: str | None) -> dict | None:
+    """{Title, Subtitle, Content, language} as the crawler of a platform stores it; None for pages that it skips.
+
+    medium: the title and subtitle are sole strings, the content is all of the
+    page's text.  linkedin: by order of selectors the first element, if any,
+    its strings stripped and joined; a page with neither is skipped.
+    """
+    if platform not in CRAWLED:
+        return None
+    root, rules = parse(html, frozenset()), CRAWLED[platform]
+    if platform == "medium":
+        title, subtitle = (sole_string(next(select(root, rules[k]), None)) for k in ("title", "subtitle"))
+        return {"Title": title, "Subtitle": subtitle, "Content": "".join(root.strings()), "language": None}
+    joined = lambda selectors: "".join(t.strip() for t in n.strings()) if (n := first(root, selectors)) is not None else ""
+    title, content = joined(rules["title"]), joined(rules["content"])
+    return {"Title": title or UNTITLED, "Subtitle": "", "Content": content, "language": "en"} if title or content else None
+
+
+@F.pandas_udf(_CRAWLED)
+def extract_crawled(html: pd.Series, platform: pd.Series) -> pd.DataFrame:
+    rows = [crawled(h, p) for h, p in zip(html, platform)]
+    return pd.DataFrame([{**(r or dict.fromkeys(("Title", "Subtitle", "Content", "language"))), "skipped": r is None} for r in rows], columns=["Title", "Subtitle", "Content", "language", "skipped"])
+
+
+def basic(html: Column, url: Column, platform: Column) -> Column:
+    """What the fetcher without a browser stores: the generic parts, and how they were found."""
+    a = extract_article(html, F.lit(None).cast("string"))
+    return F.struct(url.alias("url"), platform.alias("platform"), F.lit("basic").alias("extraction_method"), a["title"].alias("title"), a["content"].alias("content"), a["content_length"].alias("content_length"))
+
+
 def feed_posts(html: str | None, containers: list[str] | None = None) -> list[dict]:
     """The posts in the containers of the first selector that has any; those with content or a link."""
     root, out = parse(html, frozenset()), []
@@ -207,7 +259,7 @@ def extract_fallback(html: pd.Series) -> pd.DataFrame:
 def regex_text(c: Column) -> Column:
     """The text of a page by regular expressions alone: scripts, styles and page furniture go, then tags and entities."""
     c = or_empty(c)
-    for tag in ("script", "style", "nav", "footer", "header"):
+    for tag in FURNITURE:
         c = F.regexp_replace(c, rf"(?is)<{tag}\b.*?</{tag}>", " ")
     return collapse(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", " "), "&[a-zA-Z]+;|&#[0-9]+;", " "))
 

@@ -107,3 +107,42 @@ def generic(raw: DataFrame, least: int = LEAST_RAW) -> DataFrame:
     c = F.col("content")
     text = F.coalesce(pick(c, "Content", "content"), F.array_join(F.map_values(c), " "))
     return raw.withColumn("text", text).filter(F.char_length(T.strip(F.col("text"))) >= least)
+
+
+def clean_documents(docs: DataFrame, kind: Column, content: str = "content", rule: Callable[[Column], Column] = T.clean_web, title: str = "title") -> DataFrame:
+    """Adds kind, cleaned (a map of strings), lists (a map of lists of strings), cleaned_title and error; content is JSON.
+
+    Articles and repositories have an object: the rule goes over its strings,
+    and over the strings in its lists; other values stay out of both maps.  An
+    article's title is cleaned too.  Of other kinds only a content that is a
+    string is cleaned, under the key `content`.  A row that cannot be read has
+    an error and empty maps, and the others go on.
+    """
+    c = F.col(content)
+    value = F.try_parse_json(c)
+    shape = F.coalesce(F.schema_of_variant(value), F.lit(""))
+    object_kind = kind.isin("article", "repository")
+    parsed = F.when(F.startswith(shape, F.lit("OBJECT")), F.from_json(c, "map<string,variant>"))
+    strings = F.transform_values(F.map_filter(parsed, lambda k, v: F.schema_of_variant(v) == "STRING"), lambda k, v: rule(F.try_variant_get(v, "$", "string")))
+    arrays = F.map_filter(parsed, lambda k, v: F.startswith(F.schema_of_variant(v), F.lit("ARRAY")))
+    lists = F.transform_values(arrays, lambda k, v: F.transform(F.try_variant_get(v, "$", "array<string>"), rule))
+    plain = F.when(~object_kind, F.when(shape == "STRING", F.create_map(F.lit("content"), rule(F.try_variant_get(value, "$", "string")))))
+    error = F.when(c.isNull(), "no content").when(object_kind & ~F.startswith(shape, F.lit("OBJECT")), F.when(value.isNull(), "content is no JSON").otherwise("content is no object"))
+    none = F.create_map().cast("map<string,string>")
+    own = F.when(object_kind, strings).otherwise(plain)
+    cleaned_title = F.when(kind == "article", rule(F.col(title))).otherwise(F.col(title)) if title in docs.columns else F.lit(None).cast("string")
+    return docs.withColumns({
+        "kind": kind, "cleaned": F.when(error.isNull(), F.coalesce(own, none)).otherwise(none), "lists": F.when(error.isNull() & object_kind, F.coalesce(lists, F.create_map().cast("map<string,array<string>>"))).otherwise(F.create_map().cast("map<string,array<string>>")),
+        "cleaned_title": cleaned_title, "error": error,
+    })
+
+
+#: The fields of an article that are joined, in order.
+ARTICLE_FIELDS = ("title", "content", "body", "text", "description")
+
+
+def article_fields(content: Column) -> Column:
+    """The fields' texts, a blank line behind each; all texts of the map where the fields have none."""
+    joined = lambda values: F.concat_ws("", F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.concat(v, F.lit("\n\n"))))
+    known = joined(F.array(*(F.try_element_at(content, F.lit(k)) for k in ARTICLE_FIELDS)))
+    return F.when(T.strip(known) != "", known).otherwise(joined(F.map_values(content)))

@@ -18,6 +18,11 @@ def collection_authors(docs: DataFrame, collection: str, author: str) -> DataFra
     return docs.groupBy(collection).agg(F.count(F.lit(1)).alias("documents"), F.sort_array(F.collect_set(author)).alias("authors"))
 
 
+def collection_author_rows(docs: DataFrame, collection: str = "collection", author: str = "author") -> DataFrame:
+    """The distinct authors of each collection, a row each, however many they are."""
+    return docs.select(F.col(collection).alias("collection"), F.col(author).alias("author")).filter("author is not null").distinct()
+
+
 def domain_success(crawls: DataFrame, domain: str, ok: str) -> DataFrame:
     return crawls.groupBy(domain).agg(F.sum(F.col(ok).cast("long")).alias("successful"), F.count(F.lit(1)).alias("total"))
 

@@ -86,3 +86,27 @@ def concat_sets(first: DataFrame, second: DataFrame, order: str, head: int = 10_
     """Training sets one after the other; of the second the first rows."""
     out = first.unionByName(second.orderBy(order).limit(head))
     return out if local is None else out.unionByName(local)
+
+
+def checked(items: DataFrame, schema: str, required: list[str], item: str = "item") -> DataFrame:
+    """(row, error): JSON items read one by one.
+
+    An item that is no object of this schema, or lacks a required field, has
+    an error that names it and does not stop the others.
+    """
+    row = F.from_json(item, f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = items.select(F.col(item), row.alias("row"))
+    missing = F.array_compact(F.array(*(F.when(F.col(f"row.{c}").isNull(), F.lit(c)) for c in required)))
+    error = F.when(F.col("row").isNull() | F.col("row._broken").isNotNull(), "not readable").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
+    names = [f.split()[0] for f in schema.split(", ")]
+    return rows.select(item, F.struct(*(F.col(f"row.{n}").alias(n) for n in names)).alias("row"), error.alias("error"))
+
+
+def ingest(existing: DataFrame, rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """The store with the good rows of `checked`, one by key."""
+    return upsert(existing, rows.filter("error is null").select("row.*"), key, order=order)
+
+
+def ingest_counts(kind: str, rows: DataFrame) -> DataFrame:
+    """(kind, ingested, failed)."""
+    return rows.agg(F.count_if(F.col("error").isNull()).alias("ingested"), F.count_if(F.col("error").isNotNull()).alias("failed")).select(F.lit(kind).alias("kind"), "ingested", "failed")
