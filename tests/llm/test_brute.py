@@ -60,10 +60,63 @@ def test_false_discoveries(spark):
     rows = [(i, f"see {noise()} here") for i in range(300)] + [(1000 + i, f"see {text()} here") for i in range(900)]
     out = secrets_scan.digests(spark.createDataFrame(rows, "doc_id long, text string")).filter("spans <> ''").collect()
     wrong = sum(r["doc_id"] >= 1000 for r in out)
-    assert len(out) - wrong >= 200 and wrong <= 0.1 * len(out)
+    assert len(out) - wrong >= 200 and wrong <= 0.05 * len(out)
     assert secrets_scan.digests(spark.createDataFrame(rows[300:], "doc_id long, text string")).filter("spans <> ''").count() <= 9
 
 
+WORDS = "report final draft version update river market price signal window packet server branch stable summer winter the and of to in is that for it with as was on be at by this have from or one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know get through back much before go good new write our used me man too any day same right look think also around another came come work three word must because does part even place well such here take why things help put years different away again off went old number great tell men say small every found still between name should home big give air line set own under read last never us left end along while might next sound below saw something thought both few those always looked show large often together asked house world going want school important until form food keep children feet land side without boy once animals life enough took sometimes four head above kind began almost live page got earth need far hand high year mother light parts country father let night following picture being study second eyes soon times story boys since white days ever paper hard near sentence better best across during today others however sure means knew it try told young miles sun ways thing whole hear example heard several change answer room sea against top turned learn point city play toward five using himself usually".split()
+
+
+def text_token(rng, a, n):
+    """A token of text in the alphabet of `a`, as _TEXT_ABOVE has them."""
+    word = lambda: rng.choice(WORDS)
+    numbered = lambda *more: word() + rng.choice(["", "", str(rng.randint(0, 99)), *more])
+    if a == 10:
+        dates = "".join(f"{rng.randint(2000, 2030)}{rng.randint(1, 12):02d}{rng.randint(1, 28):02d}{rng.randint(0, 23):02d}{rng.randint(0, 59):02d}" for _ in range(9))
+        round_ = str(rng.randint(1, 99)) + "0" * rng.randint(4, 12) + str(rng.randint(1, 10**6)).zfill(6) + "0" * 90
+        return rng.choice([dates, round_, "".join(str(i % 10) for i in range(rng.randint(0, 9), 120))])[:n]
+    if a == 16:
+        return "".join(c if c in "abcdef" else rng.choice("0000012") for c in "".join(word() for _ in range(60)))[:n]
+    if a in (26, 32, 52):
+        shape = {26: str.lower, 32: str.upper, 52: str.capitalize}[a]
+        return "".join(shape(word()) for _ in range(60))[:n]
+    if a == 36:
+        return "".join(numbered() for _ in range(60))[:n]
+    sep = rng.choice("++/+")
+    joined = [sep.join(word() for _ in range(14)), sep.join(numbered(str(rng.randint(1990, 2030))) for _ in range(14)), "".join(word().capitalize() for _ in range(20)), word() + "".join(word().capitalize() for _ in range(20)), sep.join(word().upper() if rng.random() < 0.3 else word() for _ in range(14))]
+    return rng.choice(joined)[:n]
+
+
+def test_text_tokens():
+    """The shares of text above the cuts hold, a lone token of text is reported in one of twenty cases at most, a lone key nearly always where the tests are strong."""
+    rng = random.Random(15)
+    alphabet = {a: {c: i for i, c in enumerate(x)} for a, x in secrets_scan._ALPHABET.items()}
+    edges = (*secrets_scan._LENGTHS, 91)
+    found = {}
+    for a, codes in alphabet.items():
+        for k in range(2, 5):
+            text, keys = [], []
+            while len(text) < 300:
+                t = text_token(rng, a, rng.randint(edges[k], edges[k + 1] - 1))
+                if len(t) >= edges[k] and all(c in codes for c in t):
+                    text.append(plain_battery(a, [codes[c] for c in t]))
+                    keys.append(plain_battery(a, [rng.randrange(a) for _ in range(len(t))]))
+            for c, share in zip(secrets_scan._CUTS, secrets_scan._TEXT_ABOVE[a][k]):
+                assert abs(sum(p > c for p in text) / 300 - share) <= 0.02 + 3 * math.sqrt(max(share, 0.001) / 300), (a, k, c)
+            lone = lambda p: (c := secrets_scan.cut_of(a, k, 1, int(p > 0.5), [int(p > x) for x in secrets_scan._CUTS])) is not None and p > c
+            assert sum(map(lone, text)) <= 0.05 * 300 + 8
+            found[a, k] = sum(map(lone, keys)) / 300
+    assert all(x >= 0.5 for k, x in found.items() if k != (36, 2)), found  # base36 below 48 characters: a lone one is never told from text
+    assert all(found[a, k] >= 0.88 for a, k in found if k == 4 or a in (10, 16, 52, 64) or (a, k) == (32, 3)), found
+
+
+def test_one_key_in_a_table(spark):
+    rng = random.Random(21)
+    rows = [(i, "see " + "".join(rng.choice(BASE64) for _ in range(40)) + " here") for i in range(12)]
+    got = sum(secrets_scan.digests(spark.createDataFrame([r], "doc_id long, text string")).filter("spans like '%random%'").count() for r in rows)
+    assert got >= 10
+
+
 def test_encodings(spark):
     rng = random.Random(9)
     kinds = {"0123456789": 10, "0123456789abcdef": 16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ": 26, BASE64[26:62]: 36, BASE64[:52]: 52, BASE64: 64}
@@ -133,7 +186,7 @@ def test_many_license_templates(spark):
     mine = sorted((r["doc_id"], r["template"], r["window_start"], r["first_word"], round(r["containment"], 9)) for r in out.collect())
     assert mine == sorted(x for row in rows for x in brute_licenses([row], templates))
     with pytest.raises(ValueError):
-        license_scan.scan(out, {str(i): "a license" for i in range(license_scan.MAX_TEMPLATES + 1)})
+        license_scan.scan(out, {"long": "a license " * (license_scan.MAX_TEMPLATE_CHARS // 9)})
 
 
 # ---- quality
@@ -375,3 +428,20 @@ def test_benchmark_blocks_leave_no_copies(spark, tmp_path_factory):
     before = shared()
     assert sorted(map(tuple, decontaminate.decontaminate(docs, bench, block_bytes=500).collect())) == one
     assert shared() - before < 300_000  # the texts have over a megabyte
+
+
+def test_license_blocks_and_the_size_of_the_plan(spark, monkeypatch):
+    """Templates beyond one block take more passes and give the same rows; the plan of one class does not grow with them."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(500)]
+    templates = {f"t{k}": " ".join(rng.choice(words) for _ in range(20)) for k in range(60)}
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + " " + templates[f"t{i % 60}"] + " end") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["template"], r["window_start"]) for r in license_scan.scan(df, templates).collect())
+    assert {(i, t) for i, t, _ in got} >= {(i, f"t{i % 60}") for i in range(80)}
+    monkeypatch.setattr(license_scan, "MAX_TEMPLATES", 25)
+    assert len(license_scan.blocks(templates)) == 3
+    assert sorted((r["doc_id"], r["template"], r["window_start"]) for r in license_scan.scan(df, templates).collect()) == got
+    monkeypatch.undo()
+    size = lambda n: len(license_scan.scan(df, dict(list(templates.items())[:n]))._jdf.queryExecution().analyzed().toString())
+    assert abs(size(3) - size(60)) < 100
