@@ -5,9 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import os
-import re
-import tempfile
 import uuid
 import zlib
 
@@ -16,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import ship
+from corpusloom.session import shared_dir, ship
 
 #: ASCII white space, the separators of `[^\x20\x09-\x0D]+`.
 SPACE = r"[\x20\x09-\x0D]"
@@ -36,24 +33,6 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and written tables.
-
-    A cluster names it in spark.checkpoint.dir; only where that is unset and
-    everything runs in one process, as in tests, a temporary folder of this
-    machine is used.
-    """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 _MADE: list[tuple[SparkSession, str]] = []
 
 
