@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators import log_store, token_chunk, vector_index
-from corpusloom.queries import query, s_many
+from corpusloom.operators import log_store, table_functions, token_chunk, vector_index
+from corpusloom.queries import query, s_many, s_walk
 from corpusloom.session import shared_path
 from corpusloom.sources import archives
 from corpusloom.sources.adapters import embedded, table
@@ -135,3 +135,11 @@ def batch_sink(spark, d):
     path = shared_path(spark, "batches")
     table(spark, d, "documents").write.format("batches").option("path", path).option("size", 50).mode("append").save()
     return spark.read.schema("doc_id long, text string, lang string, n_chars long").json(path).select("doc_id", "lang", "n_chars", F.md5("text").alias("md5"))
+
+
+@query(f"select doc_id, chunk_index, chunk from ({s_walk('case when z >= n then n when z - 200 > a then z - 200 else z end')})")
+def chunk_table_function(spark, d):
+    """The walk from SQL."""
+    table_functions.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("documents_to_chunk")
+    return spark.sql("""select * from chunk(table(select doc_id, text from documents_to_chunk), 'text', 'walk', '{"size": 1000, "overlap": 200}')""")

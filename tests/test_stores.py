@@ -287,8 +287,29 @@ def test_ingest_in_two_batches(spark, tmp_path):
     assert spark.read.parquet(out).count() == n
 
 
-@pytest.mark.parametrize("name", [n for n in ("vector_index_all_cells", "vector_index_filtered", "vector_index_append", "log_upserts", "log_deletes", "archive_tar", "archive_zip", "archive_warc", "batch_sink")])
+@pytest.mark.parametrize("name", [n for n in ("vector_index_all_cells", "vector_index_filtered", "vector_index_append", "log_upserts", "log_deletes", "archive_tar", "archive_zip", "archive_warc", "batch_sink", "chunk_table_function")])
 def test_queries_match_sql(spark, data, name):
     from corpusloom.queries import ORACLES
 
     assert rows(getattr(iq, name)(spark, data)) == duck(data, ORACLES[name])
+
+
+def test_table_function(spark):
+    """Any table's other columns come along; wrong arguments are refused before anything runs."""
+    from pyspark.errors import AnalysisException
+
+    from corpusloom.operators import strategies, table_functions
+
+    table_functions.register(spark)
+    text = "One sentence here. Another one! " * 60
+    df = spark.createDataFrame([(1, "x", text), (2, None, None), (3, "y", ""), (4, "z", "short")], "id int, tag string, t string")
+    df.createOrReplaceTempView("some_texts")
+    for method, options in (("walk", '{"size": 300, "overlap": 40}'), ("recursive", '{"size": 200, "overlap": 20}'), ("tokens", '{"size": 30, "overlap": 5}')):
+        got = spark.sql(f"select * from chunk(table(some_texts), 't', '{method}', '{options}')")
+        import json
+
+        want = strategies.chunked(df, "t", ["id", "tag"], method, **json.loads(options))
+        assert got.columns == ["id", "tag", "chunk_index", "chunk"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    for wrong in ("'no', 'walk'", "'t', 'no'", "'t', 'walk', 'no json'"):
+        with pytest.raises(AnalysisException):
+            spark.sql(f"select * from chunk(table(some_texts), {wrong})")
