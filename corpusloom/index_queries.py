@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators import log_store, table_functions, token_chunk, vector_index
+from corpusloom.operators import log_store, permute, table_functions, token_chunk, vector_index
 from corpusloom.queries import query, s_many, s_walk
 from corpusloom.session import shared_path
 from corpusloom.sources import archives
@@ -143,3 +143,10 @@ def chunk_table_function(spark, d):
     table_functions.register(spark)
     table(spark, d, "documents").createOrReplaceTempView("documents_to_chunk")
     return spark.sql("""select * from chunk(table(select doc_id, text from documents_to_chunk), 'text', 'walk', '{"size": 1000, "overlap": 200}')""")
+
+
+@query("select count(*) as documents, min(place) as least, max(place) as most, count(distinct place) as places from (select row_number() over () - 1 as place from documents)")
+def shuffle_places(spark, d):
+    """The keyed permutation of all documents has every place once."""
+    p = permute.permuted(table(spark, d, "documents").select("doc_id"), "doc_id")
+    return p.agg(F.count(F.lit(1)).alias("documents"), F.min("place").alias("least"), F.max("place").alias("most"), F.count_distinct("place").alias("places"))

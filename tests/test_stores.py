@@ -313,3 +313,19 @@ def test_table_function(spark):
     for wrong in ("'no', 'walk'", "'t', 'no'", "'t', 'walk', 'no json'"):
         with pytest.raises(AnalysisException):
             spark.sql(f"select * from chunk(table(some_texts), {wrong})")
+
+
+def test_permutation(spark, tmp_path):
+    from corpusloom.operators import permute
+
+    for n in (1, 2, 3, 5, 16, 17, 1000, 4097):
+        p = permute.places(np.arange(n), n, 42)
+        assert sorted(p.tolist()) == list(range(n))
+        assert n < 100 or abs(np.corrcoef(np.arange(n), p)[0, 1]) < 0.15 and (permute.places(np.arange(n), n, 43) != p).any()
+    df = spark.range(1000, 1500).withColumn("v", F.col("id") * 2)
+    got = {tuple(sorted((r["id"], r["place"]) for r in permute.permuted(df.repartition(k), "id").collect())) for k in (1, 3, 7)}
+    assert len(got) == 1 and sorted(p for _, p in next(iter(got))) == list(range(500))
+    permute.write_shuffled(df, str(tmp_path / "s"), "id", bucket_rows=100)
+    rows_ = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(r["count"] for r in rows_.groupBy("bucket").count().collect()) == [100] * 5 and all(r["place"] // 100 == r["bucket"] for r in rows_.collect())
+    assert permute.permuted(df.limit(0), "id").count() == 0
