@@ -14,7 +14,7 @@ pass it at their first common token.  Lists of one entry go at once.
 
 Answers by set relations.  In a list, each entry is first compared with
 leaders only: the entry with the smallest position, which is the set nearest
-to what its likes have in common, in its class of sizes and in the next.
+to what its likes have in common, in its class of sizes and in the one below.
 These pairs are verified by whole sets, so a list of many near copies costs
 its length, not its square.  Then lists are skipped whose sets all have come
 together.  In those left, sorted into blocks by size and position, block
@@ -59,6 +59,8 @@ SKETCH_BITS = 20
 _PARTS = 16
 #: Entries of a list in a task at a time.
 CHUNK = 4096
+#: Entries of a list that one task holds at most; tokens whose cell counts more are heavy, and their lists are dealt.
+MOST = 1 << 22
 BLOCK = 128
 #: Digests of sets that a task remembers, so as to pass each on once.
 SEEN = 200_000
@@ -196,34 +198,82 @@ def _entries(docs: DataFrame, seed: int, shingle: int, bits: int, threshold: int
     return docs.mapInArrow(run, "token long, sid long, place long")
 
 
-def _lists(entries: DataFrame, spark: SparkSession) -> DataFrame:
-    """(token, sid, n, pos): the entries of lists of two and more; of heavy cells all, dealt by set as well."""
+_LIST = ("token", "sid", "n", "pos", "cls", "size", "lead", "lead2")
+
+
+def _classes(n: np.ndarray, threshold: int) -> np.ndarray:
+    """Sizes of one class differ by less than the threshold allows."""
+    return np.floor(np.log(n) / np.log(100 / threshold if threshold < 100 else 2.0) + 1e-9).astype(np.int64)
+
+
+def _led(x: np.ndarray, threshold: int) -> np.ndarray:
+    """Of whole lists (token, sid, n, pos, cls) in order, those of two and more as _LIST; lead and lead2: the leaders that an entry is compared with, or the entry itself."""
+    first = np.append(True, (x[1:, :2] != x[:-1, :2]).any(axis=1)) if len(x) else np.zeros(0, bool)
+    x = x[first]  # repeats of a token and set go
+    start = np.flatnonzero(np.append(True, x[1:, 0] != x[:-1, 0])) if len(x) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(x)))
+    keep = np.repeat(size > 1, size)
+    x, size = x[keep], np.repeat(size, size)[keep]
+    if not len(x):
+        return np.zeros((0, len(_LIST)), np.int64)
+    group = np.flatnonzero(np.append(True, (x[1:, [0, 4]] != x[:-1, [0, 4]]).any(axis=1)))
+    of = np.repeat(np.arange(group.size), np.diff(np.append(group, len(x))))
+    own = x[group]  # the first of each class, the smallest position
+    before = np.maximum(np.arange(group.size) - 1, 0)
+    near = (own[before, 0] == own[:, 0]) & (own[before, 4] == own[:, 4] - 1)  # the class below is there
+    t = threshold
+
+    def lead(leader: np.ndarray, there: np.ndarray) -> np.ndarray:
+        ok = there & ((100 + t) * np.minimum(x[:, 2] - x[:, 3], leader[:, 2] - leader[:, 3]) >= t * (x[:, 2] + leader[:, 2]))
+        return np.where(ok, leader[:, 1], x[:, 1])
+
+    return np.column_stack([x, size, lead(own[of], np.ones(len(x), bool)), lead(own[before][of], near[of])])
+
+
+def _lists(entries: DataFrame, spark: SparkSession, threshold: int) -> DataFrame:
+    """_LIST: the entries of lists of two and more with their leaders; of heavy cells all, dealt by set as well, without (size 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the entry that waits for its successor
+        rest = np.zeros((0, 5), np.int64)
         for batch in batches:
-            x = np.stack([batch.column(c).to_numpy() for c in ("token", "sid", "place")])
-            if last is not None:
-                x = np.concatenate([last[0], x], axis=1)
-            new = np.append(True, (x[:2, 1:] != x[:2, :-1]).any(axis=0))
-            x = x[:, new]  # repeats of a token and set go
-            same = x[0, 1:] == x[0, :-1]
-            keep = np.append(False, same) | np.append(same, False) | (x[2] < 0)
-            if last is not None:
-                keep[0] |= last[1]  # it had a predecessor
-            had = bool(same[-1]) if same.size else last is not None and last[1]
-            last = x[:, -1:], had
-            yield out(x[:, :-1][:, keep[:-1]])
-        if last is not None:
-            yield out(last[0] if last[1] or last[0][2, 0] < 0 else last[0][:, :0])
+            token, sid, place = (batch.column(c).to_numpy() for c in ("token", "sid", "place"))
+            heavy = place < 0
+            place = np.where(heavy, ~place, place)
+            n, pos = place >> 32, place & 0xFFFFFFFF
+            x = np.column_stack([token, sid, n, pos, _classes(n, threshold)])
+            if heavy.any():
+                none = np.zeros((int(heavy.sum()), 1), np.int64)
+                yield out(np.hstack([x[heavy], none, x[heavy][:, 1:2], x[heavy][:, 1:2]]))
+                x = x[~heavy]
+            rest = np.concatenate([rest, x])
+            differ = np.flatnonzero(rest[1:, 0] != rest[:-1, 0])
+            if differ.size:
+                end = int(differ[-1]) + 1  # the last list may go on; it is bounded, as larger ones are heavy
+                yield out(ordered(rest[:end]))
+                rest = rest[end:]
+        yield out(ordered(rest))
         common.release()
 
+    def ordered(x: np.ndarray) -> np.ndarray:
+        return _led(x[np.lexsort((x[:, 1], x[:, 2], x[:, 3], x[:, 4], x[:, 0]))], threshold)
+
     def out(x: np.ndarray) -> pa.RecordBatch:
-        place = np.where(x[2] < 0, ~x[2], x[2])
-        return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.array(place >> 32), pa.array(place & 0xFFFFFFFF)], ["token", "sid", "n", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(len(_LIST))], list(_LIST))
 
     salt = F.when(F.col("place") < 0, F.pmod(F.xxhash64("sid"), F.lit(common.partitions(spark)))).otherwise(F.lit(0).cast("long"))
-    return entries.repartition("token", salt).sortWithinPartitions("token", "sid").mapInArrow(run, "token long, sid long, n long, pos long")
+    return entries.repartition("token", salt).sortWithinPartitions("token").mapInArrow(run, ", ".join(f"{c} long" for c in _LIST))
+
+
+def _heavy_lists(lists: DataFrame, threshold: int) -> DataFrame:
+    """The same for lists that several tasks hold: counted and led by aggregations and joins."""
+    rows = lists.dropDuplicates(["token", "sid"])
+    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    leaders = rows.groupBy("token", "cls").agg(F.min(F.struct("pos", "n", "sid")).alias("lead"))
+    leaders = common.written(leaders.join(sizes, "token"), "leaders")
+    below = leaders.select("token", (F.col("cls") + 1).alias("cls"), F.col("lead").alias("lead2"))
+    led = rows.drop("size", "lead", "lead2").join(leaders, ["token", "cls"]).join(below, ["token", "cls"], "left")
+    own = lambda c: F.when(_may(F.col("n"), F.col("pos"), F.col(f"{c}.n"), F.col(f"{c}.pos"), threshold), F.col(f"{c}.sid")).otherwise(F.col("sid"))
+    return led.select("token", "sid", "n", "pos", "cls", "size", own("lead").alias("lead"), own("lead2").alias("lead2"))
 
 
 def _may(n: Column, pos: Column, m: Column, at: Column, t: int) -> Column:
@@ -298,6 +348,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def _pairs(rows: np.ndarray, threshold: int, chunk: int = CHUNK, block: int = BLOCK) -> np.ndarray:
     """Pairs of one run of whole lists that are to be verified; rows: token, lo, hi, own, sid, n, pos, label, lead, d (-1: unknown)."""
     first = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
+    # lists whose sets have all come together go
+    mixed = np.minimum.reduceat(rows[:, 7], first) != np.maximum.reduceat(rows[:, 7], first)
+    rows = rows[np.repeat(mixed, np.diff(np.append(first, len(rows))))]
+    if not len(rows):
+        return np.zeros((0, 2), np.int64)
+    first = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
     size = np.diff(np.append(first, len(rows)))
     t = threshold
 
@@ -335,15 +391,18 @@ def _pairs(rows: np.ndarray, threshold: int, chunk: int = CHUNK, block: int = BL
 _META = ("token", "lo", "hi", "own", "sid", "n", "pos", "label", "lead", "d")
 
 
-def _remaining(lists: DataFrame, leaders: DataFrame, answers: DataFrame, labels: DataFrame, threshold: int, chunk: int) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast where its counted rows are few."""
+    return F.broadcast(df) if 64 * df.count() <= common.BROADCAST_BYTES else df
+
+
+def _remaining(lists: DataFrame, answers: DataFrame, labels: DataFrame, threshold: int, chunk: int) -> DataFrame:
     """(x, s): pairs of lists that leaders have not settled, x < s."""
-    named = lists.join(labels.select(F.col("node").alias("sid"), F.col("root").alias("label")), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high")
-    mixed = common.written(mixed.select("token", F.ceil(F.col("size") / chunk).cast("long").alias("parts")), "mixed-lists")
-    led = leaders.select("token", "cls", F.col("lead.sid").alias("lead"))
+    labels = common.written(labels.select(F.col("node").alias("sid"), F.col("root").alias("label")), "labels")
     known = answers.select(F.col("x").alias("sid"), F.col("s").alias("lead"), "d")
-    rows = named.join(mixed, "token").join(led, ["token", "cls"], "left").join(known, ["sid", "lead"], "left")
-    rows = rows.withColumn("d", F.when(F.col("sid") == F.col("lead"), 0).otherwise(F.coalesce("d", F.lit(-1)))).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    rows = lists.join(_small(labels), "sid", "left").join(_small(known), ["sid", "lead"], "left")
+    rows = rows.withColumns({"label": F.coalesce("label", "sid"), "d": F.when(F.col("sid") == F.col("lead"), 0).otherwise(F.coalesce("d", F.lit(-1))), "parts": F.ceil(F.col("size") / chunk)})
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")))
     dealt = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumns({"lo": F.least("own", "with"), "hi": F.greatest("own", "with")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,22 +442,20 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     twice = [r["hi"] for r in sets.groupBy("hi").count().filter("count > 1").select("hi").collect()]
     sid = F.when(F.col("hi").isin(twice), F.col("lo")).otherwise(F.col("hi")) if twice else F.col("hi")
     rows, sets = rows.select("id", "n", sid.alias("sid")), sets.select(sid.alias("sid"), "least", "copies")
-    heavy = max(1 << 16, 8 * int(cells.mean(dtype=np.float64)))
+    heavy = min(max(1 << 16, 8 * int(cells.mean(dtype=np.float64))), MOST)
     sent = spark.sparkContext.broadcast((cells, frozenset(twice)))
-    lists = _lists(_entries(texts, seed, shingle, bits, threshold, sent, heavy), spark)
-    # sizes of one class differ by less than the threshold allows
-    lists = common.written(lists.withColumn("cls", F.floor(F.log("n") / F.log(F.lit(100 / threshold if threshold < 100 else 2.0)))), "index-lists")
-    leaders = common.written(lists.groupBy("token", "cls").agg(F.min(F.struct("pos", "n", "sid")).alias("lead")), "leaders")
-    near = lists.select("token", "sid", "n", "pos", F.explode(F.array("cls", F.col("cls") + 1)).alias("cls")).join(leaders, ["token", "cls"])
-    stars = near.filter((F.col("sid") != F.col("lead.sid")) & _may(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), threshold))
-    stars = stars.select(F.col("sid").alias("x"), F.col("lead.sid").alias("s")).distinct()
+    lists = common.written(_lists(_entries(texts, seed, shingle, bits, threshold, sent, heavy), spark, threshold), "index-lists")
+    dealt = lists.filter("size = 0")
+    if not dealt.isEmpty():
+        lists = lists.filter("size > 0").unionByName(common.written(_heavy_lists(dealt, threshold), "heavy-lists"))
+    stars = lists.select(F.col("sid").alias("x"), F.explode(F.array("lead", "lead2")).alias("s")).filter("x <> s").distinct()
     stars = common.written(stars, "leader-pairs")
     twice = frozenset(twice)
     both = lambda p: p.select(F.col("x").alias("sid")).unionAll(p.select(F.col("s").alias("sid"))).distinct()
     members = _members(texts, sets, both(stars), seed, shingle, bits, twice)
     answers = common.written(_verified(stars, members, threshold), "answers")
     first = answers.filter("link").select(F.col("x").alias("u"), F.col("s").alias("v"))
-    rest = common.written(_remaining(lists, leaders, answers, components(first), threshold, chunk), "remaining-pairs")
+    rest = common.written(_remaining(lists, answers, components(first), threshold, chunk), "remaining-pairs")
     more = both(rest).join(members.select("sid"), "sid", "left_anti")
     if not more.isEmpty():  # sets that met no leader
         members = members.unionByName(_members(texts, sets, more, seed, shingle, bits, twice).join(members.select("sid"), "sid", "left_anti"))
