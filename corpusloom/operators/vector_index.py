@@ -145,7 +145,8 @@ def build(table: DataFrame, path: str, metric: str = "cosine", cells: int | None
     some = table.filter(ok)
     if n > sample:  # by hash, a little more than needed, so that no sort of the whole is
         some = some.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * sample / n + 100 / n)))
-    x = _matrix(some.select("embedding").limit(sample).toArrow().column(0).combine_chunks()) if n else np.zeros((1, 1))
+    some = some.select(id_col, "embedding").orderBy(F.xxhash64(id_col), id_col).limit(sample)  # bounded
+    x = _matrix(some.toArrow().column(1).combine_chunks()) if n else np.zeros((1, 1))
     model = Model.fit(_unit(x, metric), metric, cells, min(parts, x.shape[1]))
     model.save(spark, path)
     append(table, path, model, "overwrite")

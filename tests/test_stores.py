@@ -10,7 +10,6 @@ import threading
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from compare import duck, rows
 from pyspark.sql import functions as F
 
 from corpusloom import index_queries as iq
@@ -287,13 +286,6 @@ def test_ingest_in_two_batches(spark, tmp_path):
     assert spark.read.parquet(out).count() == n
 
 
-@pytest.mark.parametrize("name", [n for n in ("vector_index_all_cells", "vector_index_filtered", "vector_index_append", "log_upserts", "log_deletes", "archive_tar", "archive_zip", "archive_warc", "batch_sink", "chunk_table_function")])
-def test_queries_match_sql(spark, data, name):
-    from corpusloom.queries import ORACLES
-
-    assert rows(getattr(iq, name)(spark, data)) == duck(data, ORACLES[name])
-
-
 def test_table_function(spark):
     """Any table's other columns come along; wrong arguments are refused before anything runs."""
     from pyspark.errors import AnalysisException
