@@ -126,13 +126,16 @@ class Templates:
     def filters(self, spark) -> DataFrame:
         """One row: for each class a bit array of its band keys, two bits a key; as wide as the keys are many."""
         columns = {}
-        for (n, c), names in self.classes.items():
+        wanted = {f"{n}_{c}": names for (n, c), names in self.classes.items()}
+        for n in {n for n, _ in self.classes}:  # and one of all classes of a shingle size
+            wanted[str(n)] = [t for (m, _), names in self.classes.items() if m == n for t in names]
+        for name, names in wanted.items():
             keys = {h for t in names for h in self.keys[t]}
             words = [0] * (1 << max(_WORD_BITS, len(keys).bit_length()))
             for h in keys:
                 for at, bit in ((h, h >> 32), (h >> 16, h >> 26)):
                     words[at & (len(words) - 1)] |= 1 << (bit & 63)
-            columns[f"b{n}_{c}"] = pa.array([[w - (1 << 64) if w >> 63 else w for w in words]], pa.list_(pa.int64()))
+            columns[f"b{name}"] = pa.array([[w - (1 << 64) if w >> 63 else w for w in words]], pa.list_(pa.int64()))
         return spark.createDataFrame(pa.table(columns))
 
     def whole(self, spark) -> DataFrame:
@@ -180,10 +183,13 @@ def _scan(docs: DataFrame, templates: dict[str, str], least: float) -> DataFrame
     signed = hashed.select("doc_id", *(_shingles(F.col("h"), n).alias(f"s{n}") for n in sorted({n for n, _ in made.classes})))
     # one row of bit arrays, so that what the plan says does not depend on the templates
     signed = signed.join(F.broadcast(made.filters(spark)))
+    # places that may be of use to any class are found once
+    some = {n: F.expr(f"filter(transform(s{n}, (h, i) -> case when {_may(f'b{n}', 'h')} then struct(h as h, i as i) end), x -> x is not null)").alias(f"c{n}") for n in {n for n, _ in made.classes}}
+    signed = signed.select("*", *some.values())
     windows = []
     for size, c in sorted(made.classes):
         step, s = 2 << c, F.col(f"s{size}")
-        at = F.expr(f"filter(transform(s{size}, (h, i) -> case when {_may(f'b{size}_{c}', 'h')} then i end), i -> i is not null)")
+        at = F.expr(f"transform(filter(c{size}, x -> {_may(f'b{size}_{c}', 'x.h')}), x -> x.i)")
         # each place is in two windows; the last window reaches the end
         last = F.greatest(F.lit(0), F.ceil((F.size(s) - 2 * step) / step)).cast("int")
         place = lambda i, back: F.greatest(F.lit(0), F.least(F.floor(i / step).cast("int") - back, last))
