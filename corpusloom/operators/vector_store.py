@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusloom.functions import vectors as V
-from corpusloom.session import shared_path, ship
+from corpusloom.session import bounded, shared_path
 
 PAYLOAD_MB = 30.0
 
@@ -57,7 +57,7 @@ def search_many(table: DataFrame, queries: DataFrame, k: int = 5, metric: str =
     shuffled is k rows for each query and task, however many rows tie.
     Scores are rounded to 12 places so that equal vectors tie exactly.
     """
-    spark = ship(table.sparkSession)
+    spark = bounded(table.sparkSession)
     n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     blocks = max(1, math.ceil(n * ((width or 1) * 8 + k * 24) / (most_mb * (1 << 20))))
     schema = StructType([StructField(query_col, queries.schema[query_col].dataType), table.schema[id_col], StructField("score", DoubleType())])
