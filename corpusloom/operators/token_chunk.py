@@ -1,6 +1,6 @@
 """Recursive splitting with sizes in a tokenizer's ids.
 
-A text is tokenized once.  The number of tokens that start before each of its
+A word is tokenized once.  The number of tokens that start before each of its
 characters is a prefix sum, so the size of any piece is a difference of two
 numbers, and sizes of pieces side by side add up exactly.  Pieces that are
 joined lie side by side, so a chunk is a pair of places that move over the
@@ -15,7 +15,7 @@ whole, so a single one may exceed a size below its tokens.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from corpusloom.functions import bpe
 from corpusloom.operators.chunk import SEPARATORS
-from corpusloom.session import ship
+from corpusloom.session import bounded
 
 
 def offsets_before(starts: list[int], length: int) -> np.ndarray:
@@ -43,7 +44,7 @@ def _cuts(text: str, a: int, b: int, mark: str) -> list[int]:
     return out if out[-1] == b else [*out, b]
 
 
-def spans(text: str, size: int, overlap: int, before: np.ndarray | None = None, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, int]]:
+def spans(text: str, size: int, overlap: int, before: Sequence[int] | None = None, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, int]]:
     """Chunks as (start, end); sizes in tokens by `before`, or in characters without it."""
 
     def measure(a: int, b: int) -> int:
@@ -84,7 +85,7 @@ def spans(text: str, size: int, overlap: int, before: np.ndarray | None = None,
     return list(whole(0, len(text), separators))
 
 
-def fewest(before: np.ndarray, size: int) -> int:
+def fewest(before: Sequence[int], size: int) -> int:
     """How many chunks without overlap a text needs at least."""
     out = at = 0
     while at < len(before) - 1:
@@ -93,17 +94,45 @@ def fewest(before: np.ndarray, size: int) -> int:
     return out
 
 
-_LOADED: dict[str, Callable[[list[str]], list[list[int]]]] = {}
+class TokenCounts:
+    """How many tokens start before each character of a text, its end included.
 
+    A byte-level tokenizer's ids come from the table of words, and their
+    lengths in bytes say where they start; other tokenizers, and texts whose
+    lengths do not add up, are asked for the places.
+    """
 
-def tokens_of(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """A function of texts: the character at which each token starts."""
-    if path not in _LOADED:
-        from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        self.coder = bpe.CachedBPE(path)
+        self.coder.tokenizer.encode_special_tokens = True
+        vocabulary = self.coder.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.size[list(vocabulary.values())] = list(map(len, vocabulary))  # a letter stands for a byte
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.coder.by_word:
+            return [self._asked(t) for t in texts]
+        return [self._counted(t, np.frombuffer(ids, np.uint32)) for t, ids in zip(texts, self.coder.encode(texts))]
+
+    def _counted(self, text: str, ids: np.ndarray) -> np.ndarray:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        end = np.cumsum(self.size[ids])
+        if not text or not ids.size or end[-1] != raw.size:
+            return self._asked(text)
+        start = end - self.size[ids]
+        place = start if raw.size == len(text) else (np.cumsum((raw & 0xC0) != 0x80) - 1)[start]
+        return offsets_before(place, len(text))
+
+    def _asked(self, text: str) -> np.ndarray:
+        return offsets_before([a for a, _ in self.coder.tokenizer.encode(text, add_special_tokens=False).offsets], len(text))
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _LOADED[path] = lambda texts: [[a for a, _ in e.offsets] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+_LOADED: dict[str, TokenCounts] = {}
+
+
+def tokens_of(path: str) -> TokenCounts:
+    if path not in _LOADED:
+        _LOADED[path] = TokenCounts(path)
     return _LOADED[path]
 
 
@@ -111,23 +140,23 @@ def token_chunks(docs: DataFrame, text: str, keep: list[str], tokenizer: str, si
     """keep, chunk_index, chunk, start and n_tokens; tokenizer is a file of the tokenizers library."""
     if overlap >= size:
         raise ValueError("overlap must be below size")
-    ship(docs.sparkSession)
+    bounded(docs.sparkSession)
     more = [StructField("chunk_index", IntegerType()), StructField("chunk", StringType()), StructField("start", LongType()), StructField("n_tokens", LongType())]
     schema = StructType([*(docs.schema[c] for c in keep), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = tokens_of(tokenizer)
+        counts = tokens_of(tokenizer)
         for batch in batches:
-            texts = batch.column("__t").to_pylist()
-            for first in range(0, len(texts), 64):
-                some = [(i, t) for i, t in enumerate(texts[first : first + 64], first) if t and t.strip()]
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                some = [(i, t) for i, t in enumerate(part.column("__t").to_pylist()) if t and t.strip()]
                 at, rows = [], []
-                for (i, t), starts in zip(some, find([t for _, t in some])):
-                    before = offsets_before(starts, len(t))
+                for (i, t), at_each in zip(some, counts([t for _, t in some])):
+                    before = at_each.tolist()  # places are looked up one by one
                     found = [(a, b) for a, b in spans(t, size, overlap, before, separators) if t[a:b].strip()]
                     at += [i] * len(found)
-                    rows += [(k, t[a:b].strip(), a, int(before[b] - before[a])) for k, (a, b) in enumerate(found)]
-                own = batch.select(keep).take(pa.array(at, pa.int64()))
+                    rows += [(k, t[a:b].strip(), a, before[b] - before[a]) for k, (a, b) in enumerate(found)]
+                own = part.select(keep).take(pa.array(at, pa.int64()))
                 cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*own.columns, *cols], schema.fieldNames())
 
