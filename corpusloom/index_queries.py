@@ -105,7 +105,7 @@ def _archived(spark, d, kind: str) -> DataFrame:
     archives.register(spark)
     docs = table(spark, d, "documents").withColumn("member", F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
     path = shared_path(spark, f"archives-{kind}")
-    archives.pack(docs.repartition(4), path, "member", "text", kind).agg(F.sum("members")).collect()
+    archives.pack(docs, path, "member", "text", kind).agg(F.sum("members")).collect()
     found = spark.read.format("archive").option("path", path).option("split_bytes", 1 << 20).load()
     return found.select("member", "size", F.md5("content").alias("md5"))
 
