@@ -217,7 +217,7 @@ def plan(archive: str, split_bytes: int) -> list[Part]:
         return whole
     with system.open_input_file(at) as f:
         if kind == "zip":
-            with zipfile.ZipFile(f) as z:
+            with zipfile.ZipFile(_Range(f, 0, f.size())) as z:  # which may look before the start of an empty archive
                 places = iter(sorted(i.header_offset for i in z.infolist()))
                 return _grouped(archive, kind, places, size, split_bytes)
         b = io.BufferedReader(_Range(f, 0, size), 1 << 13)
@@ -236,7 +236,7 @@ def members(part: Part) -> Iterator[tuple[str, str, int, bytes]]:
     system, at = _filesystem(part.archive)
     with system.open_input_file(at) as f:
         if part.kind == "zip":
-            with zipfile.ZipFile(f) as z:
+            with zipfile.ZipFile(_Range(f, 0, f.size())) as z:
                 found = ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir() and part.start <= i.header_offset < part.end)
                 yield from ((part.archive, n, len(c), c) for n, c in found)
             return
